@@ -7,18 +7,53 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrove.llm import bpe
-from tallygrove.llm.common import table
+from tallygrove.llm import bpe, chat, links, quality, sharding
+from tallygrove.llm.common import digest, table
+
+
+def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each maximal conversation."""
+    return chat.render(table(spark, sf_dir, "conversations")).select("conv_id", "n_turns", "n_copies", "chat", digest(F.col("chat")).alias("chat_sha256"))
+
+
+OP6_SQL = """
+WITH rows AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (w ROWS UNBOUNDED PRECEDING) AS chat
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), whole AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, chat FROM placed WHERE place = n_turns GROUP BY n_turns, chat
+)
+SELECT conv_id, n_turns, n_copies, chat, sha256(chat) AS chat_sha256 FROM whole w
+WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.place < p.n_turns AND p.place = w.n_turns AND p.chat = w.chat)
+"""
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op8_bpe": op8_bpe}
+    return {"op4_links": op4_links, "op6_chat": op6_chat, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": OP6_SQL}
