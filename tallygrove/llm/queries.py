@@ -9,10 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import bpe, chat, links, quality, sharding
+from tallygrove.llm import bpe, chat, decontaminate, links, quality, sharding, winnow
 from tallygrove.llm.common import digest, table
 
 
+def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,11 @@ WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.place < p.n_turns AND p.place =
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it holds."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -52,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_links": op4_links, "op6_chat": op6_chat, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op2_winnow": op2_winnow, "op4_links": op4_links, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
