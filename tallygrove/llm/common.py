@@ -42,7 +42,7 @@ def save(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _used.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch() -> None:
@@ -60,6 +60,13 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def unique_docs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, each doc_id once: rows with a null id are left out, a null text is empty, and rows that repeat an id count as the one of the smallest text."""
+    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.groupBy("doc_id").count()
+    return docs if ids.where("count > 1").isEmpty() else docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, out: str, chunks: int = 64) -> DataFrame:
     """Adds ``out``, a gapless number from 0 within ``keys``.
 

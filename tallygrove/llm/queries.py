@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import bpe, chat, decontaminate, links, quality, sharding, winnow
+from tallygrove.llm import bpe, chat, decontaminate, links, neardup, quality, sharding, winnow
 from tallygrove.llm.common import digest, table
 
 
@@ -17,6 +17,10 @@ def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), size=4).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge(table(spark, sf_dir, "pages"))
 
@@ -61,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_winnow": op2_winnow, "op4_links": op4_links, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op2_winnow": op2_winnow, "op3_neardup": op3_neardup, "op4_links": op4_links, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

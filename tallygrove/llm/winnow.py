@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallygrove.llm.common import SPACE_CLASS, digest, save
+from tallygrove.llm.common import SPACE_CLASS, digest, save, unique_docs
 
 #: Words in a gram, and grams in a window (both fixed by the doublings below): 20 shared words in a row are always noticed.
 GRAM, WINDOW = 5, 16
@@ -88,10 +88,8 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """The contract's rows: each document against its edited text and the next document."""
-    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = unique_docs(docs)
     own = save(fingerprint(docs, "text", "h", "p").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "h", name("h", "p").alias("fingerprint"), F.size("h").alias("n_chosen")))
-    if own.count() != own.select("doc_id").distinct().count():
-        return compare_edited(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
     order = save(neighbours(own.select("doc_id", "n_chars")))
     whole = docs.join(own, "doc_id")
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_for"), F.floor(F.col("n_chars") / 4).cast("int").alias("_n"))
