@@ -85,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = tuple(row)
 
 

@@ -9,10 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import bpe, chat, decontaminate, links, neardup, quality, sharding, winnow
+from tallygrove.llm import bpe, chat, decontaminate, lines, links, neardup, quality, sharding, winnow
 from tallygrove.llm.common import digest, table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its lines, how many went, and what is left."""
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -65,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_winnow": op2_winnow, "op3_neardup": op3_neardup, "op4_links": op4_links, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op1_lines": op1_lines, "op2_winnow": op2_winnow, "op3_neardup": op3_neardup, "op4_links": op4_links, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
