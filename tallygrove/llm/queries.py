@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import bpe, chat, decontaminate, lines, links, neardup, quality, sharding, winnow
+from tallygrove.llm import bpe, chat, decontaminate, lines, links, neardup, quality, sharding, spans, winnow
 from tallygrove.llm.common import digest, table
 
 
@@ -31,6 +31,11 @@ def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each maximal conversation."""
     return chat.render(table(spark, sf_dir, "conversations")).select("conv_id", "n_turns", "n_copies", "chat", digest(F.col("chat")).alias("chat_sha256"))
@@ -71,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_lines": op1_lines, "op2_winnow": op2_winnow, "op3_neardup": op3_neardup, "op4_links": op4_links, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
+    return {"op1_lines": op1_lines, "op2_winnow": op2_winnow, "op3_neardup": op3_neardup, "op4_links": op4_links, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
