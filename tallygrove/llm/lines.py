@@ -59,18 +59,27 @@ def signatures(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return vec.minima((shingles >> vec.U64(32)).astype(np.uint32), begins, BANDS * ROWS)
 
 
+def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
+    """The distinct 64-bit shingle hashes of each line."""
+    _, _, start, stop, prefix = hashed_lines(lines)
+    out = []
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        at = np.arange(a, max(a + 1, b - SHINGLE + 1))
+        out.append(np.unique(vec.spans(prefix, at, np.minimum(at + SHINGLE, b))))
+    return out
+
+
 def shingles(line: str) -> set[str]:
     line = line.lower()
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similar(a: str, b: str, percent: int = PERCENT) -> bool:
-    """Whether the Jaccard similarity of the lines' shingle sets is at least ``percent``."""
-    x, y = shingles(a), shingles(b)
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+def similar(a: set[str], b: set[str], percent: int = PERCENT) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is at least ``percent``."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(x & y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +97,10 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
         bucket = int(places["key"][0] % np.uint64(n_buckets))
         first, again = _split(places)
         yield lsh.passed(GONE, again, bucket)
-        yield lsh.dealt(FIRST, first, "key", n_buckets)
+        yield lsh.dealt(FIRST, first, n_buckets, "doc")
         _, once = np.unique(hashes, return_index=True)
         least, star = lsh.stars(bands[:, once].ravel(), np.tile(hashes[once].view(np.int64), BANDS))
-        yield lsh.dealt(lsh.BAND, least, "key", n_buckets)
+        yield lsh.dealt(lsh.BAND, least, n_buckets)
         yield lsh.passed(lsh.MEMBER, star, bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +118,7 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
                 places.append(own[~blank])
                 once = np.flatnonzero(~blank)[np.unique(found[~blank], return_index=True)[1]]
                 hashes.append(found[once])
-                bands.append(vec.band_keys(signatures(prefix, start[once], stop[once]), ROWS))
+                bands.append(vec.band_keys(signatures(prefix, start[once], stop[once]), vec.runs_of(BANDS, ROWS)))
                 n += len(places[-1])
                 if n >= FLUSH:
                     yield from flush(np.concatenate(places), np.concatenate(hashes), np.concatenate(bands, 1))
@@ -121,7 +130,7 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _extra(table: pa.Table) -> Iterator[pa.Table]:
-    first, again = _split(lsh.unpack(table, FIRST, _PLACE))
+    first, again = _split(lsh.undealt(table, FIRST, _PLACE, "doc"))
     again = np.concatenate([again, lsh.unpack(table, GONE, _PLACE)])
     for kind, rows in ((FIRST, first), (GONE, again)):
         yield pa.table({"kind": pa.array(np.full(len(rows), kind), pa.int32()), "a": rows["key"].view(np.int64), "b": rows["doc"], "c": rows["line"].astype(np.int64)})
@@ -130,7 +139,8 @@ def _extra(table: pa.Table) -> Iterator[pa.Table]:
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, lines: the numbers (from 0) of the lines that go from each document that loses any."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    n_buckets = lsh.buckets(docs.count() * 10 * BANDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_docs = docs.count()
+    n_buckets, tasks = lsh.buckets(n_docs * 10 * BANDS), lsh.tasks_for(n_docs)
     rows = save(lsh.grouped(_scan(docs, n_buckets), _extra, "kind int, a bigint, b bigint, c bigint", _OUT), "kind")
     members = rows.where(F.col("kind") == lsh.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("centre"), F.col("c").alias("item"))
     firsts = rows.where(F.col("kind") == FIRST).select(F.col("a").alias("item"), F.col("b").alias("doc_id"), F.col("c").alias("line"))
@@ -152,13 +162,27 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+        sets: dict[str, set[str]] = {}  # a line comes in many pairs
+        held, out = 0, []
+        for pair in zip(a, b, strict=True):
+            for line in pair:
+                if line not in sets:
+                    sets[line] = shingles(line)
+                    held += len(line)
+            out.append(similar(*map(sets.__getitem__, pair), percent))
+            if held > 1_000_000:
+                sets, held = {}, 0
+        return pd.Series(out, dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("item").alias("a"), F.col("line").alias("_la")), "a").join(texts.select(F.col("item").alias("b"), F.col("line").alias("_lb")), "b")
-        return both.where(alike("_la", "_lb")).select("a", "b")
+        return save(both.where(alike("_la", "_lb")).select("a", "b"))
+
+    def compare(rows: DataFrame) -> DataFrame:
+        links = lambda t: lsh.block_links(t, "line", shingle_hashes, percent)
+        return rows.join(texts.hint("shuffle_merge"), "item").groupBy("bucket").applyInArrow(links, "a bigint, b bigint")
 
-    roots = lsh.link(members, items.select(F.col("item").alias("a"), F.col("item").alias("b")).limit(0), verify)
+    roots = lsh.link(members, items.select(F.col("item").alias("a"), F.col("item").alias("b")).limit(0), verify, compare, tasks)
     classed = save(firsts.join(roots.withColumnRenamed("node", "item"), "item").select("root", "doc_id", "line"))
     kept = classed.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("_kept"))
     more = classed.join(kept, "root").where(F.struct("doc_id", "line") != F.col("_kept")).select("doc_id", "line")

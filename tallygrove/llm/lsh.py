@@ -28,8 +28,13 @@ STAR = np.dtype([("key", "u8"), ("centre", "i8"), ("item", "i8")])
 BUCKET_ENTRIES = 500_000
 
 
-def buckets(entries: int, least: int) -> int:
-    return int(min(1_000_000, max(least, -(-entries // BUCKET_ENTRIES))))
+def buckets(entries: int) -> int:
+    return int(max(12, -(-entries // BUCKET_ENTRIES)))
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks of a stage over rows of a few numbers, a fraction of the table's ``rows`` or a small multiple."""
+    return int(max(12, -(-rows // 50_000)))
 
 
 def stars(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,16 +54,33 @@ def stars(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least, star
 
 
-def dealt(kind: int, rows: np.ndarray, key: str, n: int) -> pa.RecordBatch:
-    """rows, packed by bucket."""
-    bucket = (rows[key] % np.uint64(n)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+def dealt(kind: int, rows: np.ndarray, n: int, delta: str = "item") -> pa.RecordBatch:
+    """rows by bucket of their key, in the order of ``delta``; each field by itself, ``delta`` as differences, so that they compress."""
+    bucket = (rows["key"] % np.uint64(n)).astype(np.int32)
+    order = np.lexsort((rows[delta], bucket)) if delta in rows.dtype.names else np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    blobs = [x.tobytes() for x in np.split(rows, at[1:])] if len(rows) else []
+    blobs = []
+    for part in np.split(rows, at[1:]) if len(rows) else []:
+        blobs.append(b"".join((np.diff(part[f], prepend=part[f].dtype.type(0)) if f == delta else part[f]).tobytes() for f in part.dtype.names))
     return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], schema=PACKED_ARROW)
 
 
+def undealt(table: pa.Table, kind: int, dtype: np.dtype, delta: str = "item") -> np.ndarray:
+    parts = []
+    for k, blob in zip(table["kind"].to_pylist(), table["blob"], strict=True):
+        if k == kind:
+            raw = blob.as_py()
+            part = np.empty(len(raw) // dtype.itemsize, dtype)
+            at = 0
+            for f in dtype.names:
+                got = np.frombuffer(raw, dtype[f], len(part), at)
+                part[f] = np.cumsum(got) if f == delta else got
+                at += len(part) * dtype[f].itemsize
+            parts.append(part)
+    return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+
 def passed(kind: int, rows: np.ndarray, bucket: int) -> pa.RecordBatch:
     """rows, packed as they are: the bucket stage hands them on."""
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([rows.tobytes()], pa.binary())], schema=PACKED_ARROW)
@@ -69,59 +91,116 @@ def unpack(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int) -> DataFrame:
     """edges: a, b. node and root (the least node it reaches) of every node of an edge between different nodes.
 
-    Large and small stars in turn (Kiveris et al., 2014) until nothing changes; every round is written to the shared folder.
+    Large and small stars in turn (Kiveris et al., 2014) until only stars are left; every round is written to the shared
+    folder. ``tasks`` bounds the tasks of a stage; the caller lets it grow with the table.
     """
-    now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().coalesce(tasks))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
+        now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+        # Stars only: no node is below one node and above another, or below two.
+        roles = now.select(F.col("u").alias("n"), F.lit(1).alias("low")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("low")))
+        if roles.groupBy("n").agg(F.sum("low").alias("s"), F.min("low").alias("m")).coalesce(tasks).where("s > 1 or (s = 1 and m = 0)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = tuple(row)
 
 
-def link(members: DataFrame, same: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 4) -> DataFrame:
-    """members: key, centre, item (STAR rows); same: a, b known to be linked; verify: pairs a, b to those that are linked.
+#: Items of a family that one block holds on either side.
+BLOCK = 2048
 
-    node and root of every node that is linked.
+
+def blocked(items: DataFrame, tasks: int) -> DataFrame:
+    """items: item, root, family. Each row once for each block of its family: bucket, block, first, last, item, root.
+
+    A family is cut by a hash into parts of about BLOCK items, and every two parts (and each by itself) make a block, so a
+    family of any size is spread over many tasks of bounded memory.
+    """
+    sizes = items.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
+    cut = items.join(sizes, "family").withColumn("_own", F.pmod(F.xxhash64("item"), F.col("_parts")).cast("int"))
+    both = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    block = F.xxhash64("family", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return both.select(F.pmod(block, F.lit(4 * tasks)).cast("int").alias("bucket"), block.alias("block"), (F.col("_own") <= F.col("_other")).alias("first"), (F.col("_own") >= F.col("_other")).alias("last"), "item", "root")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections, by products of incidence matrices a few thousand elements at a time."""
+    sizes = [len(x) for x in sets]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[element] > 1
+    place = np.cumsum(count > 1)[element[shared]] - 1
+    owner = owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(256, 4_000_000 // max(1, len(sets)))
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, (lo, lo + width))
+        tile = np.zeros((len(sets), width), np.float32)
+        tile[owner[a:b], place[a:b] - lo] = 1
+        out += tile @ tile.T
+    return out
+
+
+def block_links(table: pa.Table, column: str, sets_of: Callable[[list], list[np.ndarray]], percent: int) -> pa.Table:
+    """The links of different roots within each block of a bucket, exactly; of those only a spanning forest.
+
+    column: what ``sets_of`` turns into the items' sets.
+    """
+    block = table["block"].to_numpy()
+    first, last = (np.array(table[c].to_pylist(), bool) for c in ("first", "last"))
+    root, item, raw = table["root"].to_numpy(), table["item"].to_numpy(), table[column].to_pylist()
+    order = np.argsort(block, kind="stable")
+    found: list[tuple[int, int]] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+        sets = sets_of([raw[i] for i in rows])
+        n = np.array([len(x) for x in sets])
+        both = intersections(sets)
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        near &= first[rows][:, None] & last[rows][None, :] & (root[rows][:, None] != root[rows][None, :])
+        top: dict[int, int] = {}
+
+        def lead(x: int, top=top) -> int:
+            while top.get(x, x) != x:
+                top[x] = top.get(top[x], top[x])
+                x = top[x]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = lead(int(root[rows[i]])), lead(int(root[rows[j]]))
+            if x != y:
+                top[x] = y
+                found.append((int(item[rows[i]]), int(item[rows[j]])))
+    return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+
+def link(members: DataFrame, same: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], tasks: int) -> DataFrame:
+    """members: key, centre, item (STAR rows); same: a, b known to be linked; verify: pairs a, b to those that are linked;
+    compare: blocked() rows to links a, b between different roots, enough of them to join all that are linked.
+
+    node and root of every node that is linked. The stars come first. Items of buckets that then still lie in different
+    classes form families (joined by buckets), and all pairs of a family that lie in different classes are compared.
     """
-    pair = [F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")]
-    tested = save(members.select(F.col("centre").alias("_x"), F.col("item").alias("_y")).select(*pair).distinct())
-    found = save(same.select("a", "b").unionByName(verify(tested)))
-    roots = components(found)
+    pairs = members.select(F.least("centre", "item").alias("a"), F.greatest("centre", "item").alias("b")).distinct().coalesce(tasks)
+    found = save(same.select("a", "b").unionByName(verify(save(pairs))).coalesce(tasks))
+    roots = save(components(found, tasks).coalesce(tasks))
+    labels = roots.withColumnRenamed("node", "item")
     every = members.select("key", "item").unionByName(members.select("key", F.col("centre").alias("item"))).distinct()
-    for turn in range(star_rounds + 1):
-        # Buckets whose items are not yet all of one class.
-        labelled = every.join(roots.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.min_by("item", F.xxhash64("item", F.lit(turn))).alias("_c"), F.min_by("root", F.xxhash64("item", F.lit(turn))).alias("_cr")).where("_lo <> _hi")
-        open_ = save(labelled.join(mixed.select("key", "_n", "_c", "_cr"), "key"))
-        size = open_.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
-        if not size[0]:
-            return roots
-        last = turn == star_rounds or size[1] <= 12 * size[0]  # few items a bucket: pair by pair
-        if last:
-            left = open_.select("key", F.col("item").alias("_x"), F.col("root").alias("_rx"))
-            right = open_.select("key", F.col("item").alias("_y"), F.col("root").alias("_ry"))
-            pairs = left.join(right, "key").where("_rx < _ry")
-        else:
-            pairs = open_.where("root <> _cr").select(F.col("_c").alias("_x"), F.col("item").alias("_y"))
-        fresh = save(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"))
-        new = save(verify(fresh))
-        tested = tested.unionByName(fresh)
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            roots = components(found)
-        if last:
-            return roots
+    labelled = save(every.join(labels, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root")).coalesce(tasks))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("item").alias("_c")).where("_lo <> _hi")
+    open_ = save(labelled.join(mixed.select("key", "_c"), "key").select("item", "root", "_c").coalesce(tasks).distinct().coalesce(tasks))
+    if open_.isEmpty():
+        return roots
+    families = components(open_.select(F.col("_c").alias("a"), F.col("item").alias("b")), tasks)
+    items = open_.select("item", "root").distinct().join(families.select(F.col("node").alias("item"), F.col("root").alias("family")), "item")
+    more = save(compare(blocked(items, tasks)))
+    return roots if more.isEmpty() else components(save(found.unionByName(more).coalesce(tasks)), tasks)
 
 
 def grouped(packed: DataFrame, extra: Callable[[pa.Table], Iterator[pa.Table]] | None, schema: str, band_schema: pa.Schema) -> DataFrame:
@@ -129,7 +208,7 @@ def grouped(packed: DataFrame, extra: Callable[[pa.Table], Iterator[pa.Table]] |
 
     def run(table: pa.Table) -> pa.Table:
         own = unpack(table, MEMBER, STAR)
-        keyed = unpack(table, BAND, KEYED)
+        keyed = undealt(table, BAND, KEYED)
         _, star = stars(keyed["key"], keyed["item"])
         rows = np.concatenate([own, star])
         out = [pa.table({"kind": pa.array(np.full(len(rows), MEMBER), pa.int32()), "a": rows["key"].view(np.int64), "b": rows["centre"], "c": rows["item"]})]

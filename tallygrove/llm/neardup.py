@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tallygrove.llm import lsh, vec
 from tallygrove.llm.common import save, unique_docs
 
-#: Bands of registers and registers in a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**32 > 0.999996.
-BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+#: Registers of a sketch; bands, each of some of them, drawn: a pair of similarity 0.8 shares a band with a chance of about 1 - (1 - 0.8**12)**160 > 0.9999, one of 0.5 with 0.04.
+REGISTERS, BANDS, ROWS = 256, 160, 12
+_DRAWN = vec.draws_of(BANDS, ROWS, REGISTERS)
 #: Parameters of SetSketch.
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: How far below the threshold an estimate drops a pair, in standard deviations of the registers.
@@ -104,10 +104,10 @@ def _sketch(docs: DataFrame, size: int, n_buckets: int) -> DataFrame:
         items["sketched"][first] = True
         same = np.empty(len(first), _SAME)
         same["key"], same["key2"], same["item"] = keys[0][first], keys[1][first], items["item"][first]
-        yield lsh.dealt(lsh.SAME, same, "key", n_buckets)
-        bands = vec.band_keys(items["sketch"][first].T, ROWS)
+        yield lsh.dealt(lsh.SAME, same, n_buckets)
+        bands = vec.band_keys(items["sketch"][first].T, _DRAWN)
         least, star = lsh.stars(bands.ravel(), np.tile(items["item"][first], len(bands)))
-        yield lsh.dealt(lsh.BAND, least, "key", n_buckets)
+        yield lsh.dealt(lsh.BAND, least, n_buckets)
         yield lsh.passed(lsh.MEMBER, star, bucket)
         yield lsh.passed(lsh.ITEM, items, bucket)
 
@@ -139,7 +139,7 @@ def _sketch(docs: DataFrame, size: int, n_buckets: int) -> DataFrame:
 def _extra(table: pa.Table) -> Iterator[pa.Table]:
     links = lsh.unpack(table, lsh.SAME + 10, lsh.STAR)
     yield pa.table({"kind": pa.array(np.full(len(links), lsh.SAME), pa.int32()), "a": links["centre"], "b": links["item"]})
-    same = lsh.unpack(table, lsh.SAME, _SAME)
+    same = lsh.undealt(table, lsh.SAME, _SAME)
     order = np.lexsort((same["item"], same["key2"], same["key"]))
     same = same[order]
     new = np.ones(len(same), bool)
@@ -156,38 +156,50 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Two documents are linked where 100 * intersection >= percent * union of their sets of ``size``-word shingles.
     """
-    docs = unique_docs(docs)
-    n_buckets = lsh.buckets(docs.count() * BANDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = unique_docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_docs = docs.count()
+    n_buckets, tasks = lsh.buckets(n_docs * BANDS), lsh.tasks_for(n_docs)
     rows = save(lsh.grouped(_sketch(docs, size, n_buckets), _extra, "kind int, a bigint, b bigint, c bigint, sketch binary", _OUT), "kind")
-    items = rows.where(F.col("kind") == lsh.ITEM).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    sketches = rows.where(F.col("kind") == lsh.ITEM).where("sketch is not null").select(F.col("a").alias("_id"), F.col("b").alias("_n"), "sketch")
+    items = rows.where(F.col("kind") == lsh.ITEM).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "sketch")
+    members = rows.where(F.col("kind") == lsh.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("centre"), F.col("c").alias("item"))
     bound = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    # What the checks need of every candidate: one pass over the texts, however many rounds follow.
+    ids = members.select(F.col("item").alias("doc_id")).unionByName(members.select(F.col("centre").alias("doc_id"))).distinct()
+    candidates = save(docs.join(ids.join(items, "doc_id").hint("shuffle_merge"), "doc_id").select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n"), "sketch", "text"))
 
     @F.pandas_udf("double")
     def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, REGISTERS) for s in (a, b))
         return pd.Series(estimate(x, y, na.to_numpy(float), nb.to_numpy(float)))
 
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in vec.slices([len(x) for x in texts]):
-                sets = shingle_sets(texts[a:b], size)
-                values = np.concatenate(sets).view(np.int64)
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["_id", "_set"])
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left, right = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            keep = np.zeros(len(a), bool)
+            for lo, hi in vec.slices([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
+                texts = dict(zip(a[lo:hi], left[lo:hi], strict=True)) | dict(zip(b[lo:hi], right[lo:hi], strict=True))
+                sets = dict(zip(texts, shingle_sets(list(texts.values()), size), strict=True))
+                for i in range(lo, hi):
+                    x, y = sets[a[i]], sets[b[i]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    def side(x: str, column: str) -> DataFrame:
+        return candidates.select(F.col("_id").alias(x), F.col("_n").alias(f"_n{x}"), F.col(column).alias(f"_{x}")).hint("shuffle_merge")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = {x: sketches.select(F.col("_id").alias(x), F.col("_n").alias(f"_n{x}"), F.col("sketch").alias(f"_s{x}")) for x in "ab"}
         # Sizes alone rule out many pairs: the intersection is at most the smaller set.
-        near = pairs.join(side["a"], "a").join(side["b"], "b").where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
-        near = save(near.where(likely("_sa", "_sb", "_na", "_nb") >= bound).select("a", "b", "_na", "_nb"))
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(set_rows, "_id bigint, _set array<bigint>"))
-        both = near.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
-        shared = F.size(F.array_intersect("_sa", "_sb"))
-        return both.select("a", "b", (F.col("_na") + F.col("_nb")).alias("_n"), shared.alias("_i")).where(100 * F.col("_i") >= percent * (F.col("_n") - F.col("_i"))).select("a", "b")
-
-    members = rows.where(F.col("kind") == lsh.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("centre"), F.col("c").alias("item"))
-    roots = lsh.link(members, rows.where(F.col("kind") == lsh.SAME).select("a", "b"), verify)
-    return items.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
+        near = save(near.where(likely("_a", "_b", "_na", "_nb") >= bound).select("a", "b"))
+        both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "_a", "_b")
+        return save(both.mapInArrow(confirm, "a bigint, b bigint"))
+
+    def compare(rows: DataFrame) -> DataFrame:
+        known = candidates.select(F.col("_id").alias("item"), "text").hint("shuffle_merge")
+        links = lambda t: lsh.block_links(t, "text", lambda texts: shingle_sets([x.encode() for x in texts], size), percent)
+        return rows.join(known, "item").groupBy("bucket").applyInArrow(links, "a bigint, b bigint")
+
+    roots = lsh.link(members, rows.where(F.col("kind") == lsh.SAME).select("a", "b"), verify, compare, tasks)
+    return items.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

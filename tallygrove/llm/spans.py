@@ -43,33 +43,6 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _OUT = "kind int, doc_id bigint, start int, n int"
 
 
-def _columns(kind: int, rows: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """rows by bucket, in document order, each field by itself and documents as differences, so that they compress."""
-    bucket = (rows["key"] % np.uint64(n_buckets)).astype(np.int32)
-    order = np.lexsort((rows["start"], rows["doc"], bucket)) if "doc" in rows.dtype.names else np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    blobs = []
-    for part in np.split(rows, at[1:]) if len(rows) else []:
-        blobs.append(b"".join((np.diff(part[f], prepend=part[f].dtype.type(0)) if f == "doc" else part[f]).tobytes() for f in part.dtype.names))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], schema=lsh.PACKED_ARROW)
-
-
-def _unpacked(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
-    parts = []
-    for k, blob in zip(table["kind"].to_pylist(), table["blob"], strict=True):
-        if k == kind:
-            raw = blob.as_py()
-            part = np.empty(len(raw) // dtype.itemsize, dtype)
-            at = 0
-            for f in dtype.names:
-                got = np.frombuffer(raw, dtype[f], len(part), at)
-                part[f] = np.cumsum(got) if f == "doc" else got
-                at += len(part) * dtype[f].itemsize
-            parts.append(part)
-    return np.concatenate(parts) if parts else np.empty(0, dtype)
-
-
 def _first(rows: np.ndarray, *fields: str) -> np.ndarray:
     """Which rows, in their order, have other values of ``fields`` than the one before."""
     out = np.ones(len(rows), bool)
@@ -127,8 +100,8 @@ def _scan_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
         yield lsh.passed(CHECK, _spans(branching), bucket)
         marks = np.empty(int(_first(branching, "key").sum()), [("key", "u8")])
         marks["key"] = branching["key"][_first(branching, "key")]
-        yield _columns(MARK, marks, n_buckets)
-        yield _columns(RUN, single, n_buckets)
+        yield lsh.dealt(MARK, marks, n_buckets, "doc")
+        yield lsh.dealt(RUN, single, n_buckets, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -156,7 +129,7 @@ def _rows(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
 
 def _join_runs(table: pa.Table) -> pa.Table:
     """One bucket of minimizers: of each that does not branch, all runs but the first are GONE; where it branches, CHECK."""
-    rows, marks = _unpacked(table, RUN, _RUN), _unpacked(table, MARK, np.dtype([("key", "u8")]))["key"]
+    rows, marks = lsh.undealt(table, RUN, _RUN, "doc"), lsh.undealt(table, MARK, np.dtype([("key", "u8")]), "doc")["key"]
     rows = rows[np.lexsort((rows["start"], rows["doc"], rows["key"]))]
     new = _first(rows, "key")
     at = np.flatnonzero(new)
@@ -191,7 +164,7 @@ def _scan_windows(docs: DataFrame, n_buckets: int) -> DataFrame:
     def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         once, again = _settle_windows(rows)
         yield lsh.passed(GONE, _merged(again), int(rows["key"][0] % np.uint64(n_buckets)))
-        yield _columns(RUN, once, n_buckets)
+        yield lsh.dealt(RUN, once, n_buckets, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -223,7 +196,7 @@ def _scan_windows(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _join_windows(table: pa.Table) -> pa.Table:
-    _, again = _settle_windows(_unpacked(table, RUN, _WINDOW))
+    _, again = _settle_windows(lsh.undealt(table, RUN, _WINDOW, "doc"))
     return _rows([(GONE, _merged(again)), (GONE, lsh.unpack(table, GONE, _SPAN))])
 
 
@@ -233,8 +206,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     docs: doc_id (unique, not null) and text (not null).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = lsh.buckets(docs.count() * 100, parts)
+    n_buckets = lsh.buckets(docs.count() * 100)
     found = save(_scan_runs(docs, n_buckets).groupBy("bucket").applyInArrow(_join_runs, _OUT), "kind")
     listed = F.collect_list(F.struct("start", "n")).alias("spans")
     check = found.where(F.col("kind") == CHECK).groupBy("doc_id").agg(listed)

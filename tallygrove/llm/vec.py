@@ -99,12 +99,23 @@ def minima(x32: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
-    """values: signature places by items. A key for each band of ``rows`` places (rows of the result) and item."""
+def band_keys(values: np.ndarray, bands: list[list[int]]) -> np.ndarray:
+    """values: signature places by items. A key for each band (its places in the signature) and item."""
     out = []
-    for band in range(len(values) // rows):
-        key = np.full(values.shape[1], band + 1, U64) * ODD[40]
-        for j in range(rows):
-            key += values[band * rows + j].astype(U64) * ODD[j]
+    for number, places in enumerate(bands):
+        key = np.full(values.shape[1], number + 1, U64) * ODD[40]
+        for j, place in enumerate(places):
+            key += values[place].astype(U64) * ODD[j]
         out.append(mix(key))
     return np.array(out).reshape(-1, values.shape[1])
+
+
+def runs_of(n: int, rows: int) -> list[list[int]]:
+    """``n`` bands of ``rows`` places each, one after the other."""
+    return [list(range(i * rows, (i + 1) * rows)) for i in range(n)]
+
+
+def draws_of(n: int, rows: int, places: int) -> list[list[int]]:
+    """``n`` bands of ``rows`` places each, drawn anew from the same ``places`` for every band."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    return [sorted(rng.choice(places, rows, replace=False).tolist()) for _ in range(n)]
