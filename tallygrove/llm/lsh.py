@@ -139,8 +139,9 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(256, 4_000_000 // max(1, len(sets)))
-    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+    columns = int(place[-1]) + 1 if len(place) else 0
+    width = max(1, min(columns, max(256, 4_000_000 // max(1, len(sets)))))
+    for lo in range(0, columns, width):
         a, b = np.searchsorted(place, (lo, lo + width))
         tile = np.zeros((len(sets), width), np.float32)
         tile[owner[a:b], place[a:b] - lo] = 1
