@@ -29,8 +29,9 @@ from tallygrove.llm.common import save
 
 #: Characters in a shingle.
 SHINGLE = 8
-#: Bands of minima and minima in a band: lines of similarity 0.8 share a band with probability 1 - (1 - 0.8**3)**10 > 0.999.
-BANDS, ROWS = 10, 3
+#: Minima of a signature; bands, each of some of them, drawn: lines of similarity 0.8 share a band with a chance of about 1 - (1 - 0.8**4)**16 > 0.999.
+MINIMA, BANDS, ROWS = 48, 16, 4
+_DRAWN = vec.draws_of(BANDS, ROWS, MINIMA)
 PERCENT = 80
 #: Lines that a task gathers before it groups and sends them.
 FLUSH = 150_000
@@ -56,7 +57,7 @@ def signatures(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     begins = np.cumsum(sizes) - sizes
     at = np.arange(int(sizes.sum())) + np.repeat(start - begins, sizes)
     shingles = vec.spans(prefix, at, np.minimum(at + SHINGLE, np.repeat(stop, sizes)))
-    return vec.minima((shingles >> vec.U64(32)).astype(np.uint32), begins, BANDS * ROWS)
+    return vec.minima((shingles >> vec.U64(32)).astype(np.uint32), begins, MINIMA)
 
 
 def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
@@ -118,7 +119,7 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
                 places.append(own[~blank])
                 once = np.flatnonzero(~blank)[np.unique(found[~blank], return_index=True)[1]]
                 hashes.append(found[once])
-                bands.append(vec.band_keys(signatures(prefix, start[once], stop[once]), vec.runs_of(BANDS, ROWS)))
+                bands.append(vec.band_keys(signatures(prefix, start[once], stop[once]), _DRAWN))
                 n += len(places[-1])
                 if n >= FLUSH:
                     yield from flush(np.concatenate(places), np.concatenate(hashes), np.concatenate(bands, 1))

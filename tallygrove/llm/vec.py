@@ -110,11 +110,6 @@ def band_keys(values: np.ndarray, bands: list[list[int]]) -> np.ndarray:
     return np.array(out).reshape(-1, values.shape[1])
 
 
-def runs_of(n: int, rows: int) -> list[list[int]]:
-    """``n`` bands of ``rows`` places each, one after the other."""
-    return [list(range(i * rows, (i + 1) * rows)) for i in range(n)]
-
-
 def draws_of(n: int, rows: int, places: int) -> list[list[int]]:
     """``n`` bands of ``rows`` places each, drawn anew from the same ``places`` for every band."""
     rng = np.random.Generator(np.random.PCG64(11))
