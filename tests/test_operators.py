@@ -158,3 +158,42 @@ def test_downloads(tmp_path):
         return "ok"
 
     assert staged.retry(flaky, wait=0) == "ok" and len(calls) == 3
+
+
+def test_sinks(spark, tmp_path):
+    from tallygrove.sources import sinks
+
+    df = spark.createDataFrame([(2022, "T-60", 1), (2024, "T-60", 2)], "cycle int, snapshot string, v int")
+    path = str(tmp_path / "m")
+    sinks.write_matrix(df, path)
+    sinks.write_matrix(df.where("cycle = 2024").withColumn("v", F.lit(9)), path)
+    assert sorted((r["cycle"], r["v"]) for r in staged.processed(spark, path).collect()) == [(2022, 1), (2024, 9)]
+    assert staged.processed(spark, path, 2024, "T-60").count() == 1
+    sinks.append_json(df, str(tmp_path / "j"))
+    sinks.append_json(df, str(tmp_path / "j"))
+    assert staged.json_lines(spark, str(tmp_path / "j")).count() == 4
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert dict(staged.csv(spark, str(tmp_path / "c")).dtypes)["v"] == "int"
+    cuts = [i / 10 for i in range(1, 10)]
+    sinks.write_thresholds(str(tmp_path / "t.json"), cuts, alpha=0.3)
+    assert sinks.read_thresholds(str(tmp_path / "t.json")) == cuts
+    with pytest.raises(ValueError):
+        sinks.write_thresholds(str(tmp_path / "t.json"), cuts[:3])
+
+
+def test_legacy(spark):
+    from tallygrove.operators import legacy
+
+    df = spark.createDataFrame([("1", "1.5", "x"), ("2", None, "3")], "a string, b string, c string")
+    assert [k for _, k in legacy.typed(df, ["a", "b", "c"]).dtypes] == ["bigint", "double", "string"]
+    assert legacy.geography_request([("state", "06"), ("congressional district", "*")]) == {"for": "congressional+district:*", "in": "state:06"}
+    assert legacy.summary_level([("state", "06"), ("county", "*")]) == "050"
+    names = spark.createDataFrame([("Congressional District 7 (115th Congress), Ohio",), ("Congressional District (at Large) (115th Congress), Alaska",)], "n string")
+    assert [tuple(r) for r in names.select(*legacy.index_parts("n")).collect()] == [(7, "Ohio"), (0, "Alaska")]
+    votes = spark.createDataFrame([("1,200", "DEM"), ("x", "REP"), ("5", "GRN")], "vote_count string, party string")
+    assert sorted(map(tuple, legacy.old_votes([votes, votes.select("party")]).select("party", "vote_count").collect()), key=repr) == [("DEM", 1200), ("DEM", None), ("REP", None), ("REP", None)]
+    rows = spark.createDataFrame([(float(i), float(i % 7), 3.0 * i) for i in range(120)], "x double, z double, y double")
+    _, r2 = legacy.grid_search(rows, ["x", "z"], "y", depths=(3,), sizes=(5,), folds=2)
+    assert r2 > 0.8
+    with pytest.raises(ValueError):
+        legacy.geography_first(df, ["state"])
