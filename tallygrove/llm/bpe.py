@@ -47,10 +47,13 @@ class WordBpe:
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
-        model, normalizer = spec["model"], spec["normalizer"]["normalizers"]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
-        if model["type"] != "BPE" or [x["type"] for x in normalizer] != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or level["type"] != "ByteLevel" or level["use_regex"] or level["add_prefix_space"] or spec["decoder"]:
-            raise ValueError("not a word BPE: NFC, lower case, pattern split, byte letters and word ends are expected")
+        model, normalizer = spec["model"], (spec["normalizer"] or {}).get("normalizers", [])
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if model["type"] != "BPE" or [x["type"] for x in normalizer] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or spec["decoder"]:
+            raise ValueError("not a word BPE: NFC, lower case, a pattern split and byte letters are expected")
+        split, level = steps
+        if split["behavior"] != "Removed" or not split["invert"] or level["use_regex"] or level["add_prefix_space"]:
+            raise ValueError("not a word BPE: words are what the pattern finds")
         vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

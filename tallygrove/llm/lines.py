@@ -35,6 +35,8 @@ _DRAWN = vec.draws_of(BANDS, ROWS, MINIMA)
 PERCENT = 80
 #: Lines that a task gathers before it groups and sends them.
 FLUSH = 150_000
+#: Characters hashed at a time: few enough for a core's own cache.
+CHUNK = 300_000
 FIRST, GONE = 4, 5
 _PLACE = np.dtype([("key", "u8"), ("doc", "i8"), ("line", "i4")])
 _OUT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
@@ -51,35 +53,49 @@ def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return vec.spans(prefix, start, stop), seen[start] == seen[stop], start, stop, prefix
 
 
+def _hashes(prefix: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of the SHINGLE characters from each place that has so many."""
+    _, inverses = vec.powers(len(prefix))
+    raw = prefix[SHINGLE:] - prefix[:-SHINGLE]
+    raw *= inverses[: len(raw)]
+    raw += vec.U64(SHINGLE)
+    return vec.mix(raw)
+
+
 def signatures(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The minima (rows) of each line (columns), none of them empty."""
-    sizes = np.maximum(1, stop - start - SHINGLE + 1)
-    begins = np.cumsum(sizes) - sizes
-    at = np.arange(int(sizes.sum())) + np.repeat(start - begins, sizes)
-    shingles = vec.spans(prefix, at, np.minimum(at + SHINGLE, np.repeat(stop, sizes)))
-    return vec.minima((shingles >> vec.U64(32)).astype(np.uint32), begins, MINIMA)
+    """The minima (rows) of each line (columns), none of them empty and all in ascending order."""
+    n = len(prefix) - 1
+    hashes = np.zeros(n, np.uint32)
+    if n >= SHINGLE:
+        hashes[: n - SHINGLE + 1] = _hashes(prefix) >> vec.U64(32)
+    sizes = stop - start - SHINGLE + 1
+    short = sizes < 1
+    hashes[start[short]] = vec.spans(prefix, start[short], stop[short]) >> vec.U64(32)
+    sizes[short] = 1
+    # The places of all shingles, as a mask.
+    edge = np.zeros(n + 1, np.int8)
+    edge[start] += 1
+    np.subtract.at(edge, start + sizes, 1)
+    inside = np.cumsum(edge[:n], dtype=np.int8).view(bool)
+    return vec.minima(hashes[inside], np.cumsum(sizes) - sizes, MINIMA)
 
 
 def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
-    """The distinct 64-bit shingle hashes of each line."""
+    """The distinct 64-bit shingle hashes of each line, in order."""
     _, _, start, stop, prefix = hashed_lines(lines)
+    hashes = _hashes(prefix) if len(prefix) > SHINGLE else np.empty(0, vec.U64)
+    whole = vec.spans(prefix, start, stop)
     out = []
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        at = np.arange(a, max(a + 1, b - SHINGLE + 1))
-        out.append(np.unique(vec.spans(prefix, at, np.minimum(at + SHINGLE, b))))
+    for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
+        out.append(np.unique(hashes[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[k : k + 1])
     return out
 
 
-def shingles(line: str) -> set[str]:
-    line = line.lower()
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-
-
-def similar(a: set[str], b: set[str], percent: int = PERCENT) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether the Jaccard similarity of two shingle sets is at least ``percent``."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(a & b)
+    both = vec.common(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -108,7 +124,7 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
         places, hashes, bands, n = [], [], [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in vec.slices([len(x) for x in texts]):
+            for a, b in vec.slices([len(x) for x in texts], CHUNK):
                 found, blank, start, stop, prefix = hashed_lines(texts[a:b])
                 counts = np.array([x.count("\n") + 1 for x in texts[a:b]])
                 own = np.empty(len(found), _PLACE)
@@ -117,7 +133,7 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
                 if blank.all():
                     continue
                 places.append(own[~blank])
-                once = np.flatnonzero(~blank)[np.unique(found[~blank], return_index=True)[1]]
+                once = np.sort(np.flatnonzero(~blank)[np.unique(found[~blank], return_index=True)[1]])
                 hashes.append(found[once])
                 bands.append(vec.band_keys(signatures(prefix, start[once], stop[once]), _DRAWN))
                 n += len(places[-1])
@@ -159,21 +175,18 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         found.append(split[x["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.string())], ["item", "line"])
 
-    texts = save(docs.join(wanted, "doc_id").select("text", "_wanted").mapInArrow(cut, "item bigint, line string").dropDuplicates(["item"]))
+    texts = save(docs.join(wanted, "doc_id").select("text", "_wanted").mapInArrow(cut, "item bigint, line string"))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets: dict[str, set[str]] = {}  # a line comes in many pairs
-        held, out = 0, []
-        for pair in zip(a, b, strict=True):
-            for line in pair:
-                if line not in sets:
-                    sets[line] = shingles(line)
-                    held += len(line)
-            out.append(similar(*map(sets.__getitem__, pair), percent))
-            if held > 1_000_000:
-                sets, held = {}, 0
-        return pd.Series(out, dtype=bool)
+        out = np.zeros(len(a), bool)
+        left, right = a.tolist(), b.tolist()
+        for lo, hi in vec.slices([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
+            own = list(dict.fromkeys(left[lo:hi] + right[lo:hi]))  # a line comes in many pairs
+            sets = dict(zip(own, shingle_hashes(own), strict=True))
+            for i in range(lo, hi):
+                out[i] = similar(sets[left[i]], sets[right[i]], percent)
+        return pd.Series(out)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("item").alias("a"), F.col("line").alias("_la")), "a").join(texts.select(F.col("item").alias("b"), F.col("line").alias("_lb")), "b")
@@ -203,10 +216,10 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         for batch in batches:
             out, total, removed = [], [], []
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                split = text.split("\n") if text is not None else []
-                drop = {x for x in drop or () if x < len(split)}
-                out.append(text if not drop else "\n".join(x for i, x in enumerate(split) if i not in drop))
-                total.append(len(split))
+                n = text.count("\n") + 1 if text is not None else 0
+                drop = {x for x in drop or () if x < n}
+                out.append(text if not drop else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+                total.append(n)
                 removed.append(len(drop))
             columns = [pa.array(out, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines_", "n_removed_"])

@@ -129,7 +129,7 @@ def blocked(items: DataFrame, tasks: int) -> DataFrame:
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairs' intersections, by products of incidence matrices a few thousand elements at a time."""
+    """Sizes of the intersections of different sets, by products of incidence matrices a few thousand elements at a time."""
     sizes = [len(x) for x in sets]
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

@@ -182,7 +182,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
                 sets = dict(zip(texts, shingle_sets(list(texts.values()), size), strict=True))
                 for i in range(lo, hi):
                     x, y = sets[a[i]], sets[b[i]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = vec.common(x, y)
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
 

@@ -129,7 +129,7 @@ class LineCrf:
     @classmethod
     def fit(cls, texts: list[str], good: list[bool], rounds: int = 150, ridge: float = 1e-3) -> LineCrf:
         prior = float(np.mean(good)) if good else 0.5
-        if not 0 < prior < 1:
+        if not good or not 0 < prior < 1:
             return cls(None, None, None, None, prior)
         x, _, counts = _features(texts)
         mean, scale = x.mean(0), x.std(0)

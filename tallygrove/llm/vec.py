@@ -36,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base, and those of its inverse, at least ``n`` of each."""
     global _powers, _inverses
     if len(_powers) < n:
         n = 1 << (n - 1).bit_length()
@@ -47,15 +48,15 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums, from 0, of values times the powers of the base."""
-    powers, _ = _powers_to(len(values) + 1)
+    base, _ = powers(len(values) + 1)
     out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers[: len(values)], out=out[1:])
+    np.cumsum(values * base[: len(values)], out=out[1:])
     return out
 
 
 def spans(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The hash of each span; it does not depend on where the span lies."""
-    _, inverses = _powers_to(len(prefix))
+    _, inverses = powers(len(prefix))
     return mix((prefix[stop] - prefix[start]) * inverses[start] + (stop - start).astype(U64))
 
 
@@ -91,6 +92,17 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted arrays of distinct elements share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
 def minima(x32: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     """``n`` MinHash values (rows) of each group (columns) of 32-bit hashes. Each group has a member."""
     out = np.empty((n, len(begins)), np.uint32)
