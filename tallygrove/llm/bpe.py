@@ -25,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallygrove.llm import vec
+
 #: Fixed value: the white space of the tokenizer's ``\s``. Python's own also counts the separators 1C to 1F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{WHITE}]+")
-#: Chunks whose ids a worker keeps between batches at most, in characters.
-CACHE_CHARS = 24_000_000
+#: Characters of chunks whose ids a task keeps between batches, about.
+CACHE_CHARS = 4_000_000
 
 COLUMNS = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
@@ -176,18 +178,6 @@ def _model(raw: bytes) -> WordBpe:
     return _loaded[key]
 
 
-def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` characters each."""
-    at, total = 0, 0
-    for i, n in enumerate(lengths):
-        total += n
-        if total >= most:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(lengths):
-        yield at, len(lengths)
-
-
 def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "ids"), key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each of ``docs``: ``key`` and the named ``columns`` of COLUMNS."""
     with open(path, "rb") as f:
@@ -197,25 +187,24 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(vocabulary.value)
         number = {i: str(i) for i in bpe.token}
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in _slices([len(x) for x in texts], 4_000_000):
-                out: dict[str, list] = {c: [] for c in columns}
-                for ids in bpe.encode_batch(texts[a:b]):
-                    plain = bpe.decode(ids) if "decoded" in out or "decoded_sha256" in out else ""
-                    for c, into in out.items():
-                        if c == "n_tokens":
-                            into.append(len(ids))
-                        elif c == "ids":
-                            into.append(ids)
-                        elif c == "ids_sha256":
-                            into.append(hashlib.sha256(" ".join(map(number.__getitem__, ids)).encode()).hexdigest())
-                        elif c == "decoded":
-                            into.append(plain)
-                        else:
-                            into.append(hashlib.sha256(plain.encode()).hexdigest())
-                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-                arrays = [batch.column(0).slice(a, b - a), *(pa.array(out[c], kinds.get(c, pa.string())) for c in columns)]
-                yield pa.RecordBatch.from_arrays(arrays, [key, *columns])
+        for batch in vec.parts(batches, 1):
+            out: dict[str, list] = {c: [] for c in columns}
+            for ids in bpe.encode_batch([x or "" for x in batch.column(1).to_pylist()]):
+                plain = bpe.decode(ids) if "decoded" in out or "decoded_sha256" in out else ""
+                for c, into in out.items():
+                    if c == "n_tokens":
+                        into.append(len(ids))
+                    elif c == "ids":
+                        into.append(ids)
+                    elif c == "ids_sha256":
+                        into.append(hashlib.sha256(" ".join(map(number.__getitem__, ids)).encode()).hexdigest())
+                    elif c == "decoded":
+                        into.append(plain)
+                    else:
+                        into.append(hashlib.sha256(plain.encode()).hexdigest())
+            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], kinds.get(c, pa.string())) for c in columns)], [key, *columns])
+        bpe.cache.clear()
+        bpe.cached = 0  # a worker that waits for its next task holds no texts
 
     return docs.select(key, text).mapInArrow(run, T.StructType(fields))

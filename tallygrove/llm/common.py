@@ -19,7 +19,7 @@ from pyspark.sql import Window
 #: ASCII white space, the word separators of every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
-_used: list[tuple[SparkSession, str]] = []
+_used: list[tuple] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,19 +41,18 @@ def save(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = scratch_dir(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    _used.append((spark, path))
+    _used.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch() -> None:
     """Deletes every scratch table of this process; results that still read one must have been consumed."""
     while _used:
-        spark, path = _used.pop()
+        jvm, conf, path = _used.pop()
         try:
-            jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended before
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended before
             pass
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallygrove.llm import vec
+
 #: Edits allowed for each character of an item.
 RATE = 0.05
 #: Characters of items in one pass.
@@ -153,7 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = _items(shared, rate)
-            for batch in batches:
+            for batch in vec.parts(batches, 1):
                 rows, ids = [], []
                 for i, text in enumerate(batch.column(1)):
                     for match in items.matches(normal(text.as_py())):
@@ -175,7 +177,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = _items(shared, rate)
-            for batch in batches:
+            for batch in vec.parts(batches, at):
                 yield batch.filter(pa.array([next(items.matches(normal(x.as_py())), None) is None for x in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -122,7 +122,7 @@ def _scan(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, hashes, bands, n = [], [], [], 0
-        for batch in batches:
+        for batch in vec.parts(batches, 1):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in vec.slices([len(x) for x in texts], CHUNK):
                 found, blank, start, stop, prefix = hashed_lines(texts[a:b])
@@ -165,7 +165,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = firsts.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "item")).alias("_wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.parts(batches, 0):
             names, found = [], []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 split = text.split("\n")
@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_", T.LongType()), T.StructField("n_removed_", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.parts(batches, at):
             out, total, removed = [], [], []
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 n = text.count("\n") + 1 if text is not None else 0

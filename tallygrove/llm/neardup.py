@@ -113,7 +113,7 @@ def _sketch(docs: DataFrame, size: int, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keyed, n = [], [], 0
-        for batch in batches:
+        for batch in vec.parts(batches, 1):
             ids = batch.column(0).to_numpy()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in vec.slices([len(x) for x in texts]):
@@ -173,7 +173,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return pd.Series(estimate(x, y, na.to_numpy(float), nb.to_numpy(float)))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.parts(batches, 2):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
             keep = np.zeros(len(a), bool)

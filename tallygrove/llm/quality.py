@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrove.llm import vec
+
 #: Most labelled documents that the fit collects.
 MAX_DOCS = 2000
 #: Lowest score of a document that counts as good.
@@ -190,21 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCrf
 
 
 def _scored(model: LineCrf, texts: pa.Array) -> np.ndarray:
-    plain = [x or "" for x in texts.to_pylist()]
-    out, at, total = [], 0, 0
-    for i, text in enumerate(plain):
-        total += len(text)
-        if total >= 4_000_000 or i == len(plain) - 1:
-            out.append(model.score(plain[at : i + 1]))
-            at, total = i + 1, 0
-    return np.concatenate(out) if out else np.zeros(0)
+    return model.score([x or "" for x in texts.to_pylist()])
 
 
 def score(docs: DataFrame, model: LineCrf) -> DataFrame:
     """doc_id and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.parts(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(model, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.select("doc_id").schema[0], T.StructField("score", T.DoubleType())]))
@@ -215,7 +210,7 @@ def keep_good(docs: DataFrame, model: LineCrf, threshold: float = THRESHOLD) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.parts(batches, at):
             yield batch.filter(pa.array(_scored(model, batch.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

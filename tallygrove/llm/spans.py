@@ -105,7 +105,7 @@ def _scan_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in vec.parts(batches, 1):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in vec.slices([len(x) for x in texts]):
                 rows, _ = runs(texts[a:b])
@@ -168,7 +168,7 @@ def _scan_windows(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in vec.parts(batches, 1):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
             lists = batch.column(2)
             offsets, inner = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
@@ -220,7 +220,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = docs.join(repeated(docs), "doc_id", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.parts(batches, 1):
             total, removed, kept = [], [], []
             for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = _WORD.findall(text)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1_500_000
 U64 = np.uint64
@@ -72,6 +74,13 @@ def slices(lengths: list[int] | np.ndarray, most: int = CHUNK) -> Iterator[tuple
         yield at, len(lengths)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where ``column`` holds more than about ``most`` bytes, so that a worker unpacks little at a time."""
+    for batch in batches:
+        for a, b in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), most):
+            yield batch.slice(a, b - a)
+
+
 def words(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's begin (and the last one's end). fold: A-Z count as a-z."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
