@@ -32,7 +32,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{WHITE}]+")
 #: Characters of chunks whose ids a task keeps between batches, about.
-CACHE_CHARS = 4_000_000
+CACHE_CHARS = 5_000_000
 
 COLUMNS = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
@@ -81,19 +81,18 @@ class WordBpe:
         text = self.normal(text)
         return [x for x in _SPLIT.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
-    def merge_all(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each chunk, all merged at once over one pair occurrence index."""
+    def merge_all(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each word, all merged at once over one pair occurrence index."""
         symbol: list[int] = []
         after: list[int] = []
-        ends: list[int] = []  # of each chunk, as a place in symbol
-        for chunk in chunks:
-            for word in self.word.findall(chunk):
-                raw = word.encode()
-                at = len(symbol)
-                symbol.extend(map(self.inner.__getitem__, raw))
-                symbol[-1] = self.last[raw[-1]]
-                after.extend(range(at + 1, at + len(raw)))
-                after.append(-1)
+        ends: list[int] = []  # of each word, as a place in symbol
+        for word in words:
+            raw = word.encode()
+            at = len(symbol)
+            symbol.extend(map(self.inner.__getitem__, raw))
+            symbol[-1] = self.last[raw[-1]]
+            after.extend(range(at + 1, at + len(raw)))
+            after.append(-1)
             ends.append(len(symbol))
         before = [-1] * len(symbol)
         rank, index = self.rank, {}
@@ -142,22 +141,28 @@ class WordBpe:
             at = end
         return out
 
+    def forget(self) -> None:
+        self.cache, self.cached = {}, 0
+
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        if self.cached > CACHE_CHARS:
+            self.forget()
         parts: list[list] = []  # of each text: lists of chunks, and ids of special tokens
-        new: dict[str, None] = {}
+        new: set[str] = set()
         cache = self.cache
-        if self.cached > CACHE_CHARS:
-            cache.clear()
-            self.cached = 0
         for text in texts:
             pieces = self.special_at.split(text) if "<|" in text and self.special_at else [text]
             parts.append(own := [self.special[p] if p in self.special else self.chunks(p) for p in pieces])
             for p in own:
                 if not isinstance(p, int):
-                    new.update(dict.fromkeys(x for x in p if x not in cache))
-        fresh = list(new)
+                    new.update(p)
+        new.difference_update(cache)
+        self.cached += sum(map(len, new))
+        # Words come with many kinds of marks: each is merged once, and kept as the chunk that it is alone.
+        split = {x: self.word.findall(x) for x in new}
+        fresh = list(set(chain.from_iterable(split.values())).difference(cache))
         cache.update(zip(fresh, self.merge_all(fresh), strict=True))
-        self.cached += sum(map(len, fresh))
+        cache.update((x, tuple(chain.from_iterable(map(cache.__getitem__, own)))) for x, own in split.items() if len(own) != 1 or own[0] != x)
         for own in parts:
             yield list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(cache.__getitem__, p)) for p in own))
 
@@ -204,7 +209,6 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "
                         into.append(hashlib.sha256(plain.encode()).hexdigest())
             kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], kinds.get(c, pa.string())) for c in columns)], [key, *columns])
-        bpe.cache.clear()
-        bpe.cached = 0  # a worker that waits for its next task holds no texts
+        bpe.forget()  # a worker that waits for its next task holds no texts
 
     return docs.select(key, text).mapInArrow(run, T.StructType(fields))
