@@ -135,3 +135,8 @@ def draws_of(n: int, rows: int, places: int) -> list[list[int]]:
     """``n`` bands of ``rows`` places each, drawn anew from the same ``places`` for every band."""
     rng = np.random.Generator(np.random.PCG64(11))
     return [sorted(rng.choice(places, rows, replace=False).tolist()) for _ in range(n)]
+
+
+def own_of(n: int, rows: int) -> list[list[int]]:
+    """``n`` bands of ``rows`` places each, all places distinct: bands agree or differ independently."""
+    return [list(range(i * rows, (i + 1) * rows)) for i in range(n)]

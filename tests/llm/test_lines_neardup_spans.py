@@ -123,3 +123,20 @@ def test_word_hashes_do_not_depend_on_place():
     assert a[1] == a[3] and a[2] == a[4] and len(set(a.tolist())) == 3
     b, begins = vec.words([b"x Foo bar", b"", b"foo"], fold=False)
     assert b[1] != b[3] and begins.tolist() == [0, 3, 3, 4]
+
+
+def missed(signatures, bands, union=60, pairs=20_000, rounds=5):
+    """The share of pairs of random sets of similarity 0.8 whose signatures share no band."""
+    rng, shared, own, missing = np.random.default_rng(3), union * 8 // 10, union // 10, 0
+    for _ in range(rounds):
+        common = rng.integers(0, 1 << 63, (pairs, shared), dtype=np.uint64)
+        a, b = (signatures(np.concatenate([common, rng.integers(0, 1 << 63, (pairs, own), dtype=np.uint64)], 1)) for _ in range(2))
+        missing += pairs - int(np.any([(a[x] == b[x]).all(0) for x in bands], axis=0).sum())
+    return missing / (pairs * rounds)
+
+
+def test_line_bands_miss_few_pairs_at_the_threshold():
+    def signatures(sets):
+        return vec.minima((sets >> np.uint64(31)).astype(np.uint32).ravel(), np.arange(len(sets)) * sets.shape[1], lines.MINIMA)
+
+    assert missed(signatures, lines._DRAWN) < 1e-4
