@@ -140,3 +140,7 @@ def test_line_bands_miss_few_pairs_at_the_threshold():
         return vec.minima((sets >> np.uint64(31)).astype(np.uint32).ravel(), np.arange(len(sets)) * sets.shape[1], lines.MINIMA)
 
     assert missed(signatures, lines._DRAWN) < 1e-4
+
+
+def test_register_bands_miss_few_pairs_at_the_threshold():
+    assert missed(lambda sets: neardup.registers(list(sets)), neardup._DRAWN, pairs=10_000, rounds=4) < 1e-4
