@@ -15,6 +15,8 @@ from tallygrove.plans.queries import DISTRICT, KNOTS_SQL, LEVEL_SQL, LINES_SQL,
 from tallygrove.plans.standin import ctes, read
 
 SEED, REPS, ITERATIONS, SEATS = 42, 200, 400, 60
+#: The reference's numbers, for the queries named ``*_whole``: those take every row and have no SQL.
+WHOLE_REPS, WHOLE_ITERATIONS = 1000, 10_000
 CLOSE_SHARE = "coalesce(sum(part) FILTER (abs(margin_pct) < 0.05), 0) / sum(part)"
 
 
@@ -24,9 +26,14 @@ def u_sql(stream: str, *numbers: str) -> str:
     return f"((('0x' || substr(md5({key}), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)"
 
 
+def chamber(spark: SparkSession, d: str) -> DataFrame:
+    """Quantile vectors of all seats."""
+    return knots(spark, d).select(F.col("vec_id").alias("seat"), F.transform("xs", lambda x: x / 10.0).alias("quantiles"))
+
+
 def seats(spark: SparkSession, d: str) -> DataFrame:
     """Quantile vectors of a small chamber."""
-    return knots(spark, d).where(F.col("vec_id") < SEATS).select(F.col("vec_id").alias("seat"), F.transform("xs", lambda x: x / 10.0).alias("quantiles"))
+    return chamber(spark, d).where(F.col("seat") < SEATS)
 
 
 OUTCOME_SQL = KNOTS_SQL + f""", seats AS (SELECT vec_id AS seat, {LEVEL_SQL} AS xs, list_transform(xs, lambda x: x / 10.0) AS ys FROM knots WHERE vec_id < {SEATS}
@@ -50,6 +57,17 @@ def q_alg_seat_histogram(spark, d):
     return simulate.seat_histogram(simulate.outcomes(seats(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
 
 
+@query()
+def q_alg_stakes_mc_whole(spark, d):
+    out = simulate.stakes(chamber(spark, d), WHOLE_ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3)
+    return out.select("seat", F.round("stakes_raw", 6).alias("stakes_raw"), F.round("stakes_normalized", 6).alias("stakes_normalized"))
+
+
+@query()
+def q_alg_seat_histogram_whole(spark, d):
+    return simulate.seat_histogram(simulate.outcomes(chamber(spark, d), WHOLE_ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
+
+
 BOOT_SQL = MATRIX_SQL + LINES_SQL + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY state, district) - 1 AS i, count(*) OVER () AS n FROM dems
 ), size AS (SELECT max(n) AS n FROM numbered), slots AS (SELECT CAST(r.range AS INT) AS rep, CAST(s.range AS INT) AS slot FROM range({REPS}) r, range(100000) s, size WHERE s.range < n
 ), drawn AS (SELECT rep, slot, d.* FROM slots, size, numbered d WHERE d.i = CAST(floor({u_sql("boot", "rep", "slot")} * size.n) AS INT))
@@ -62,8 +80,8 @@ def _boot_share_sql(line: str, out: str) -> str:
     SELECT rep, margin_pct, {line} AS w FROM drawn QUALIFY row_number() OVER (PARTITION BY rep ORDER BY {line} DESC, state, district, slot) <= 10) WINDOW p AS (PARTITION BY rep)) GROUP BY rep)"""
 
 
-def drawn(spark, d):
-    return simulate.resampled(dems_1998(spark, d), REPS, SEED, DISTRICT)
+def drawn(spark, d, reps: int = REPS):
+    return simulate.resampled(dems_1998(spark, d), reps, SEED, DISTRICT)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -82,6 +100,18 @@ def q_alg_paired_bootstrap(spark, d):
     return rounded(out, "ci_low", "mean", "ci_high", "p_positive")
 
 
+@query()
+def q_alg_bootstrap_ci_whole(spark, d):
+    out = simulate.interval(simulate.bootstrap_shares(drawn(spark, d, WHOLE_REPS), "fundraising", 10, al.is_close("margin_pct")))
+    return rounded(out, "ci_low", "mean", "ci_high")
+
+
+@query()
+def q_alg_paired_bootstrap_whole(spark, d):
+    out = simulate.paired(drawn(spark, d, WHOLE_REPS), "fundraising", "final_ratings", 10, al.is_close("margin_pct"))
+    return rounded(out, "ci_low", "mean", "ci_high", "p_positive")
+
+
 TOP_SQL = MATRIX_SQL + """, dems AS (SELECT *, (state + district) % 4 = 0 AS pivotal, CAST(20000 + 1000 * district AS DOUBLE) AS viable_floor FROM matrix WHERE party_major = 'D' AND cycle = 1998 AND snapshot = 'T-60'
 ), top AS (SELECT *, CASE WHEN sum(total_trans) OVER () > 0 THEN total_trans / CAST(sum(total_trans) OVER () AS DOUBLE) ELSE 1.0 / count(*) OVER () END AS part FROM (SELECT * FROM dems ORDER BY total_trans DESC, state, district LIMIT 10))
 """
@@ -123,6 +153,15 @@ def q_alg_stakes_combine(spark, d):
     return bt.combine_stakes(scored.join(stakes, "seat")).select("seat", F.round("base", 6).alias("base"), "pivotal")
 
 
+@query()
+def q_alg_stakes_combine_whole(spark, d):
+    """All seats; the fixed threshold is half of them."""
+    rows = chamber(spark, d)
+    stakes = simulate.stakes(rows, WHOLE_ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3, threshold=rows.count() // 2)
+    scored = knots(spark, d).select(F.col("vec_id").alias("seat"), nx.close_probability(F.col("raw")).alias("competitiveness"))
+    return bt.combine_stakes(scored.join(stakes, "seat")).select("seat", F.round("base", 6).alias("base"), "pivotal")
+
+
 @query(MATRIX_SQL + """, app AS (SELECT *, CASE WHEN cook_rating IS NULL THEN 0.0 ELSE greatest(4 - abs(cook_rating - 4), 1.0) / 4 END::DOUBLE AS impact FROM matrix WHERE party_major = 'D' AND cycle = 1998 AND snapshot = 'T-60'
 ), cuts AS (SELECT quantile_cont(impact, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM app), fixed AS (SELECT [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[] AS c
 ), binned AS (SELECT app.*, CAST(least(1 + len(list_filter(c, lambda x: x <= impact)), 10) AS INT) AS impact_decile FROM app, fixed

@@ -1,0 +1,22 @@
+"""The simulations over every row equal DuckDB's answer to the registered SQL without its subset, at the reference's numbers."""
+
+import pytest
+
+from tallygrove.plans import queries, queries_models  # noqa: F401
+
+from .test_oracles import plain
+
+WIDER = ((" WHERE vec_id < 60", ""), ("range(400)", "range(10000)"), ("range(200)", "range(1000)"))
+
+
+@pytest.mark.parametrize("name", ["q_alg_stakes_mc", "q_alg_seat_histogram", "q_alg_stakes_combine", "q_alg_bootstrap_ci", "q_alg_paired_bootstrap"])
+def test_whole(spark, sf_dir, duck, name):
+    (seats,) = duck.execute("SELECT count(*) FROM embeddings").fetchone()
+    sql = queries.ORACLES[name]
+    for a, b in (*WIDER, ("total >= 30", f"total >= {seats // 2}")):
+        sql = sql.replace(a, b)
+    want = duck.execute(sql)
+    columns = [c[0] for c in want.description]
+    rows = [tuple(map(plain, r)) for r in want.fetchall()]
+    got = [tuple(plain(r[c]) for c in columns) for r in queries.QUERIES[f"{name}_whole"](spark, sf_dir).collect()]
+    assert seats > queries_models.SEATS and sorted(got, key=repr) == sorted(rows, key=repr)
