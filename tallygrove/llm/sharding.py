@@ -23,9 +23,9 @@ SHARDS = 40
 CHUNK_ROWS = 100_000
 
 
-def _propagate(pieces: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """pieces: group, shard, n. Moves counts towards each group's largest piece under ``quota`` rows a shard."""
-    for _ in range(rounds):
+def _propagate(pieces: DataFrame, shards: int, quota: int) -> DataFrame:
+    """pieces: group, shard, n. Moves counts towards each group's largest piece under ``quota`` rows a shard, until none is left to move."""
+    while True:  # every move adds to the sum of n * n, so this ends
         load = {r["_shard"]: r["n"] for r in pieces.groupBy("_shard").agg(F.sum("n").alias("n")).collect()}  # as many rows as shards
         room = F.array(*(F.lit(max(0, quota - load.get(s, 0))) for s in range(shards)))
         here = pieces.withColumn("_room", F.get(room, F.col("_shard")))
@@ -36,13 +36,12 @@ def _propagate(pieces: DataFrame, shards: int, quota: int, rounds: int) -> DataF
         moving = moving.withColumn("_before", F.coalesce(F.sum("n").over(first), F.lit(0))).withColumn("_m", F.least(F.col("n"), F.col("_room") - F.col("_before"))).where("_m > 0")
         moving = save(moving.select("_group", "_shard", "_to", "_m"))
         if moving.isEmpty():
-            break
+            return pieces
         parts = pieces.unionByName(moving.select("_group", "_shard", (-F.col("_m")).alias("n"))).unionByName(moving.select("_group", F.col("_to").alias("_shard"), F.col("_m").alias("n")))
         pieces = save(parts.groupBy("_group", "_shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    return pieces
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``."""
     text = F.col("text").cast("binary")
     base = save(
@@ -58,7 +57,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 12) -> DataFrame
     chunks = max(1, -(-total // CHUNK_ROWS), min(64, total // 1000))
     counted = base.where("_group is not null").groupBy("_group", "_shard").agg(F.count("*").alias("n"))
     counted = counted.withColumn("_all", F.sum("n").over(Window.partitionBy("_group")))
-    pieces = _propagate(save(counted.where("_all > 1").select("_group", "_shard", "n")), shards, total // shards, rounds)
+    pieces = _propagate(save(counted.where("_all > 1").select("_group", "_shard", "n")), shards, total // shards)
 
     # A shard that started above its quota gives up its smallest pieces; their documents are dealt out with the unlinked ones.
     size = [total // shards + (s < total % shards) for s in range(shards)]

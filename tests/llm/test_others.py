@@ -260,5 +260,11 @@ def test_shards(spark, copies):
     assert len(cut) <= -(-copies // (len(rows) // 7)) + 1  # as few shards as the copies need
 
 
+def test_shards_of_a_group_that_needs_many_rounds(spark):
+    rows = [(i, f"text {i}") for i in range(2668)] + [(i, "the same") for i in range(2668, 4000)]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), shards=40).toPandas()
+    assert out[out["doc_id"] >= 2668]["shard"].nunique() <= -(-1332 // 100) + 1
+
+
 def test_shards_of_an_empty_table(spark):
     assert sharding.assign(empty(spark)).count() == 0
