@@ -1,8 +1,8 @@
 """Helpers that the training-data operators share: table reading, scratch tables in the shared folder, row numbering.
 
 Scratch tables are written under the folder that the session names in ``spark.checkpoint.dir``, which every executor of a
-cluster can read, so a lost executor costs a reread and never a result. Only where the session names none (tests) does the
-driver's own temporary folder serve.
+cluster can read, so a lost executor costs a reread and never a result. Only where the session names none and runs in one
+local process (tests) does a temporary folder serve; on a cluster a missing folder is an error.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import Window
 #: ASCII white space, the word separators of every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
-_used: list[tuple] = []
+_used: dict[str, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder's path below the session's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tallygrove-{uuid.uuid4().hex}"
@@ -41,19 +44,41 @@ def save(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = scratch_dir(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    _used.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
-    return spark.read.schema(df.schema).parquet(path)
+    _used[path] = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    jvm, conf = _used.pop(path)
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended before
+        pass
+
+
+def drop(*saved: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more; each is what save() gave."""
+    for df in saved:
+        if df.scratch_path in _used:
+            _delete(df.scratch_path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, saved; all scratch tables that it made on the way are deleted."""
+    before = set(_used)
+    out = save(make())
+    for path in set(_used) - before - {out.scratch_path}:
+        _delete(path)
+    return out
 
 
 def drop_scratch() -> None:
     """Deletes every scratch table of this process; results that still read one must have been consumed."""
-    while _used:
-        jvm, conf, path = _used.pop()
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            pass
+    for path in list(_used):
+        _delete(path)
 
 
 atexit.register(drop_scratch)
@@ -80,6 +105,14 @@ def number_rows(df: DataFrame, keys: list[str], order: str, out: str, chunks: in
     return df.withColumn("_within", within).join(sizes, [*keys, "_chunk"]).withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_chunk", "_within", "_before")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column of ``taken`` is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z only, as the contracts ask; ``lower`` would change other letters as well."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

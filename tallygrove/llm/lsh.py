@@ -3,8 +3,8 @@
 Rows go through the shuffle as packed arrays: each task gathers its items' band keys, groups equal keys at once, and sends
 only the least item of each key on, to the bucket of the key. So a key that a third of all items share is one entry for each
 task. Groups are stars: the least item and each other one. What the stars' checks leave apart is tried further: buckets whose
-items lie in different classes are joined again, first from other centres, then pair by pair, so no pair of a bucket that is
-not already in one class stays unchecked.
+other items lie in different classes are compared pair by pair, so no pair of a bucket that is not already in one class stays
+unchecked.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import save
+from tallygrove.llm.common import drop, save
 
 BAND, SAME, MEMBER, ITEM = 0, 1, 2, 3
 #: What a task sends: entries of ``kind`` packed in ``blob``, to ``bucket``.
@@ -37,36 +37,42 @@ def tasks_for(rows: int) -> int:
     return int(max(12, -(-rows // 50_000)))
 
 
+def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each key, by its upper bits: keys in order are buckets in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+
+
 def stars(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """KEYED of each key's least item, STAR of each other item of the keys that have several."""
-    order = np.lexsort((items, keys))
+    """KEYED of each key's least item, STAR of each other item of the keys that have several; both in the order of keys."""
+    order = np.argsort(keys)
     keys, items = keys[order], items[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(first)
     least = np.empty(len(at), KEYED)
-    least["key"], least["item"] = keys[at], items[at]
-    centre = items[at][np.cumsum(first) - 1]
-    rest = items != centre
-    rest[1:] &= (items[1:] != items[:-1]) | first[1:]
-    star = np.empty(int(rest.sum()), STAR)
-    star["key"], star["centre"], star["item"] = keys[rest], centre[rest], items[rest]
-    return least, star
-
-
-def dealt(kind: int, rows: np.ndarray, n: int, delta: str = "item") -> pa.RecordBatch:
-    """rows by bucket of their key, in the order of ``delta``; each field by itself, ``delta`` as differences, so that they compress."""
-    bucket = (rows["key"] % np.uint64(n)).astype(np.int32)
-    order = np.lexsort((rows[delta], bucket)) if delta in rows.dtype.names else np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
+    least["key"] = keys[at]
+    least["item"] = np.minimum.reduceat(items, at) if len(at) else items
+    several = np.flatnonzero(np.repeat(np.diff(at, append=len(keys)) > 1, np.diff(at, append=len(keys))))
+    rest = np.empty(len(several), STAR)
+    rest["key"], rest["centre"], rest["item"] = keys[several], least["item"][np.cumsum(first)[several] - 1], items[several]
+    rest = rest[rest["item"] != rest["centre"]]
+    rest = rest[np.lexsort((rest["item"], rest["key"]))]
+    new = np.ones(len(rest), bool)
+    new[1:] = (rest["key"][1:] != rest["key"][:-1]) | (rest["item"][1:] != rest["item"][:-1])
+    return least, rest[new]
+
+
+def dealt(kind: int, rows: np.ndarray, n: int) -> pa.RecordBatch:
+    """rows, in the order of their key, by bucket; each field by itself and the keys as differences, so that they compress."""
+    bucket = buckets_of(rows["key"], n)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     blobs = []
     for part in np.split(rows, at[1:]) if len(rows) else []:
-        blobs.append(b"".join((np.diff(part[f], prepend=part[f].dtype.type(0)) if f == delta else part[f]).tobytes() for f in part.dtype.names))
+        blobs.append(b"".join((np.diff(part[f], prepend=part[f].dtype.type(0)) if f == "key" else part[f]).tobytes() for f in part.dtype.names))
     return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], schema=PACKED_ARROW)
 
 
-def undealt(table: pa.Table, kind: int, dtype: np.dtype, delta: str = "item") -> np.ndarray:
+def undealt(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     parts = []
     for k, blob in zip(table["kind"].to_pylist(), table["blob"], strict=True):
         if k == kind:
@@ -75,7 +81,7 @@ def undealt(table: pa.Table, kind: int, dtype: np.dtype, delta: str = "item") ->
             at = 0
             for f in dtype.names:
                 got = np.frombuffer(raw, dtype[f], len(part), at)
-                part[f] = np.cumsum(got) if f == delta else got
+                part[f] = np.cumsum(got) if f == "key" else got
                 at += len(part) * dtype[f].itemsize
             parts.append(part)
     return np.concatenate(parts) if parts else np.empty(0, dtype)
@@ -95,28 +101,30 @@ def components(edges: DataFrame, tasks: int) -> DataFrame:
     """edges: a, b. node and root (the least node it reaches) of every node of an edge between different nodes.
 
     Large and small stars in turn (Kiveris et al., 2014) until only stars are left; every round is written to the shared
-    folder. ``tasks`` bounds the tasks of a stage; the caller lets it grow with the table.
+    folder, and the one before goes. ``tasks`` bounds the tasks of a stage; the caller lets it grow with the table.
     """
     now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().coalesce(tasks))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks))
+        drop(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+        drop(large)
         # Stars only: no node is below one node and above another, or below two.
         roles = now.select(F.col("u").alias("n"), F.lit(1).alias("low")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("low")))
         if roles.groupBy("n").agg(F.sum("low").alias("s"), F.min("low").alias("m")).coalesce(tasks).where("s > 1 or (s = 1 and m = 0)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-#: Items of a family that one block holds on either side.
+#: Items that one block holds on either side.
 BLOCK = 2048
 
 
 def blocked(items: DataFrame, tasks: int) -> DataFrame:
-    """items: item, root, family. Each row once for each block of its family: bucket, block, first, last, item, root.
+    """items: item, root, family (what is compared within itself). Each row once for each block of its family: bucket, block, first, last, item, root.
 
     A family is cut by a hash into parts of about BLOCK items, and every two parts (and each by itself) make a block, so a
     family of any size is spread over many tasks of bounded memory.
@@ -181,26 +189,47 @@ def block_links(table: pa.Table, column: str, sets_of: Callable[[list], list[np.
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
-def link(members: DataFrame, same: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], tasks: int) -> DataFrame:
+def open_sets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members: STAR rows; labels: item, root. item, root and key of the buckets that hold unchecked pairs of different classes.
+
+    Each star's centre was checked against all its items, so a bucket is open only where its other items lie in two classes or
+    more. Of buckets with the same items one stays: they are told by their number and two sums of hashes of the items.
+    """
+    own = members.select("key", "item").join(labels, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
+    sums = [F.sum(F.xxhash64(F.lit(i), "item").cast("decimal(20,0)")).alias(f"_s{i}") for i in (1, 2)]
+    seen = own.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), *sums).where("_lo <> _hi")
+    return save(own.join(seen.groupBy("_n", "_s1", "_s2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+
+
+def families(sets: DataFrame, tasks: int) -> DataFrame:
+    """sets: item, root, key. item, root and family: what has to be compared with each other.
+
+    Buckets that share items form one family, so that an item is compared once and not for each of its buckets. A family of
+    more than BLOCK items is taken apart again, into its buckets, so a chain of buckets never makes a square of its length.
+    """
+    joined = components(sets.join(sets.groupBy("key").agg(F.min("item").alias("_c")), "key").select(F.col("_c").alias("a"), F.col("item").alias("b")), tasks)
+    sized = joined.groupBy("root").agg((F.count("*") > BLOCK).alias("_large"))
+    named = save(joined.join(sized, "root").select(F.col("node").alias("item"), F.col("root").alias("family"), "_large"))
+    whole = sets.select("item", "root").distinct().join(named.where("not _large").select("item", "family"), "item")
+    apart = sets.join(named.where("_large").select("item"), "item", "left_semi").select("item", "root", F.col("key").alias("family"))
+    return whole.unionByName(apart)
+
+
+def link(members: DataFrame, same: DataFrame | None, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], tasks: int) -> DataFrame:
     """members: key, centre, item (STAR rows); same: a, b known to be linked; verify: pairs a, b to those that are linked;
     compare: blocked() rows to links a, b between different roots, enough of them to join all that are linked.
 
-    node and root of every node that is linked. The stars come first. Items of buckets that then still lie in different
-    classes form families (joined by buckets), and all pairs of a family that lie in different classes are compared.
+    node and root of every node that is linked. The stars come first. What a bucket then still holds of different classes
+    is compared pair by pair (open_sets, families).
     """
     pairs = members.select(F.least("centre", "item").alias("a"), F.greatest("centre", "item").alias("b")).distinct().coalesce(tasks)
-    found = save(same.select("a", "b").unionByName(verify(save(pairs))).coalesce(tasks))
+    found = verify(save(pairs))
+    found = save(found.unionByName(same.select("a", "b")).coalesce(tasks)) if same is not None else found
     roots = save(components(found, tasks).coalesce(tasks))
-    labels = roots.withColumnRenamed("node", "item")
-    every = members.select("key", "item").unionByName(members.select("key", F.col("centre").alias("item"))).distinct()
-    labelled = save(every.join(labels, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root")).coalesce(tasks))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("item").alias("_c")).where("_lo <> _hi")
-    open_ = save(labelled.join(mixed.select("key", "_c"), "key").select("item", "root", "_c").coalesce(tasks).distinct().coalesce(tasks))
-    if open_.isEmpty():
+    sets = open_sets(members, roots.withColumnRenamed("node", "item"))
+    if sets.isEmpty():
         return roots
-    families = components(open_.select(F.col("_c").alias("a"), F.col("item").alias("b")), tasks)
-    items = open_.select("item", "root").distinct().join(families.select(F.col("node").alias("item"), F.col("root").alias("family")), "item")
-    more = save(compare(blocked(items, tasks)))
+    more = save(compare(blocked(families(sets, tasks), tasks).repartition(4 * tasks, "bucket")))
     return roots if more.isEmpty() else components(save(found.unionByName(more).coalesce(tasks)), tasks)
 
 

@@ -45,7 +45,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(shingles[a : b - size + 1]))
+            out.append(vec.distinct(shingles[a : b - size + 1]))
         elif b > a:
             out.append(vec.mix((hashes[a:b] * vec.ODD[: b - a]).sum(keepdims=True) + vec.U64(b - a)))
         else:

@@ -16,7 +16,8 @@ from tallygrove.llm.common import digest, table
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its lines, how many went, and what is left."""
     out = lines.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+    total, removed = out.columns[-2:]
+    return out.select("doc_id", F.col(total).alias("n_lines"), F.col(removed).alias("n_removed"), digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
 def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,13 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct elements in order; for short arrays a fraction of the cost of numpy's own."""
+    x = np.sort(x)
+    new = x[1:] != x[:-1]
+    return x if new.all() else x[np.concatenate([[True], new])]
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """How many elements two sorted arrays of distinct elements share."""
     if len(a) > len(b):
@@ -114,9 +121,9 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def minima(x32: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     """``n`` MinHash values (rows) of each group (columns) of 32-bit hashes. Each group has a member."""
-    out = np.empty((n, len(begins)), np.uint32)
+    out, turned = np.empty((n, len(begins)), np.uint32), np.empty_like(x32)
     for j in range(n):
-        np.minimum.reduceat(x32 * ODD32[j], begins, out=out[j])
+        np.minimum.reduceat(np.multiply(x32, ODD32[j], out=turned), begins, out=out[j])
     return out
 
 

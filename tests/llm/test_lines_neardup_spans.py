@@ -97,6 +97,29 @@ def test_lines_equal_brute_force(spark):
     assert by_id(out, "text") == brute_lines(texts())
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    alpha, own = "alpha beta gamma delta epsilon zeta", "second line only here, nowhere else"
+    rows = [(1, "the same line in all of them"), (2, alpha + "\nthe same line in all of them"), (2, "first of other row\n" + own), (2, None), (3, alpha + "!"), (4, "whole row twice"), (4, "whole row twice")]
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id int, text string"))
+    got = sorted((r["doc_id"], r["text"] or "") for r in out.collect())
+    assert got == [(1, "the same line in all of them"), (2, ""), (2, alpha), (2, "first of other row\n" + own), (3, ""), (4, ""), (4, "whole row twice")]
+
+
+def test_lines_with_clashing_names_and_other_ids(spark):
+    rows = [("b", "x y z one", 1, 2, 3), ("a", "x y z one\nmore", 4, 5, 6), (None, "x y z one", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, N_LINES_ int, n_removed_ int, _row int")
+    out = lines.dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines__", "n_removed__"]
+    assert by_id(out, "text", "N_LINES_", "n_removed__") == {"b": ("", 1, 1), "a": ("x y z one\nmore", 4, 0), None: ("x y z one", 7, 0)}
+
+
+def test_different_lines_of_one_hash_both_stay():
+    rows = np.zeros(3, lines._PLACE)
+    rows["key"], rows["check"], rows["doc"] = 5, [1, 2, 1], [0, 1, 2]
+    first, again = lines._split(rows)
+    assert first["doc"].tolist() == [0, 1] and again["doc"].tolist() == [2]
+
+
 def test_lines_keep_other_rows(spark):
     out = lines.dedup(documents(spark, repeat=True, null_id=True))
     assert out.count() == documents(spark, repeat=True, null_id=True).count()
