@@ -124,14 +124,13 @@ BLOCK = 2048
 
 
 def blocked(items: DataFrame, tasks: int) -> DataFrame:
-    """items: item, root, family (what is compared within itself). Each row once for each block of its family: bucket, block, first, last, item, root.
+    """items: item, root, family (what is compared within itself), parts. Each row once for each block of its family: bucket, block, first, last, item, root.
 
-    A family is cut by a hash into parts of about BLOCK items, and every two parts (and each by itself) make a block, so a
+    A family is cut by a hash into ``parts`` of about BLOCK items, and every two parts (and each by itself) make a block, so a
     family of any size is spread over many tasks of bounded memory.
     """
-    sizes = items.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
-    cut = items.join(sizes, "family").withColumn("_own", F.pmod(F.xxhash64("item"), F.col("_parts")).cast("int"))
-    both = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    cut = items.withColumn("_own", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    both = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
     block = F.xxhash64("family", F.least("_own", "_other"), F.greatest("_own", "_other"))
     return both.select(F.pmod(block, F.lit(4 * tasks)).cast("int").alias("bucket"), block.alias("block"), (F.col("_own") <= F.col("_other")).alias("first"), (F.col("_own") >= F.col("_other")).alias("last"), "item", "root")
 
@@ -190,29 +189,30 @@ def block_links(table: pa.Table, column: str, sets_of: Callable[[list], list[np.
 
 
 def open_sets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members: STAR rows; labels: item, root. item, root and key of the buckets that hold unchecked pairs of different classes.
+    """members: STAR rows; labels: item, root. item, root, key and n (its items) of the buckets that hold unchecked pairs of different classes.
 
     Each star's centre was checked against all its items, so a bucket is open only where its other items lie in two classes or
     more. Of buckets with the same items one stays: they are told by their number and two sums of hashes of the items.
     """
     own = members.select("key", "item").join(labels, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
     sums = [F.sum(F.xxhash64(F.lit(i), "item").cast("decimal(20,0)")).alias(f"_s{i}") for i in (1, 2)]
-    seen = own.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), *sums).where("_lo <> _hi")
-    return save(own.join(seen.groupBy("_n", "_s1", "_s2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    seen = own.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("n"), *sums).where("_lo <> _hi")
+    return save(own.join(save(seen.groupBy("n", "_s1", "_s2").agg(F.min("key").alias("key")).select("key", "n")), "key"))
 
 
 def families(sets: DataFrame, tasks: int) -> DataFrame:
-    """sets: item, root, key. item, root and family: what has to be compared with each other.
+    """sets: item, root, key, n. item, root, family and parts: what has to be compared with each other.
 
     Buckets that share items form one family, so that an item is compared once and not for each of its buckets. A family of
     more than BLOCK items is taken apart again, into its buckets, so a chain of buckets never makes a square of its length.
     """
-    joined = components(sets.join(sets.groupBy("key").agg(F.min("item").alias("_c")), "key").select(F.col("_c").alias("a"), F.col("item").alias("b")), tasks)
-    sized = joined.groupBy("root").agg((F.count("*") > BLOCK).alias("_large"))
-    named = save(joined.join(sized, "root").select(F.col("node").alias("item"), F.col("root").alias("family"), "_large"))
-    whole = sets.select("item", "root").distinct().join(named.where("not _large").select("item", "family"), "item")
-    apart = sets.join(named.where("_large").select("item"), "item", "left_semi").select("item", "root", F.col("key").alias("family"))
-    return whole.unionByName(apart)
+    centres = save(sets.groupBy("key").agg(F.min("item").alias("a")))
+    joined = components(sets.join(centres, "key").select("a", F.col("item").alias("b")), tasks)
+    large = save(joined.groupBy("root").count().where(F.col("count") > BLOCK).select("root", F.lit(True).alias("_large")))
+    named = joined.join(large, "root", "left").select(F.col("node").alias("item"), F.col("root").alias("family"), F.coalesce("_large", F.lit(False)).alias("_large"))
+    rows = save(sets.join(named, "item"))
+    whole = rows.where("not _large").select("item", "root", "family", F.lit(1).alias("parts")).distinct()
+    return whole.unionByName(rows.where("_large").select("item", "root", F.col("key").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
 
 
 def link(members: DataFrame, same: DataFrame | None, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], tasks: int) -> DataFrame:

@@ -139,6 +139,26 @@ def test_runs_hold_each_window_once():
     raw = [(t or "").encode() for t in texts()]
     rows, begins = spans.runs(raw)
     assert int(rows["n"].sum()) == sum(max(0, n - spans.WINDOW + 1) for n in np.diff(begins).tolist())
+    cut, _ = spans.runs(raw, segment=64)  # a text of more windows than one segment holds
+    windows = lambda r: sorted((d, s + i) for d, s, n in zip(r["doc"].tolist(), r["start"].tolist(), r["n"].tolist(), strict=True) for i in range(n))
+    assert windows(cut) == windows(rows) and len(cut) > len(rows)
+
+
+def test_paths_end_where_a_node_branches(spark):
+    # In document 1 three pieces follow each other; one more piece leaves the node (8) between the second and the third.
+    rows = [(10, 1, 0, 5, 1, 7), (11, 1, 5, 2, 7, 8), (12, 1, 7, 4, 8, 9), (13, 2, 0, 1, 8, 5), (14, 1, 30, 3, 9, 4)]
+    pathed = spans.paths(spark.createDataFrame(rows, "piece bigint, doc_id bigint, start int, n int, head int, tail int"))
+    assert {r["piece"]: (r["source"], r["path"]) for r in pathed.collect()} == {10: (1, 0), 11: (1, 0), 12: (1, 7), 13: (2, 0), 14: (1, 30)}
+    again = spark.createDataFrame([(10, 5, 100, 5), (11, 5, 105, 2), (12, 5, 107, 4), (11, 6, 0, 2)], "piece bigint, doc_id bigint, start int, n int")
+    got = sorted(tuple(r) for r in spans.spans_of(again, pathed).collect())
+    assert got == [(5, 100, 7, 1, 0), (5, 107, 4, 1, 7), (6, 0, 2, 1, 5)]
+
+
+def test_a_span_goes_only_if_its_words_are_those_of_its_source():
+    words = [b"w%d" % i for i in range(30)]
+    right = spans.word_digest(words, 2, 1)
+    assert len(spans._kept(words, [{"start": 2, "n": 1, "digest": right}])) == 10
+    assert spans._kept(words, [{"start": 3, "n": 1, "digest": right}]) == words
 
 
 def test_word_hashes_do_not_depend_on_place():
