@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallygrove.llm.common import save
+
 #: Opening and closing of a turn.
 START, STOP = "<|im_start|>", "<|im_end|>"
 
@@ -34,18 +36,23 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return rows.withColumn("n_turns", F.count("*").over(Window.partitionBy("conv_id"))).select("conv_id", "place", "role", "text", "h1", "h2", "n_turns")
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns and n_copies (equal conversations, itself included) of each that no other conversation continues."""
-    rows = prefixes(turns)
+def _maximal(rows: DataFrame) -> DataFrame:
     key = ["n_turns", "h1", "h2"]
     whole = rows.where("place = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     proper = rows.where("place < n_turns").select(F.col("place").cast("long").alias("n_turns"), "h1", "h2").distinct()
     return whole.join(proper, key, "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
+def maximal(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns and n_copies (equal conversations, itself included) of each that no other conversation continues."""
+    return _maximal(save(prefixes(turns)))
+
+
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies and the chat text of each maximal conversation."""
-    rows = prefixes(turns).join(maximal(turns), "conv_id", "left_semi")
-    text = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("_turns"))
+    rows = save(prefixes(turns))  # read three times
+    kept = save(_maximal(rows))
+    text = rows.select("conv_id", "place", "role", "text").join(kept.select("conv_id"), "conv_id", "left_semi")
+    text = text.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("_turns"))
     text = text.select("conv_id", F.array_join(F.transform("_turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(STOP + "\n"))), "").alias("chat"))
-    return maximal(turns).join(text, "conv_id")
+    return kept.join(text, "conv_id")

@@ -91,20 +91,36 @@ def unique_docs(docs: DataFrame) -> DataFrame:
     return docs if ids.where("count > 1").isEmpty() else docs.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str, chunks: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, chunks: int = 64) -> DataFrame:
     """Adds ``out``, a gapless number from 0 within ``keys``.
 
-    Rows are numbered within (keys, hash chunk of ``order``) and moved up by the sizes of the chunks before, so that a key with
-    a third of all rows is spread over ``chunks`` tasks. ``order`` must be unique within a key for a repeatable result.
+    Rows are numbered within (keys, hash chunk of ``order``'s first) and moved up by the sizes of the chunks before, so that a
+    key with a third of all rows is spread over ``chunks`` tasks, and rows of one first value follow each other. ``order`` must
+    be unique within a key for a repeatable result.
     """
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64(order), F.lit(chunks)).cast("int"))
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64(order[0]), F.lit(chunks)).cast("int"))
     sizes = df.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order)) - 1
+    within = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)) - 1
     return df.withColumn("_within", within).join(sizes, [*keys, "_chunk"]).withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_chunk", "_within", "_before")
 
 
+def running_before(df: DataFrame, key: str, value: str, ties: list[str], out: str, chunks: int = 64) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the same ``key`` that come first, the large ones first.
+
+    The order is by the power of two that ``value`` reaches, then by a hash chunk of ``ties`` (unique within a key), then by
+    value and ties, so a key with many rows is spread over ``chunks`` tasks for every power.
+    """
+    df = df.withColumn("_level", -F.floor(F.log2(value)).cast("int")).withColumn("_chunk", F.pmod(F.xxhash64(*ties), F.lit(chunks)).cast("int"))
+    before = Window.partitionBy(key).orderBy("_level", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(key, "_level", "_chunk").agg(F.sum(value).alias("_n"))
+    sizes = sizes.select(key, "_level", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(key, "_level", "_chunk").orderBy(F.desc(value), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sizes, [key, "_level", "_chunk"])
+    return df.withColumn(out, F.col("_before") + F.col("_within")).drop("_level", "_chunk", "_before", "_within")
+
+
 def free(name: str, taken: list[str]) -> str:
     """``name``, with underscores until no column of ``taken`` is called so."""
     lower = {c.lower() for c in taken}

@@ -4,8 +4,10 @@ A test item of n normalised characters may differ from a passage by ``rate * n``
 that, so a passage within the budget holds at least one piece unchanged, near the piece's place. An automaton finds all pieces
 of all items in one scan of a text; around each hit Myers' bit-parallel search gives the least distance of the whole item.
 
-The items are a query set: they are taken in blocks of at most ``BLOCK_CHARS`` characters, each broadcast and run against all
-rows, so neither the driver nor a worker holds more than a block.
+The items are a query set: they are taken in blocks of at most ``BLOCK_CHARS`` characters (a longer item is a block), each
+broadcast and run against all rows. With more than one block, each one's result is written to the shared folder and its
+broadcast destroyed before the next is read, so the driver and a worker hold one block at a time, whatever the benchmark's size.
+Of an item's passages in a document the least distant is reported, of equal ones the one that ends first.
 
 Texts and items are compared in lower case with each run of white space as one space. Defined cases: null and blank texts
 match nothing; null and blank items match nothing; items too short for an edit must occur exactly; equal items match each;
@@ -14,7 +16,8 @@ repeated rows are judged each; texts of any length are searched whole; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallygrove.llm import vec
+from tallygrove.llm.common import drop, save
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
@@ -142,19 +146,27 @@ def _items(shared, rate: float) -> Items:
     return _ready[key]
 
 
-def _shared(docs: DataFrame, block: list[tuple[int, str]]):
-    return docs.sparkSession.sparkContext.broadcast((hash(tuple(block)), block))
+def _per_block(docs: DataFrame, benchmark: DataFrame, rate: float, most: int, step: Callable[[Callable[[], Items], bool], None]) -> None:
+    """Calls ``step`` with each block's items, ready on the workers, and whether it is the only block; what step gives is final."""
+    following = blocks(benchmark, most)
+    block, after = next(following, None), next(following, None)
+    alone = after is None
+    while block is not None:
+        shared = docs.sparkSession.sparkContext.broadcast((hash(tuple(block)), block))
+        step(lambda shared=shared: _items(shared, rate), alone)
+        if not alone:
+            shared.destroy()
+        block, after = after, next(following, None)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, stop: a row for each document and item within the item's budget; places are in the normalised text."""
     schema = T.StructType([docs.select("doc_id").schema[0], *T._parse_datatype_string(MATCH).fields])
-    out = None
-    for block in blocks(benchmark):
-        shared = _shared(docs, block)
+    found: list[DataFrame] = []
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = _items(shared, rate)
+    def step(items_of: Callable[[], Items], alone: bool) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = items_of()
             for batch in vec.parts(batches, 1):
                 rows, ids = [], []
                 for i, text in enumerate(batch.column(1)):
@@ -164,21 +176,28 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))], ["doc_id", "item_id", "distance", "start", "stop"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = out.unionByName(found) if out is not None else found
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        got = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found.append(got if alone else save(got))
 
+    _per_block(docs, benchmark, rate, most, step)
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns."""
     at = docs.columns.index("text")
-    for block in blocks(benchmark):
-        shared = _shared(docs, block)
+    left = [docs]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = _items(shared, rate)
+    def step(items_of: Callable[[], Items], alone: bool) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = items_of()
             for batch in vec.parts(batches, at):
                 yield batch.filter(pa.array([next(items.matches(normal(x.as_py())), None) is None for x in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        got = left[0].mapInArrow(run, docs.schema)
+        before, left[0] = left[0], got if alone else save(got)
+        if before is not docs:
+            drop(before)
+
+    _per_block(docs, benchmark, rate, most, step)
+    return left[0]

@@ -1,15 +1,17 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line of a document is a node with the labels bad and good. A node's potential is linear in the features of the line
-and of its two neighbours, an edge's in the pair of labels. Training lines carry their document's label. A document's score
-is the mean of its lines' forward-backward marginals of good, weighted by the lines' lengths.
+and of its two neighbours, an edge's in the pair of labels. Labels are given for documents only, so training lines carry their
+document's label, also those of a mixed document, and within a document the chain sees no change of label: the edge weights say
+how strongly neighbours agree. A document's score is the mean of its lines' forward-backward marginals of good, weighted by the
+lines' lengths.
 
-The model is fitted on the driver on at most ``max_docs`` labelled documents, taken in the order of a hash of their ids: the
-bound is on rows collected, whatever the tables' size. Scoring runs over whole texts, batch by batch.
+The model is fitted on the driver on at most ``max_docs`` labelled documents of at most ``max_chars`` characters each, taken in
+the order of a hash of their ids: both bounds hold whatever the tables' size. Scoring runs over whole texts, batch by batch.
 
 Defined cases: null and empty texts score the training share of good documents; labels that are null or name no document
 are passed over; of contradicting labels of a document the majority counts, good on a tie; without labels of both kinds the
-score is that share (0.5 without any); repeated rows are scored each; lang, source and all other columns are never read.
+score is that share (0.5 without any); of rows that repeat a labelled id the fit reads the smallest text; repeated rows are scored each; lang, source and all other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tallygrove.llm import vec
 
 #: Most labelled documents that the fit collects.
 MAX_DOCS = 2000
+#: Characters of the longest document that the fit reads; longer ones are only scored.
+MAX_CHARS = 50_000
 #: Lowest score of a document that counts as good.
 THRESHOLD = 0.7
 NAMES = ("chars", "words", "upper", "exclaim", "bars", "marks", "digits", "twice", "distinct", "pairs", "mean_word", "short", "repeated", "closed", "blank")
@@ -184,10 +188,11 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> LineCrf:
     known = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("_good"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # at most max_docs narrow rows, so safe to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    read = docs.where(F.char_length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = read.groupBy("doc_id", "_good").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return LineCrf.fit(rows["text"].tolist(), rows["_good"].tolist())
 
 

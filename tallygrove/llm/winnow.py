@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words, in lower case, have 64-bit hashes; those of k words in a row are built from them by doubling (1, 2, 4, then 5
-words), so each serves all grams that share it. In every window of w grams the least hash is chosen, of equal ones the
-rightmost, and kept with its place. Two texts that share w + k - 1 words in a row share a chosen gram.
+A text's words, in lower case, have 64-bit hashes, and k words in a row the rolling hash of a cyclic polynomial: each word's
+hash, turned by one bit for every word that follows it, all joined by exclusive or. It is built by doubling (1, 2, 4, then 5
+words), so each part serves all grams that share it. In every window of w grams the least hash is chosen, of hashes whose
+upper 34 bits are equal the rightmost, and kept with its place. Two texts that share w + k - 1 words in a row share a chosen
+gram. The fingerprint as a string is a digest of the chosen hashes and places.
 
 Defined cases: a null text is empty; a text without words has an empty fingerprint; one of fewer than k words has one gram of
 all its words, one of fewer than w grams one window; rows that repeat a doc_id count as the one of the smallest text; rows
@@ -26,8 +28,9 @@ PLACE_BITS = 30
 _PLACES = (1 << PLACE_BITS) - 1
 
 
-def _chain(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
+def _rolled(n: int) -> Callable[[Column, Column], Column]:
+    """The hash of a part followed by another of ``n`` words."""
+    return lambda a, b: F.shiftleft(a, n).bitwiseOR(F.shiftrightunsigned(a, 64 - n)).bitwiseXOR(b)
 
 
 def _lesser(a: Column, b: Column) -> Column:
@@ -47,9 +50,9 @@ def fingerprint(df: DataFrame, text: str, hashes: str, places: str) -> DataFrame
     words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), SPACE_CLASS)
     df = df.select(*keep, words.alias("_w"))
     df = df.select(*keep, F.transform("_w", lambda x: F.xxhash64(x)).alias("_w"), (F.element_at("_w", 1) == "").alias("_none"))
-    df = df.select(*keep, "_w", "_none", _joined("_w", 1, _chain).alias("_g2"))
-    df = df.select(*keep, "_w", "_none", _joined("_g2", 2, _chain).alias("_g4"))
-    df = df.select(*keep, "_none", "_w", _joined("_g4", 4, _chain, "_w").alias("_g"))
+    df = df.select(*keep, "_w", "_none", _joined("_w", 1, _rolled(1)).alias("_g2"))
+    df = df.select(*keep, "_w", "_none", _joined("_g2", 2, _rolled(2)).alias("_g4"))
+    df = df.select(*keep, "_none", "_w", _joined("_g4", 4, _rolled(1), "_w").alias("_g"))
     df = df.select(*keep, F.when(F.col("_none"), F.array().cast("array<bigint>")).when(F.size("_g") == 0, F.array(F.xxhash64("_w"))).otherwise(F.col("_g")).alias("_g"))
     # The least packed value has the least hash and, of equal ones, the greatest place.
     packed = F.transform("_g", lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(F.lit(_PLACES) - i.cast("long")))
