@@ -208,7 +208,7 @@ def fit_floor(train: DataFrame, alpha: float = 0.1, q: float = 0.25) -> tuple[li
             w, b = fit_quantile(s(x), y, q, alpha)
             yield pd.DataFrame({"weights": [(w / s.scale).tolist()], "intercept": [b - float((w * s.mean / s.scale).sum())]})
 
-    got = rows.coalesce(1).mapInPandas(fit, "weights array<double>, intercept double").collect()  # close races won: one row a district at most
+    got = rows.repartition(1).mapInPandas(fit, "weights array<double>, intercept double").collect()  # close races won: one row a district at most
     if not got:
         raise ValueError("fewer than 30 close races won")
     return list(got[0]["weights"]), got[0]["intercept"]

@@ -434,11 +434,15 @@ def q_alg_allocate_need_cap(spark, d):
     return al.allocate(rows, "c_acctbal", 1000.0, 20, ("c_custkey",), need="need").select("c_custkey", F.round("allocation", 4).alias("allocation"))
 
 
-@query("""SELECT user_id, strftime(cutoff, '%Y-%m-%d') AS cutoff, coalesce(arg_max(event_id, (ts, event_id)) FILTER (ts < cutoff + 1), arg_min(event_id, (ts, event_id))) AS event_id, count(*) FILTER (ts < cutoff + 1) = 0 AS backfilled
-FROM events, (SELECT DATE '2024-01-03' AS cutoff) GROUP BY user_id, cutoff""")
+@query("""WITH wanted AS (SELECT DISTINCT user_id, DATE '2024-01-03' AS cutoff, user_id % 3 = 0 AS may_fill FROM events), known AS (
+  SELECT user_id, event_id FROM events WHERE ts < TIMESTAMP '2024-01-04' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+), late AS (
+  SELECT user_id, event_id FROM events WHERE user_id % 3 = 0 AND user_id NOT IN (SELECT user_id FROM known) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)
+SELECT w.user_id, strftime(cutoff, '%Y-%m-%d') AS cutoff, CASE WHEN k.user_id IS NOT NULL THEN k.event_id ELSE l.event_id END AS event_id, l.user_id IS NOT NULL AS backfilled
+FROM wanted w LEFT JOIN known k USING (user_id) LEFT JOIN late l USING (user_id)""")
 def q_src_asof_revision(spark, d):
     log = read(spark, d, "events")
-    wanted = log.select("user_id").distinct().withColumn("cutoff", F.lit("2024-01-03").cast("date"))
+    wanted = log.select("user_id", F.lit("2024-01-03").cast("date").alias("cutoff"), (F.col("user_id") % 3 == 0).alias("may_fill")).distinct()
     return staged.latest_revision(log, wanted, "user_id", "ts", "event_id").withColumn("cutoff", F.col("cutoff").cast("string"))
 
 

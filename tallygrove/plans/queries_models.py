@@ -175,39 +175,41 @@ def q_pre_splitter(spark, d):
 
 
 def _training(spark, d) -> DataFrame:
-    """Races with features: documents' labels stand in for outcomes only where a model needs many rows."""
+    """Races with features; the stand-in has no survey."""
     return matrix(spark, d).where("snapshot = 'T-60'").withColumns({c: F.lit(0.0) for c in models.feature_columns("naive+pvi+demo") if c.startswith("acs_")})
 
 
+def _fitted(fit):
+    """What ``fit`` gives, or None where there is too little to fit a model on: then a query has no rows."""
+    try:
+        return fit()
+    except ValueError:
+        return None
+
+
 @query()
 def q_alg_logistic_ro(spark, d):
     rows = _training(spark, d)
-    try:
-        fit = models.fit_logistic(rows.where("cycle < 2000"), "naive+pvi")
-    except ValueError:  # the smallest tables have no close races
-        fit = ([0.0] * 3, 0.0)
-    return models.score_logistic(rows.where("cycle = 2000"), *fit, "naive+pvi").select("cycle", *DISTRICT, "party_major", "competitiveness")
+    fit = _fitted(lambda: models.fit_logistic(rows.where("cycle < 2000"), "naive+pvi"))
+    scored = models.score_logistic(rows.where("cycle = 2000"), *(fit or ([0.0] * 3, 0.0)), "naive+pvi")
+    return scored.where(F.lit(fit is not None)).select("cycle", *DISTRICT, "party_major", "competitiveness")
 
 
 @query()
 def q_alg_multiquantile_ro(spark, d):
     rows = _training(spark, d)
-    try:
-        fits = models.fit_quantiles(rows.where("cycle < 2000"), "naive+pvi").collect()  # nine rows
-    except ValueError:
-        fits = [{"level": q, "weights": [0.0] * 3, "intercept": q - 0.5} for q in nx.LEVELS]
-    scored = models.score_quantiles(models.predict_quantiles(rows.where("cycle = 2000"), fits, "naive+pvi"))
-    return scored.select("cycle", *DISTRICT, "party_major", "quantiles", "competitiveness")
+    fits = _fitted(lambda: models.fit_quantiles(rows.where("cycle < 2000"), "naive+pvi").collect())  # nine rows
+    unfitted = [{"level": q, "weights": [0.0] * 3, "intercept": 0.0} for q in nx.LEVELS]
+    scored = models.score_quantiles(models.predict_quantiles(rows.where("cycle = 2000"), fits or unfitted, "naive+pvi"))
+    return scored.where(F.lit(fits is not None)).select("cycle", *DISTRICT, "party_major", "quantiles", "competitiveness")
 
 
 @query()
 def q_alg_viable_floor_ro(spark, d):
-    rows = _training(spark, d).withColumn("margin_pct", F.col("margin_pct") / 5)  # so that enough races are close
-    try:
-        fit = models.fit_floor(rows.where("cycle < 2000"))
-    except ValueError:
-        fit = ([0.0] * 3, 1.0)
-    out = rows.where("cycle = 2000 and party_major = 'D'").withColumn("viable_floor", models.floor_of(*fit))
+    """The stand-in's margins, a fifth of their size, so that races are as close as the model's training rows must be."""
+    rows = _training(spark, d).withColumn("margin_pct", F.col("margin_pct") / 5)
+    fit = _fitted(lambda: models.fit_floor(rows.where("cycle < 2000")))
+    out = rows.where("cycle = 2000 and party_major = 'D'").where(F.lit(fit is not None)).withColumn("viable_floor", models.floor_of(*(fit or ([0.0] * 3, 1.0))))
     return out.select(*DISTRICT, "total_trans", "viable_floor", nx.need(F.col("total_trans"), F.col("viable_floor")).alias("need"))
 
 

@@ -60,21 +60,28 @@ def csv_located(spark: SparkSession, path: str, wanted: dict[str, list[str]]) ->
     return df.select(*(F.col(f"`{c}`").alias(n) for n, c in found.items()))
 
 
-def quoted_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A comma-separated file whose data rows are wrapped in outer quotes, inner ones doubled; all columns are text."""
+def quoted_rows(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """A comma-separated file whose data rows are wrapped in outer quotes, inner ones doubled; all columns are text.
+
+    names: the columns, if they are not those of the first line. Header lines and rows of another number of fields go.
+    """
     lines = spark.read.text(path)
-    names = [x.strip().strip('"') for x in lines.first()[0].strip().strip('"').split(",")]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    names = names or [x.strip().strip('"') for x in lines.first()[0].strip().strip('"').split(",")]
     bare = F.regexp_replace(F.regexp_replace("value", r'^"(.*)"$', "$1"), '""', '"')
     rows = lines.where(F.lower(F.regexp_replace("value", '"', "")) != ",".join(names).lower()).where(F.length("value") > 0)
-    return rows.select(F.from_csv(bare, ", ".join(f"`{f.name}` string" for f in schema.fields)).alias("_r")).select("_r.*")
+    schema = ", ".join(f"`{n}` string" for n in [*names, "_more"])
+    parsed = rows.select(F.from_csv(bare, schema, {"mode": "PERMISSIVE"}).alias("_r"), F.size(F.split(F.regexp_replace(bare, '"[^"]*"', ""), ",")).alias("_n"))
+    return parsed.where(F.col("_n") == len(names)).select(*(F.col(f"_r.`{n}`").alias(n) for n in names))
 
 
 def or_empty(read, schema: str, spark: SparkSession) -> DataFrame:
-    """What ``read()`` gives, or an empty table of ``schema`` if it fails: for sources that a build can do without."""
+    """What ``read()`` gives, or an empty table of ``schema`` if it fails: for small sources that a build can do without.
+
+    Whether it can be read shows only in a pass over all of it, so the source is counted once.
+    """
     try:
         df = read()
-        df.schema  # noqa: B018  analysis happens here
+        df.count()
         return df
     except Exception:  # noqa: BLE001
         return spark.createDataFrame([], schema)

@@ -104,25 +104,27 @@ def pick_ratings_table(found: list[tuple[list[str], list[list[str]]]], least_row
     return None
 
 
+#: What a ratings page gives, by the name of its column: the output's name and how the text is read.
+READ = {"cpvi": ("cpvi_signed", fx.signed_index)} | {n: (f"{n}_ordinal", fx.rating_ordinal) for n in ("cook", "sabato", "inside", "rcp", "politico", "fox", "ddhq", "five38", "economist")} | {"incumbent_raw": ("incumbent_raw", F.trim)}
+#: Forecasters whose text may announce a change of party.
+FLIPPERS = ("cook", "sabato", "inside")
+
+
 def ratings(spark: SparkSession, html: str, cycle: int, snapshot: str, revision_id: int, least_rows: int = LEAST_ROWS) -> DataFrame:
     """One page's ratings: state, district, index, ordinals, incumbent and flip; ValueError if the page has no such table."""
     picked = pick_ratings_table(parse_tables(html), least_rows)
     if picked is None:
         raise ValueError(f"no ratings table for {cycle} {snapshot}, revision {revision_id}")
-    names, rows = picked
-    unique = list(dict.fromkeys(names))
-    df = spark.createDataFrame([[r[names.index(n)] if names.index(n) < len(r) else None for n in unique] for r in rows], ", ".join(f"`{n}` string" for n in unique))
-    place = next((n for n in unique if "district" in n or n == "race"), unique[0])
-    df = df.withColumn("_d", fx.district_label(F.col(place))).where("_d is not null")
-    out = [F.col("_d.state").alias("state_abbr"), F.col("_d.district").alias("district")]
-    if "cpvi" in unique:
-        out.append(fx.signed_index(F.col("cpvi")).alias("cpvi_signed"))
-    out += [fx.rating_ordinal(F.col(n)).alias(f"{n}_ordinal") for n in dict.fromkeys(fx.FORECASTERS.values()) if n in unique and n != "cnalysis"]
-    if "incumbent_raw" in unique:
-        out.append(F.col("incumbent_raw"))
-    if flips := [F.col(n) for n in ("cook", "sabato", "inside") if n in unique]:
-        out.append(fx.any_contains(flips, "flip").alias("flip_predicted"))
-    return df.select(*out, F.lit(cycle).alias("cycle"), F.lit(snapshot).alias("snapshot_date"), F.lit(revision_id).alias("revision_id"))
+    header, body = picked
+    first = {name: header.index(name) for name in header}
+    places = [n for n in first if n == "race" or "district" in n]
+    page = spark.createDataFrame([(row,) for row in body], "cells array<string>")
+    cell = {name: F.get("cells", F.lit(i)) for name, i in first.items()}
+    told = {out: read(cell[name]) for name, (out, read) in READ.items() if name in cell}
+    if said := [cell[n] for n in FLIPPERS if n in cell]:
+        told["flip_predicted"] = fx.any_contains(said, "flip")
+    rows = page.select(fx.district_label(cell[places[0] if places else header[0]]).alias("_place"), *(c.alias(n) for n, c in told.items())).where("_place is not null")
+    return rows.select(F.col("_place.state").alias("state_abbr"), F.col("_place.district").alias("district"), *told, F.lit(cycle).alias("cycle"), F.lit(snapshot).alias("snapshot_date"), F.lit(revision_id).alias("revision_id"))
 
 
 def archive_ratings(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrove.functions import dates
+
 # Survey variables and their names.
 ACS = {
     "B01003_001E": "total_pop", "B01002_001E": "median_age", "B02001_002E": "race_white", "B02001_003E": "race_black", "B02001_004E": "race_amer_ind", "B02001_005E": "race_asian",
@@ -39,22 +41,31 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def acs(spark: SparkSession, paths: list[str], cycle: int, states: dict[str, str]) -> DataFrame:
-    """Staged survey responses (a JSON array of rows, the first the header) as one typed table. states: FIPS code to postal code."""
-    rows = []
-    for path in paths:  # a response has a row for each district of a state
-        with open(path) as f:
-            header, *body = json.load(f)
-        rows += [dict(zip(header, r, strict=True)) for r in body]
-    names = ["NAME", *ACS, "state", "congressional district"]
-    df = spark.createDataFrame([[r.get(n) for n in names] for r in rows], ", ".join(f"`{n}` string" for n in names))
-    code = F.create_map(*(F.lit(x) for kv in states.items() for x in kv)) if states else F.lit(None)
-    return df.select("NAME", *(F.col(k).try_cast("double").alias(v) for k, v in ACS.items()), F.col("state").alias("state_fips"), F.try_element_at(code, F.col("state")).alias("state_abbr"), F.col("congressional district").try_cast("int").alias("district"), F.lit(cycle).alias("cycle"))
+    """Staged survey responses (a JSON array of rows, the first the header) as one typed table, read by Spark. states: FIPS code to postal code."""
+    page = spark.read.text(paths, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("_rows"))
+    rows = page.select(F.get("_rows", F.lit(0)).alias("_names"), F.posexplode("_rows").alias("_at", "_row")).where("_at > 0")
+    cell = {n: F.get("_row", (F.array_position("_names", n) - 1).cast("int")) for n in ["NAME", *ACS, "state", "congressional district"]}
+    cell = {n: F.when(F.array_contains("_names", n), c) for n, c in cell.items()}
+    code = F.create_map(*(F.lit(x) for kv in states.items() for x in kv)) if states else F.create_map().cast("map<string,string>")
+    out = [cell["NAME"].alias("NAME"), *(cell[k].try_cast("double").alias(v) for k, v in ACS.items()), cell["state"].alias("state_fips"), F.try_element_at(code, cell["state"]).alias("state_abbr")]
+    return rows.select(*out, cell["congressional district"].try_cast("int").alias("district"), F.lit(cycle).alias("cycle"))
 
 
 def latest_revision(log: DataFrame, cutoffs: DataFrame, key: str, at: str, revision: str) -> DataFrame:
-    """cutoffs: ``key`` and cutoff. The last revision up to the cutoff's end of day, else the first ever, flagged as back-filled."""
+    """cutoffs: ``key``, cutoff and may_fill, whether the key's cycle is one that is filled back.
+
+    The last revision up to the cutoff's end of day. Where there is none, a key that may be filled back gets its first revision
+    ever, flagged ``backfilled``; any other one gets null, since what comes after the cutoff was not known then.
+    """
     inside = F.col(at) < F.date_add("cutoff", 1)
-    return cutoffs.join(log, key, "left").groupBy(key, "cutoff").agg(F.max_by(revision, F.when(inside, F.struct(at, revision))).alias("_last"), F.min_by(revision, F.struct(at, revision)).alias("_first")).select(key, "cutoff", F.coalesce("_last", "_first").alias(revision), (F.col("_last").isNull() & F.col("_first").isNotNull()).alias("backfilled"))
+    found = cutoffs.join(log, key, "left").groupBy(key, "cutoff", "may_fill").agg(F.max_by(revision, F.when(inside, F.struct(at, revision))).alias("_last"), F.min_by(revision, F.struct(at, revision)).alias("_first"))
+    filled = F.col("_last").isNull() & F.col("_first").isNotNull() & F.coalesce("may_fill", F.lit(False))
+    return found.select(key, "cutoff", F.coalesce("_last", F.when(filled, F.col("_first"))).alias(revision), filled.alias("backfilled"))
+
+
+def days_off(stamp: str, day: str) -> F.Column:
+    """Days between a stamp's day and another day; null if the stamp is unreadable."""
+    return F.abs(F.date_diff(dates.from_stamp(F.col(stamp)), F.col(day)))
 
 
 def latest_stamp(index: DataFrame, snapshot: str, since: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_names_and_parties(spark):
 
 
 def test_headers():
-    assert text.header_name(("Ratings", "Cook[12] (Sep 6)")) == "cook_sep_6" and text.header_name(("Race", "Unnamed: 1")) == "race"
+    assert text.header_name("Ratings", "Cook[12] (Sep 6)") == "cook_sep_6" and text.header_name("Race", " ") == "race"
     assert [text.forecaster_name(x) for x in ("cook_september_6_2024", "ie_x", "538_y", "pvi", "incumbent", "other")] == ["cook", "inside", "five38", "cpvi", "incumbent_raw", "other"]
 
 

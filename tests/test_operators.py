@@ -111,7 +111,8 @@ def test_csv_sources(spark, tmp_path):
         delimited.csv_renamed(spark, str(tmp_path / "e.csv"), {"cand_id": "CAND_ID"}, ["SUP_OPP"])
     (tmp_path / "p.csv").write_text("The District,2022 PVI,z\nAL-01,R+5,1\n")
     assert tuple(delimited.csv_located(spark, str(tmp_path / "p.csv"), {"d": ["district"], "i": ["pvi"]}).first()) == ("AL-01", "R+5")
-    (tmp_path / "r.tab").write_text('year,state,candidate\n"2022,ALABAMA,""SMITH, A"""\n')
+    (tmp_path / "r.tab").write_text('year,state,candidate\n"2022,ALABAMA,""SMITH, A"""\n"2022,OHIO"\n"2022,OHIO,X,Y"\n')
+    assert delimited.quoted_rows(spark, str(tmp_path / "r.tab")).count() == 1
     assert tuple(delimited.quoted_rows(spark, str(tmp_path / "r.tab")).first()) == ("2022", "ALABAMA", "SMITH, A")
     assert delimited.or_empty(lambda: spark.read.parquet("/nowhere"), "a int", spark).count() == 0
 
@@ -130,9 +131,10 @@ def test_html_tables(spark):
 
 def test_staged_sources(spark, tmp_path):
     log = spark.createDataFrame([("p", "2024-09-01 10:00:00", 1), ("p", "2024-09-06 23:59:59", 2), ("p", "2024-09-07 00:00:00", 3), ("q", "2024-12-01 00:00:00", 9)], "page string, ts string, rev int").withColumn("ts", F.col("ts").cast("timestamp"))
-    wanted = spark.createDataFrame([("p",), ("q",), ("r",)], "page string").withColumn("cutoff", F.lit("2024-09-06").cast("date"))
+    log = log.unionByName(log.where("page = 'q'").withColumn("page", F.lit("s")))
+    wanted = spark.createDataFrame([("p", True), ("q", True), ("r", True), ("s", False)], "page string, may_fill boolean").withColumn("cutoff", F.lit("2024-09-06").cast("date"))
     got = {r["page"]: (r["rev"], r["backfilled"]) for r in staged.latest_revision(log, wanted, "page", "ts", "rev").collect()}
-    assert got == {"p": (2, False), "q": (9, True), "r": (None, False)}
+    assert got == {"p": (2, False), "q": (9, True), "r": (None, False), "s": (None, False)}
     index = spark.createDataFrame([("20240901000000",), ("20240906235959",), ("20240907000000",), ("20231031000000",)], "ts string")
     assert staged.latest_stamp(index, "20240906", "20231101").first()["ts"] == "20240906235959"
     (tmp_path / "a.json").write_text(json.dumps([["NAME", "B01003_001E", "state", "congressional district"], ["x", "12", "01", "03"], ["y", "n/a", "02", "ZZ"]]))

@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from tallygrove.plans import queries, queries_legacy, queries_models  # noqa: F401
+from tallygrove.plans import queries, queries_legacy, queries_models, queries_sources  # noqa: F401
 
 
 def plain(v):
