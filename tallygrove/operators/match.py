@@ -43,8 +43,12 @@ def fuzzy(rows: DataFrame, records: DataFrame, cutoff: float = CUTOFF) -> DataFr
     r = records.select("state", "district", F.col("last_name").alias("_name"), F.col("party_major").alias("_party"), "cand_id")
     both = rows.join(r, ["state", "district"]).withColumn("_same", (F.col("_party") == F.col("party_major")) & F.col("party_major").isin("D", "R"))
     both = both.withColumn("_any", F.max(F.coalesce("_same", F.lit(False))).over(Window.partitionBy("row_id"))).where(~F.col("_any") | F.col("_same"))
-    target = F.upper(F.trim("last_name"))
-    both = both.withColumns({"_ratio": likeness(target, "_name"), "_held": either_contains(target, F.col("_name"))})
+    both = both.withColumn("_target", F.upper(F.trim("last_name")))
+    # Names are compared once each pair, and only pairs whose lengths can reach the cutoff.
+    sizes = F.length("_target"), F.length("_name")
+    names = both.where((F.least(*sizes) > 0) & (2 * F.least(*sizes) >= cutoff * (sizes[0] + sizes[1]))).select("_target", "_name").distinct()
+    both = both.join(names.withColumn("_ratio", likeness("_target", "_name")), ["_target", "_name"], "left")
+    both = both.withColumns({"_ratio": F.coalesce("_ratio", F.lit(0.0)), "_held": either_contains(F.col("_target"), F.col("_name"))})
     hits = both.where((F.col("_ratio") >= cutoff) | F.col("_held"))
     close = F.col("_ratio") >= cutoff
     order = [F.desc(close), F.desc(F.when(close, F.col("_ratio"))), F.desc(F.when(close, F.col("_name"))), F.length("_name"), "_name", "cand_id"]

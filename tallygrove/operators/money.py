@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,13 @@ def candidate_totals(totals: DataFrame, linkage: DataFrame, keys: list[str]) ->
     return sums.select(*keys, "cand_id", F.floor((F.col("_i") + F.col("_c")) / 100).alias("total_trans"), F.floor(F.col("_i") / 100).alias("trans_by_indiv"), F.floor(F.col("_c") / 100).alias("trans_by_cmte"))
 
 
+def rolled_up(rows: DataFrame, linkage: DataFrame, keys: list[str], parts: dict[str, Column], amount: str = "cents") -> DataFrame:
+    """keys, cand_id and a sum for each of ``parts`` (a condition), all from one scan: by committee first, then by its candidates."""
+    sums = rows.groupBy(*keys, "cmte_id").agg(*(F.coalesce(F.sum(F.when(c, F.col(amount))), F.lit(0)).alias(n) for n, c in parts.items()))
+    linked = sums.join(linkage.select("cmte_id", "cand_id").where("cand_id is not null"), "cmte_id")
+    return linked.groupBy(*keys, "cand_id").agg(*(F.sum(n).alias(n) for n in parts))
+
+
 def with_master(totals: DataFrame, master: DataFrame, office: str = "H") -> DataFrame:
     """Candidates of one office; the filter is put on the master table before the join."""
     return totals.join(master.where(F.col("office") == office), "cand_id")

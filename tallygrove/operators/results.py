@@ -41,8 +41,8 @@ def contested(rows: DataFrame, keys: list[str], need_record: bool = True) -> Dat
     """Major-party rows with a record and a contested margin, of the districts that then have exactly one D and one R side."""
     kept = rows.where(F.col("party_major").isin("D", "R") & F.col("margin").between(-0.999999, 0.999999))
     kept = kept.where("cand_id is not null") if need_record else kept
-    sides = kept.groupBy(*keys).agg(F.collect_set("party_major").alias("_s")).where(F.size("_s") == 2)
-    return kept.join(sides, keys, "left_semi")
+    both = F.size(F.collect_set("party_major").over(Window.partitionBy(*keys)))
+    return kept.withColumn("_sides", both).where("_sides = 2").drop("_sides")
 
 
 def chamber(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,8 +62,9 @@ def chamber_counts(view: DataFrame) -> DataFrame:
 def counterfactual(rows: DataFrame, k: int, within: float = 0.05) -> DataFrame:
     """D rows of races that R won: whether among the ``k`` closest, and whether lost by less than ``within``."""
     lost = rows.where((F.col("party_major") == "D") & (F.col("margin") < 0))
-    rank = F.row_number().over(Window.orderBy(F.abs("margin"), "state", "district"))
-    return lost.withColumn("_rank", rank).withColumns({"pivotal": F.col("_rank") <= k, "winnable": F.abs("margin") < within}).drop("_rank")
+    last = lost.orderBy(F.abs("margin"), "state", "district").limit(k).agg(F.max(F.struct(F.abs("margin").alias("m"), "state", "district")).alias("_last"))  # one row
+    own = F.struct(F.abs("margin").alias("m"), "state", "district")
+    return lost.crossJoin(F.broadcast(last)).withColumns({"pivotal": own <= F.col("_last"), "winnable": F.abs("margin") < within}).drop("_last")
 
 
 def parties(column: str) -> F.Column:

@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from statistics import fmean, pstdev
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions import numeric as nx
@@ -35,6 +35,7 @@ class Run:
     n_close: int
     metrics: list[dict] = field(default_factory=list)
     ci: dict = field(default_factory=dict)
+    shares: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -55,6 +56,30 @@ def with_lines(df: DataFrame, score: str = "competitiveness", final: str = "fina
     return df.withColumns({"model": F.col(score), "fundraising": F.col("total_trans").cast("double"), "oracle": is_close("margin_pct").cast("double"), "final_ratings": rating})
 
 
+def with_final_ratings(dems: DataFrame, ratings: DataFrame | None, column: str = "cook_ordinal") -> DataFrame:
+    """Adds final_rating, the last one before the election; a district without one, or no ratings at all, weighs nothing."""
+    if ratings is None:
+        return dems.withColumn("final_rating", F.lit(None).cast("double"))
+    last = ratings.groupBy("state", "district").agg(F.max(F.col(column).cast("double")).alias("final_rating"))
+    return dems.drop("final_rating").join(last, ["state", "district"], "left")
+
+
+#: What a share of dollars counts, by its name; each is a flag of the scored rows.
+HITS = {"close": "_close", "pivotal": "pivotal", "under_floor": "under_floor"}
+
+
+def flagged(dems: DataFrame) -> DataFrame:
+    """The flags of HITS; those whose model did not run are false."""
+    known = {"_close": is_close("margin_pct")} | {c: F.coalesce(F.col(c), F.lit(False)) if c in dems.columns else F.lit(False) for c in ("pivotal", "under_floor")}
+    return dems.withColumns(known)
+
+
+def hit_shares(df: DataFrame, n: int, line: str = "model") -> DataFrame:
+    """One row: the share of the line's dollars over the top ``n`` for each of HITS."""
+    top = allocate(df, line, 1.0, n)
+    return top.agg(*(F.round(dollar_share("allocation", F.col(flag)), 4).alias(name) for name, flag in HITS.items()))
+
+
 def shares_at(df: DataFrame, grid: tuple[int, ...] = GRID, lines: tuple[str, ...] = LINES) -> DataFrame:
     """line, n, close_share: one ranking for each line, cut at each N of the grid."""
     long = df.select("state", "district", "margin_pct", F.explode(F.map_from_arrays(F.array(*map(F.lit, lines)), F.array(*(F.col(x).cast("double") for x in lines)))).alias("line", "_s"))
@@ -72,8 +97,12 @@ def combine_need(df: DataFrame, floor: tuple[list[float], float], alpha: float,
     return df.withColumns({"impact": nx.need_boost(F.col(base), F.col("need_raw"), alpha), "under_floor": F.coalesce(F.col("total_trans") < F.col("viable_floor"), F.lit(False))})
 
 
-def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snapshot: str, feature_set: str = "full", model: str = "multi-quantile", combine: str = "competitiveness", universe_name: str = "all", headline_n: int = 10, reps: int = 1000, n_iter: int = 10_000, alpha: float = DEFAULT_ALPHA, seed: int = 42, grid: tuple[int, ...] = GRID, uncontested_d: int = 0) -> Run:
-    """Fits on the training cycles, scores the test cycle, and measures the shares of dollars in close races."""
+def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snapshot: str, feature_set: str = "full", model: str = "multi-quantile", combine: str = "competitiveness", universe_name: str = "all", headline_n: int = 10, reps: int = 1000, n_iter: int = 10_000, alpha: float = DEFAULT_ALPHA, seed: int = 42, grid: tuple[int, ...] = GRID, uncontested_d: int = 0, final_ratings: DataFrame | None = None) -> Run:
+    """Fits on the training cycles, scores the test cycle, and measures the shares of dollars in close races.
+
+    With stakes or needs among the scores, also the shares in pivotal seats and below the funding floor; all with intervals.
+    final_ratings: state, district, cook_ordinal of the last ratings before the election, the fourth line.
+    """
     if model not in ("multi-quantile", "logistic"):
         raise KeyError(f"unknown model {model!r}")
     if combine not in ("competitiveness", "base", "impact"):
@@ -97,13 +126,21 @@ def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snaps
     if combine == "impact":
         dems = combine_need(dems, models.fit_floor(train), alpha)
         score = "impact"
-    dems = with_lines(dems, score).cache()  # a row for each district of one cycle
+    if final_ratings is not None or "final_rating" not in dems.columns:
+        dems = with_final_ratings(dems, final_ratings)
+    dems = flagged(with_lines(dems, score)).cache()  # a row for each district of one cycle
     try:
         counts = dems.agg(F.count("*"), F.count_if(is_close("margin_pct"))).first()
         metrics = [r.asDict() for r in shares_at(dems, grid).orderBy("line", "n").collect()]
         drawn = simulate.resampled(dems, reps, seed, ["state", "district"])
         ci = {line: [round(x, 4) for x in simulate.interval(simulate.bootstrap_shares(drawn, line, headline_n, is_close("margin_pct"))).first()[:3]] for line in LINES} if counts[0] else {}
-        return Run(feature_set, model, combine, universe_name, snapshot, tuple(train_cycles), test_cycle, headline_n, counts[0], counts[1], metrics, ci)
+        shares = {}
+        if counts[0]:
+            point = hit_shares(dems, headline_n).first()
+            for name, flag in HITS.items():
+                low, _, high = simulate.interval(simulate.bootstrap_shares(drawn, "model", headline_n, F.col(flag))).first()[:3]
+                shares[name] = [point[name], round(low, 4), round(high, 4)]
+        return Run(feature_set, model, combine, universe_name, snapshot, tuple(train_cycles), test_cycle, headline_n, counts[0], counts[1], metrics, ci, shares)
     finally:
         dems.unpersist()
 
@@ -117,7 +154,8 @@ def report(row: Run) -> str:
     """One run as text."""
     head = f"{row.feature_set} / {row.model} / {row.combine}: train {','.join(map(str, row.train_cycles))}, test {row.test_cycle} at {row.snapshot}; {row.n_close} of {row.n_rows} close"
     body = [f"  N={n:>3} " + "  ".join(f"{m['line']} {m['close_share']:.4f}" for m in row.metrics if m["n"] == n) for n in sorted({m["n"] for m in row.metrics})]
-    return "\n".join([head, *body, *(f"  {k}: {v[0]:.4f} to {v[2]:.4f}" for k, v in row.ci.items())])
+    intervals = [f"  {k}: {v[0]:.4f} to {v[2]:.4f}" for k, v in row.ci.items()]
+    return "\n".join([head, *body, *intervals, *(f"  {k} share: {x:.4f} ({lo:.4f} to {hi:.4f})" for k, (x, lo, hi) in row.shares.items())])
 
 
 def close_share(row: Run, line: str = "model", n: int | None = None) -> float | None:
@@ -126,16 +164,20 @@ def close_share(row: Run, line: str = "model", n: int | None = None) -> float |
 
 
 def alpha_grid(matrix: DataFrame, cycles: tuple[int, ...], snapshot: str, alphas: tuple[float, ...] = ALPHAS, **settings) -> list[dict]:
-    """Leave one cycle out for each alpha; folds that fail are passed over and counted."""
+    """Leave one cycle out for each alpha: means of the close, pivotal and floor shares; folds that fail are passed over and counted."""
+    if len(set(cycles)) < 2:
+        raise ValueError("leaving one cycle out needs two cycles")
     out = []
     for a in alphas:
         got, failed = [], 0
         for fold in cycles:
             try:
-                got.append(close_share(run(matrix, tuple(c for c in cycles if c != fold), fold, snapshot, combine="impact", alpha=a, **settings)))
+                got.append(run(matrix, tuple(c for c in cycles if c != fold), fold, snapshot, combine="impact", alpha=a, **settings))
             except ValueError:
                 failed += 1
-        out.append({"alpha": a, "n_folds": len(got), "failed": failed, "mean_close_race": fmean(got) if got else None, "std_close_race": pstdev(got) if got else None})
+        close = [x for x in map(close_share, got) if x is not None]
+        mean = lambda name, got=got: fmean(r.shares[name][0] for r in got) if got and all(r.shares for r in got) else None
+        out.append({"alpha": a, "n_folds": len(got), "failed": failed, "mean_close_race": fmean(close) if close else None, "std_close_race": pstdev(close) if close else None, "mean_pivotal": mean("pivotal"), "mean_floor_sat": mean("under_floor")})
     return out
 
 
@@ -209,6 +251,6 @@ def residuals(df: DataFrame) -> DataFrame:
 
 def calibration_bins(df: DataFrame, score: str = "competitiveness", bins: int = 7) -> DataFrame:
     """Right-closed bins of equal width over the scores' range: size, mean score, share of close races."""
-    low, high = F.min(score).over(Window.partitionBy()), F.max(score).over(Window.partitionBy())
-    place = F.greatest(F.ceil((F.col(score) - low) / ((high - low) / bins)), F.lit(1))
-    return df.withColumn("bin", place).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(is_close("margin_pct").cast("double")).alias("close_rate"))
+    bounds = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))  # one row
+    place = F.greatest(F.ceil((F.col(score) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(1))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("bin", place).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(is_close("margin_pct").cast("double")).alias("close_rate"))

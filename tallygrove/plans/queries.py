@@ -15,6 +15,7 @@ from tallygrove.operators import results as rs
 from tallygrove.plans import features as ft
 from tallygrove.plans import standin as st
 from tallygrove.plans.standin import ctes, read
+from tallygrove.session import saved
 from tallygrove.sources import delimited, staged
 
 DISTRICT = ["state", "district"]
@@ -112,13 +113,17 @@ MATRIX_SQL = ctes("topped", "ratings", "money") + """, spending AS (
 
 
 def matrix(spark, d):
-    """The feature matrix of all cycles and snapshots."""
-    keys = ["cycle", "snapshot", "cand_id"]
-    snap = mo.all_snapshots(st.contributions(spark, d), st.cutoffs(spark)).join(st.linkage(spark, d), "cmte_id").withColumn("sup_opp", F.when(F.col("flag") == "R", "S").when(F.col("flag") == "A", "O").otherwise("N"))
+    """The feature matrix of all cycles and snapshots; one scan of the contributions serves all sums."""
+    seen, keys = mo.all_snapshots(st.contributions(spark, d), st.cutoffs(spark)), ["cycle", "snapshot"]
+    parts = {"i": F.col("source") == "indiv", "c": F.col("source") == "cmte", "s": F.col("flag") == "R", "o": F.col("flag") == "A"}
+    sums = saved(mo.rolled_up(seen, st.linkage(spark, d), keys, parts))
+    whole = lambda x, n: F.floor(x / 100).alias(n)
+    money = sums.select(*keys, "cand_id", whole(F.col("i") + F.col("c"), "total_trans"), whole(F.col("i"), "trans_by_indiv"), whole(F.col("c"), "trans_by_cmte"))
+    spending = sums.select(*keys, "cand_id", whole(F.col("s"), "ie_for_total"), whole(F.col("o"), "ie_against_total"))
     g = st.ratings(spark, d)
     cycles = spark.createDataFrame([(c,) for c in st.ELECTIONS], "cycle int")
     rated = g.crossJoin(F.broadcast(cycles))  # three cycles
-    return ft.build(st.results(spark, d), rated, rated.select("cycle", *DISTRICT, "cpvi"), g.select(*DISTRICT), st.money(spark, d), mo.support_oppose(snap, keys))
+    return ft.build(st.results(spark, d), rated, rated.select("cycle", *DISTRICT, "cpvi"), g.select(*DISTRICT), money, spending)
 
 
 @query(MATRIX_SQL + """SELECT cycle, snapshot, state, district, party_major, cand_id, round(margin_pct, 6) AS margin_pct, cook_rating, cpvi, incumbent, total_trans, opp_raised, ie_for_total, ie_against_total,
@@ -152,9 +157,8 @@ def q_chk_leakage_audit(spark, d):
 @query(ctes("contributions", "candidates") + """SELECT cand_id, state, district, party_major, CAST((i + c) // 100 AS BIGINT) AS total_trans, CAST(i // 100 AS BIGINT) AS trans_by_indiv, CAST(c // 100 AS BIGINT) AS trans_by_cmte FROM (
   SELECT o_custkey AS cand_id, coalesce(sum(cents) FILTER (source = 'indiv'), 0) AS i, coalesce(sum(cents) FILTER (source = 'cmte'), 0) AS c FROM contributions JOIN orders ON o_orderkey = cmte_id GROUP BY 1) JOIN candidates USING (cand_id) WHERE office = 'H'""")
 def q_join_committee_candidate(spark, d):
-    rows = st.contributions(spark, d)
-    by = {s: mo.committee_totals(rows.where(F.col("source") == s), []) for s in ("indiv", "cmte")}
-    totals = mo.candidate_totals(mo.aligned(by["indiv"], by["cmte"], ["cmte_id"]), st.linkage(spark, d), [])
+    sums = st.contributions(spark, d).groupBy("cmte_id").agg(*(F.coalesce(F.sum(F.when(F.col("source") == s, F.col("cents"))), F.lit(0)).alias(f"by_{s}") for s in ("indiv", "cmte")))
+    totals = mo.candidate_totals(sums, st.linkage(spark, d), [])
     return mo.with_master(totals, st.candidates(spark, d)).select("cand_id", *DISTRICT, "party_major", "total_trans", "trans_by_indiv", "trans_by_cmte")
 
 

@@ -13,10 +13,9 @@ from tallygrove.plans import models, simulate
 from tallygrove.plans import standin as st
 from tallygrove.plans.queries import DISTRICT, KNOTS_SQL, LEVEL_SQL, LINES_SQL, MATRIX_SQL, RACE, _interp_sql, dems_1998, knots, matrix, query
 from tallygrove.plans.standin import ctes, read
+from tallygrove.session import saved
 
-SEED, REPS, ITERATIONS, SEATS = 42, 200, 400, 60
-#: The reference's numbers, for the queries named ``*_whole``: those take every row and have no SQL.
-WHOLE_REPS, WHOLE_ITERATIONS = 1000, 10_000
+SEED, REPS, ITERATIONS = 42, 1000, 10_000
 CLOSE_SHARE = "coalesce(sum(part) FILTER (abs(margin_pct) < 0.05), 0) / sum(part)"
 
 
@@ -31,12 +30,7 @@ def chamber(spark: SparkSession, d: str) -> DataFrame:
     return knots(spark, d).select(F.col("vec_id").alias("seat"), F.transform("xs", lambda x: x / 10.0).alias("quantiles"))
 
 
-def seats(spark: SparkSession, d: str) -> DataFrame:
-    """Quantile vectors of a small chamber."""
-    return chamber(spark, d).where(F.col("seat") < SEATS)
-
-
-OUTCOME_SQL = KNOTS_SQL + f""", seats AS (SELECT vec_id AS seat, {LEVEL_SQL} AS xs, list_transform(xs, lambda x: x / 10.0) AS ys FROM knots WHERE vec_id < {SEATS}
+OUTCOME_SQL = KNOTS_SQL + f""", seats AS (SELECT vec_id AS seat, {LEVEL_SQL} AS xs, list_transform(xs, lambda x: x / 10.0) AS ys FROM knots
 ), draws AS (SELECT CAST(range AS INT) AS iter, 0.03 * (sqrt(-2 * ln({u_sql("shock/a", "range")})) * cos(2 * 3.141592653589793 * {u_sql("shock/b", "range")})) AS shock FROM range({ITERATIONS})
 ), uni AS (SELECT iter, seat, shock, xs, ys, {u_sql("seat", "iter", "seat")} AS u FROM draws, seats
 ), won AS (SELECT iter, seat, {_interp_sql("u", "ys[1]", "ys[9]")} + shock > 0 AS d_won FROM uni
@@ -48,24 +42,13 @@ OUTCOME_SQL = KNOTS_SQL + f""", seats AS (SELECT vec_id AS seat, {LEVEL_SQL} AS
 ), raw AS (SELECT seat, coalesce(avg(control) FILTER (d_won) - avg(control) FILTER (NOT d_won), 0.0) AS r FROM won JOIN control USING (iter) GROUP BY seat)
 SELECT seat, round(r, 6) AS stakes_raw, round(CASE WHEN max(r) OVER () - min(r) OVER () < 1e-12 THEN 0.5 ELSE (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) END, 6) AS stakes_normalized FROM raw""")
 def q_alg_stakes_mc(spark, d):
-    out = simulate.stakes(seats(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3)
+    out = simulate.stakes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3)
     return out.select("seat", F.round("stakes_raw", 6).alias("stakes_raw"), F.round("stakes_normalized", 6).alias("stakes_normalized"))
 
 
 @query(OUTCOME_SQL + "SELECT CAST(total AS BIGINT) AS total, count(*) AS n FROM totals GROUP BY 1")
 def q_alg_seat_histogram(spark, d):
-    return simulate.seat_histogram(simulate.outcomes(seats(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
-
-
-@query()
-def q_alg_stakes_mc_whole(spark, d):
-    out = simulate.stakes(chamber(spark, d), WHOLE_ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3)
-    return out.select("seat", F.round("stakes_raw", 6).alias("stakes_raw"), F.round("stakes_normalized", 6).alias("stakes_normalized"))
-
-
-@query()
-def q_alg_seat_histogram_whole(spark, d):
-    return simulate.seat_histogram(simulate.outcomes(chamber(spark, d), WHOLE_ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
+    return simulate.seat_histogram(simulate.outcomes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
 
 
 BOOT_SQL = MATRIX_SQL + LINES_SQL + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY state, district) - 1 AS i, count(*) OVER () AS n FROM dems
@@ -81,7 +64,7 @@ def _boot_share_sql(line: str, out: str) -> str:
 
 
 def drawn(spark, d, reps: int = REPS):
-    return simulate.resampled(dems_1998(spark, d), reps, SEED, DISTRICT)
+    return simulate.resampled(saved(dems_1998(spark, d)), reps, SEED, DISTRICT)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -100,18 +83,6 @@ def q_alg_paired_bootstrap(spark, d):
     return rounded(out, "ci_low", "mean", "ci_high", "p_positive")
 
 
-@query()
-def q_alg_bootstrap_ci_whole(spark, d):
-    out = simulate.interval(simulate.bootstrap_shares(drawn(spark, d, WHOLE_REPS), "fundraising", 10, al.is_close("margin_pct")))
-    return rounded(out, "ci_low", "mean", "ci_high")
-
-
-@query()
-def q_alg_paired_bootstrap_whole(spark, d):
-    out = simulate.paired(drawn(spark, d, WHOLE_REPS), "fundraising", "final_ratings", 10, al.is_close("margin_pct"))
-    return rounded(out, "ci_low", "mean", "ci_high", "p_positive")
-
-
 TOP_SQL = MATRIX_SQL + """, dems AS (SELECT *, (state + district) % 4 = 0 AS pivotal, CAST(20000 + 1000 * district AS DOUBLE) AS viable_floor FROM matrix WHERE party_major = 'D' AND cycle = 1998 AND snapshot = 'T-60'
 ), top AS (SELECT *, CASE WHEN sum(total_trans) OVER () > 0 THEN total_trans / CAST(sum(total_trans) OVER () AS DOUBLE) ELSE 1.0 / count(*) OVER () END AS part FROM (SELECT * FROM dems ORDER BY total_trans DESC, state, district LIMIT 10))
 """
@@ -132,14 +103,21 @@ def q_alg_floor_saturation(spark, d):
     return rounded(_top(spark, d).agg(al.dollar_share("allocation", F.col("total_trans") < F.col("viable_floor")).alias("under_floor_share")), "under_floor_share")
 
 
+NEED_SQL = MATRIX_SQL + """, dems AS (SELECT state, district, total_trans, margin_pct, CASE WHEN cook_rating IS NULL THEN 0.0 ELSE greatest(4 - abs(cook_rating - 4), 1.0) / 4 END::DOUBLE AS base,
+    greatest(1000.0 + 500 * ln(1 + opp_raised) + 20 * ln(1 + ie_against_total), 1)::DOUBLE AS viable_floor FROM matrix WHERE party_major = 'D' AND cycle = 1998 AND snapshot = 'T-60'
+), needed AS (SELECT *, greatest(viable_floor - total_trans, 0) / viable_floor AS need_raw FROM dems), scored AS (SELECT *, base * (1 + 0.3 * need_raw) AS impact, total_trans < viable_floor AS under_floor FROM needed
+), top AS (SELECT *, CASE WHEN sum(impact) OVER () > 0 THEN impact / sum(impact) OVER () ELSE 1.0 / count(*) OVER () END AS part FROM (SELECT * FROM scored ORDER BY impact DESC, state, district LIMIT 10))
+"""
+
+
 @query(ctes("contested") + """SELECT state, district, round(margin, 6) AS margin, row_number() OVER (ORDER BY abs(margin), state, district) <= 10 AS pivotal, abs(margin) < 0.05 AS winnable FROM contested WHERE cycle = 1998 AND party_major = 'D' AND margin < 0""")
 def q_alg_counterfactual_pivot(spark, d):
     rows = rs.contested(rs.top_of_party(st.results(spark, d).where((F.col("cycle") == 1998) & F.col("party_major").isin("D", "R")), RACE), RACE)
     return rs.counterfactual(rows, 10).select(*DISTRICT, F.round("margin", 6).alias("margin"), "pivotal", "winnable")
 
 
-COMBINE_SQL = OUTCOME_SQL + f""", scored AS (SELECT vec_id AS seat, greatest({_interp_sql("0.05", "0.0", "1.0")} - ({_interp_sql("-0.05", "0.0", "1.0")}), 0) AS comp FROM (SELECT *, {LEVEL_SQL} AS ys FROM knots) WHERE vec_id < {SEATS}
-), control AS (SELECT iter, CASE WHEN total >= 30 THEN 1.0 ELSE 0.0 END::DOUBLE AS control FROM totals
+COMBINE_SQL = OUTCOME_SQL + f""", scored AS (SELECT vec_id AS seat, greatest({_interp_sql("0.05", "0.0", "1.0")} - ({_interp_sql("-0.05", "0.0", "1.0")}), 0) AS comp FROM (SELECT *, {LEVEL_SQL} AS ys FROM knots)
+), control AS (SELECT iter, CASE WHEN total >= (SELECT count(*) // 2 FROM seats) THEN 1.0 ELSE 0.0 END::DOUBLE AS control FROM totals
 ), raw AS (SELECT seat, coalesce(avg(control) FILTER (d_won) - avg(control) FILTER (NOT d_won), 0.0) AS r FROM won JOIN control USING (iter) GROUP BY seat
 ), scaled AS (SELECT seat, r, CASE WHEN max(r) OVER () - min(r) OVER () < 1e-12 THEN 0.5 ELSE (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) END AS s FROM raw)
 SELECT seat, round(sqrt(least(comp, 1) * s), 6) AS base, abs(r) > 0.05 AS pivotal FROM scaled JOIN scored USING (seat)"""
@@ -147,17 +125,9 @@ SELECT seat, round(sqrt(least(comp, 1) * s), 6) AS base, abs(r) > 0.05 AS pivota
 
 @query(COMBINE_SQL)
 def q_alg_stakes_combine(spark, d):
-    """A fixed threshold, combined with the chance of a close race."""
-    stakes = simulate.stakes(seats(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3, threshold=30)
-    scored = knots(spark, d).where(F.col("vec_id") < SEATS).select(F.col("vec_id").alias("seat"), nx.close_probability(F.col("raw")).alias("competitiveness"))
-    return bt.combine_stakes(scored.join(stakes, "seat")).select("seat", F.round("base", 6).alias("base"), "pivotal")
-
-
-@query()
-def q_alg_stakes_combine_whole(spark, d):
-    """All seats; the fixed threshold is half of them."""
+    """A fixed threshold, half of the seats, combined with the chance of a close race."""
     rows = chamber(spark, d)
-    stakes = simulate.stakes(rows, WHOLE_ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3, threshold=rows.count() // 2)
+    stakes = simulate.stakes(rows, ITERATIONS, simulate.sigma_for("T-60"), SEED, uncontested_d=3, threshold=rows.count() // 2)
     scored = knots(spark, d).select(F.col("vec_id").alias("seat"), nx.close_probability(F.col("raw")).alias("competitiveness"))
     return bt.combine_stakes(scored.join(stakes, "seat")).select("seat", F.round("base", 6).alias("base"), "pivotal")
 

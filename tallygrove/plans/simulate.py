@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallygrove.functions import numeric as nx
 from tallygrove.functions import rng
 from tallygrove.operators.allocate import allocate_by, dollar_share
+from tallygrove.session import saved
 
 # The shared shock's deviation by snapshot.
 SIGMA = {"T-110": 0.04, "T-60": 0.03, "T-20": 0.02}
@@ -22,8 +23,7 @@ def outcomes(seats: DataFrame, n_iter: int, sigma: float, seed: int, levels: tup
     """seats: seat, quantiles (sorted). iter, seat, d_won for each iteration: one shock for all its seats, a uniform for each."""
     draws = seats.sparkSession.range(n_iter).select(F.col("id").cast("int").alias("iter"))
     draws = draws.withColumn("_shock", sigma * rng.normal(seed, "shock", F.col("iter")))
-    # A chamber has a fixed number of seats, so its quantile vectors are a small constant table.
-    both = draws.crossJoin(F.broadcast(seats.select("seat", "quantiles")))
+    both = seats.select("seat", "quantiles").crossJoin(F.broadcast(draws))  # n_iter rows of two numbers
     own = nx.interpolate(F.array(*map(F.lit, levels)), F.col("quantiles"), rng.uniform(seed, "seat", F.col("iter"), F.col("seat")))
     return both.select("iter", "seat", (own + F.col("_shock") > 0).alias("d_won"))
 
@@ -35,9 +35,12 @@ def stakes(seats: DataFrame, n_iter: int, sigma: float, seed: int, uncontested_d
     bar = totals.agg(F.percentile("total", 0.5).alias("bar")) if threshold is None else None
     control = totals.crossJoin(F.broadcast(bar)) if bar is not None else totals.withColumn("bar", F.lit(threshold))  # one row
     control = control.select("iter", (F.col("total") >= F.col("bar")).cast("double").alias("control"))
-    joined = won.join(control, "iter")
+    joined = won.join(F.broadcast(control), "iter")  # n_iter rows
     raw = joined.groupBy("seat").agg(F.coalesce(F.avg(F.when(F.col("d_won"), F.col("control"))) - F.avg(F.when(~F.col("d_won"), F.col("control"))), F.lit(0.0)).alias("stakes_raw"))
-    return raw.withColumn("stakes_normalized", nx.min_max(F.col("stakes_raw"), Window.partitionBy()))
+    raw = saved(raw)
+    bounds = raw.agg(F.min("stakes_raw").alias("_lo"), F.max("stakes_raw").alias("_hi"))
+    scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-12, 0.5).otherwise((F.col("stakes_raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return raw.crossJoin(F.broadcast(bounds)).select("seat", "stakes_raw", scaled.alias("stakes_normalized"))  # one row
 
 
 def seat_histogram(won: DataFrame, uncontested_d: int = 0) -> DataFrame:
@@ -46,13 +49,13 @@ def seat_histogram(won: DataFrame, uncontested_d: int = 0) -> DataFrame:
 
 def resampled(rows: DataFrame, reps: int, seed: int, order: list[str]) -> DataFrame:
     """rows (one race each, a chamber at most) drawn with replacement: rep, slot and the row's columns."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    size = numbered.agg(F.max("_n").alias("_size")).where("_size is not null")
+    numbered = saved(rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1))
+    size = numbered.agg(F.count("*").alias("_size")).where("_size > 0")
     spark = rows.sparkSession
     draws = spark.range(reps).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(size))  # one row
     draws = draws.select("rep", F.explode(F.sequence(F.lit(0), (F.col("_size") - 1).cast("int"))).alias("slot"), "_size")
     draws = draws.withColumn("_i", rng.slot(seed, "boot", F.col("_size"), F.col("rep"), F.col("slot")))
-    return draws.drop("_size").join(numbered.drop("_n"), "_i").drop("_i")
+    return draws.drop("_size").join(numbered, "_i").drop("_i")
 
 
 def bootstrap_shares(drawn: DataFrame, score: str, n: int, hit: Column, name: str = "share") -> DataFrame:
