@@ -19,18 +19,29 @@ def sigma_for(snapshot: str) -> float:
     return SIGMA[snapshot]
 
 
+def quantile_at(levels: tuple[float, ...], values: Column, at: Column) -> Column:
+    """``values`` interpolated at a level, constant beyond both ends; written out by segment, so that it is compiled."""
+    out = F.get(values, F.lit(len(levels) - 1))
+    for k in range(len(levels) - 2, -1, -1):
+        low, high = F.get(values, F.lit(k)), F.get(values, F.lit(k + 1))
+        out = F.when(at < levels[k + 1], low + (at - levels[k]) / (levels[k + 1] - levels[k]) * (high - low)).otherwise(out)
+    return F.when(at <= levels[0], F.get(values, F.lit(0))).otherwise(out)
+
+
 def outcomes(seats: DataFrame, n_iter: int, sigma: float, seed: int, levels: tuple[float, ...] = nx.LEVELS) -> DataFrame:
     """seats: seat, quantiles (sorted). iter, seat, d_won for each iteration: one shock for all its seats, a uniform for each."""
     draws = seats.sparkSession.range(n_iter).select(F.col("id").cast("int").alias("iter"))
     draws = draws.withColumn("_shock", sigma * rng.normal(seed, "shock", F.col("iter")))
-    both = seats.select("seat", "quantiles").crossJoin(F.broadcast(draws))  # n_iter rows of two numbers
-    own = nx.interpolate(F.array(*map(F.lit, levels)), F.col("quantiles"), rng.uniform(seed, "seat", F.col("iter"), F.col("seat")))
+    # Few seats make much work: they are dealt to all cores, however small their table is.
+    dealt = seats.select("seat", "quantiles").repartition(seats.sparkSession.sparkContext.defaultParallelism, "seat")
+    both = dealt.crossJoin(F.broadcast(draws)).withColumn("_u", rng.uniform(seed, "seat", F.col("iter"), F.col("seat")))  # n_iter rows of two numbers
+    own = quantile_at(levels, F.col("quantiles"), F.col("_u"))
     return both.select("iter", "seat", (own + F.col("_shock") > 0).alias("d_won"))
 
 
 def stakes(seats: DataFrame, n_iter: int, sigma: float, seed: int, uncontested_d: int = 0, threshold: int | None = None) -> DataFrame:
     """seat, stakes_raw (chance of control given a win less that given a loss, 0 if either never happens), stakes_normalized."""
-    won = outcomes(seats, n_iter, sigma, seed)
+    won = saved(outcomes(seats, n_iter, sigma, seed))  # read twice
     totals = won.groupBy("iter").agg((F.count_if("d_won") + uncontested_d).alias("total"))
     bar = totals.agg(F.percentile("total", 0.5).alias("bar")) if threshold is None else None
     control = totals.crossJoin(F.broadcast(bar)) if bar is not None else totals.withColumn("bar", F.lit(threshold))  # one row
