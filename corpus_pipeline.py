@@ -5,8 +5,9 @@ the stage before kept, and what it decides takes effect: rejected, duplicate and
 removed lines are gone from the texts.
 
 - quality: documents that the line CRF scores below its threshold go. It is fitted on labelled rows of the stage's input.
-- lines: of each class of similar lines one stays in the corpus. A document that loses its last line with content goes;
-  one that had none before stays. ``n_chars`` follows the text.
+- lines: of each class of similar lines one stays in the corpus. A document that loses lines goes if no content is left, or
+  less than a fifth of its characters: what remains of a near copy are the lines that were edited, which no later stage
+  could link with the document that they come from. One that had no content before stays. ``n_chars`` follows the text.
 - neardup: five-word shingles, similarity 0.8; of each class the document of the smallest id stays.
 - decontaminate: documents that hold a passage of ``benchmark`` within the edit budget go.
 - bpe: doc_id, n_tokens, ids, and the digest of the decoded text.
@@ -23,18 +24,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import bpe, decontaminate, lines, neardup, quality
-from tallygrove.llm.common import save, table
+from tallygrove.llm.common import drop, free, settled, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Share of a document's characters that must be left after its repeated lines went.
+LEFT = 0.2
+
+
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup(docs)
-    out = out.where((F.col("n_removed_") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    before = free("_chars", docs.columns)
+    out = lines.dedup(docs.withColumn(before, F.char_length("text")))
+    removed = F.col(out.columns[-1])
+    out = out.where((removed == 0) | ((F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "") & (F.char_length("text") >= LEFT * F.col(before))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(removed > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -63,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
+    """All stages over ``documents``; each one's result is written to the shared folder and read again, and what it worked with goes."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if k:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

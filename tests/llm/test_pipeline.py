@@ -1,11 +1,12 @@
 import os
+import random
 
 import pytest
 
 import corpus_pipeline
 from tallygrove.llm import decontaminate, quality
 
-from .helpers import documents, empty, texts
+from .helpers import DOCS, documents, empty, sentence, texts
 from .test_lines_neardup_spans import brute_classes, brute_lines
 
 
@@ -26,7 +27,7 @@ def test_stages_equal_brute_force(spark, tables):
     steps = [rows]
     order = sorted(rows)
     kept = brute_lines([rows[i] for i in order])
-    rows = {i: kept[k] for k, i in enumerate(order) if kept[k] == rows[i] or (kept[k] or "").strip()}
+    rows = {i: kept[k] for k, i in enumerate(order) if kept[k] == rows[i] or (kept[k] or "").strip() and len(kept[k]) >= 0.2 * len(rows[i])}
     steps.append(rows)
     order = sorted(rows)
     roots = brute_classes([rows[i] for i in order], 5, 80)
@@ -57,6 +58,9 @@ def test_stages_keep_rows_without_ids(spark, tables):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         docs = stage(spark, docs, tables)
         assert docs.where("doc_id is null").count() == 1, name
+    good = quality.LineCrf(None, None, None, None, 1.0)
+    assert quality.keep_good(documents(spark, null_id=True), good).where("doc_id is null").count() == 1
+    assert corpus_pipeline.STAGES[4][1](spark, documents(spark, null_id=True), tables).where("doc_id is null").count() == 1
 
 
 def test_scratch_lies_in_the_shared_folder(spark):
@@ -65,3 +69,13 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     where = save(spark.range(3)).inputFiles()[0].removeprefix("file://")
     assert os.path.exists(where)
+
+
+def test_what_is_left_of_a_near_copy_goes(spark, tables):
+    rng = random.Random(3)
+    own = [sentence(rng, 12) for _ in range(12)]
+    near = [*own[:5], sentence(rng, 12), *own[6:]]
+    half = [*own[:6], *(sentence(rng, 12) for _ in range(6))]
+    rows = [(i, "\n".join(t), "en", "s", 1, "k", 1, 2) for i, t in enumerate((own, near, half))]
+    out = corpus_pipeline.lines_stage(spark, spark.createDataFrame(rows, DOCS), tables)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "\n".join(own), 2: "\n".join(half[6:])}
