@@ -96,7 +96,8 @@ def runs(texts: list[bytes], segment: int = SEGMENT) -> tuple[np.ndarray, np.nda
             continue
         out = np.empty(len(at), _RUN)
         start, n, place = windows[at] + lo, np.diff(at, append=len(windows)), place[at]
-        out["key"], out["n"], out["doc"], out["flags"] = own[place], n, text[start], 0
+        # Minimizers are small numbers; mixed, they are dealt evenly.
+        out["key"], out["n"], out["doc"], out["flags"] = vec.mix(own[place]), n, text[start], 0
         out["unit"] = vec.mix(vec.spans(prefix, start, start + n + WINDOW - 1) + (place + lo - start).astype(vec.U64) * vec.ODD[11])
         out["start"] = start - begins[out["doc"]]
         _nodes(out, prefix, start)
