@@ -204,15 +204,23 @@ def families(sets: DataFrame, tasks: int) -> DataFrame:
     """sets: item, root, key, n. item, root, family and parts: what has to be compared with each other.
 
     Buckets that share items form one family, so that an item is compared once and not for each of its buckets. A family of
-    more than BLOCK items is taken apart again, into its buckets, so a chain of buckets never makes a square of its length.
+    more than BLOCK items is a square of blocks; where its buckets, each by itself, send fewer rows than that square, it is
+    taken apart into them. So a chain of buckets never makes a square of its length, and items that share many buckets are not
+    sent once for each. Either way all pairs of a bucket meet. Families are told by one row a bucket and one an item.
     """
-    centres = save(sets.groupBy("key").agg(F.min("item").alias("a")))
-    joined = components(sets.join(centres, "key").select("a", F.col("item").alias("b")), tasks)
-    large = save(joined.groupBy("root").count().where(F.col("count") > BLOCK).select("root", F.lit(True).alias("_large")))
-    named = joined.join(large, "root", "left").select(F.col("node").alias("item"), F.col("root").alias("family"), F.coalesce("_large", F.lit(False)).alias("_large"))
-    rows = save(sets.join(named, "item"))
-    whole = rows.where("not _large").select("item", "root", "family", F.lit(1).alias("parts")).distinct()
-    return whole.unionByName(rows.where("_large").select("item", "root", F.col("key").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    buckets = save(sets.groupBy("key").agg(F.min("item").alias("a"), F.first("n").alias("n")))
+    joined = save(components(sets.join(buckets.select("key", "a"), "key").select("a", F.col("item").alias("b")), tasks))
+    size = joined.groupBy("root").agg(F.count("*").alias("_m"))
+    apart = buckets.join(joined.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("_apart"))
+    parts = F.ceil(F.col("_m") / BLOCK)
+    plan = save(size.join(apart, "root").select("root", parts.cast("int").alias("parts"), ((parts > 1) & (F.col("_apart") < F.col("_m") * parts)).alias("_split")))
+    labels = sets.groupBy("item").agg(F.first("root").alias("_class"))  # an item has one class
+    named = joined.join(plan, "root").select(F.col("node").alias("item"), F.col("root").alias("family"), "parts", "_split")
+    whole = named.where("not _split").join(labels, "item").select("item", F.col("_class").alias("root"), "family", "parts")
+    if plan.where("_split").isEmpty():
+        return whole
+    split = buckets.join(named.where("_split").select(F.col("item").alias("a")), "a").select("key")
+    return whole.unionByName(sets.join(split, "key").select("item", "root", F.col("key").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
 
 
 def link(members: DataFrame, same: DataFrame | None, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], tasks: int) -> DataFrame:

@@ -187,3 +187,28 @@ def test_line_bands_miss_few_pairs_at_the_threshold():
 
 def test_register_bands_miss_few_pairs_at_the_threshold():
     assert missed(lambda sets: neardup.registers(list(sets)), neardup._DRAWN, pairs=10_000, rounds=4) < 1e-4
+
+
+def test_families_let_all_pairs_of_a_bucket_meet(spark, monkeypatch):
+    """In one square where that is less, else bucket by bucket; never more rows than the cheaper of both."""
+    monkeypatch.setattr(lsh, "BLOCK", 4)
+    chain = [(k, (i,)) for k in range(20) for i in (k, k + 1, k + 2)]  # 22 items, 20 buckets of 3
+    shared = [(100 + k, (100 + i,)) for k in range(30) for i in range(12) if i != k % 12]  # 12 items, 30 buckets of 11
+    small = [(200, (200 + i,)) for i in range(3)]
+    keys: dict[int, list[int]] = {}
+    for key, (item,) in chain + shared + small:
+        keys.setdefault(key, []).append(item)
+    rows = [(item, item % 3, key, len(items)) for key, items in keys.items() for item in items]
+    sets = spark.createDataFrame(rows, "item bigint, root bigint, key bigint, n bigint")
+    out = lsh.blocked(lsh.families(sets, 12), 12).collect()
+    held: dict[int, set[int]] = {}
+    for r in out:
+        assert r["root"] == r["item"] % 3
+        held.setdefault(r["block"], set()).add(r["item"])
+    for items in keys.values():
+        for a in items:
+            for b in items:
+                assert any({a, b} <= block for block in held.values())
+    assert sum(r["item"] < 100 for r in out) == 60 and sum(100 <= r["item"] < 200 for r in out) == 36 and len(out) == 99
+    empty = spark.createDataFrame([], sets.schema)
+    assert lsh.families(empty, 12).count() == 0
