@@ -4,10 +4,11 @@ A text's words, in lower case, have 64-bit hashes, and k words in a row the roll
 hash, turned by one bit for every word that follows it, all joined by exclusive or. It is built by doubling (1, 2, 4, then 5
 words), so each part serves all grams that share it. In every window of w grams the least hash is chosen, of hashes whose
 upper 34 bits are equal the rightmost, and kept with its place. Two texts that share w + k - 1 words in a row share a chosen
-gram. The fingerprint as a string is a digest of the chosen hashes and places.
+gram. A text shorter than a window keeps all its grams, so that short texts have likenesses between 0 and 1 too. The
+fingerprint as a string is a digest of the chosen hashes and places.
 
 Defined cases: a null text is empty; a text without words has an empty fingerprint; one of fewer than k words has one gram of
-all its words, one of fewer than w grams one window; rows that repeat a doc_id count as the one of the smallest text; rows
+all its words, one of fewer than w grams keeps them all; rows that repeat a doc_id count as the one of the smallest text; rows
 with a null doc_id are left out where the order of documents matters; extra columns are ignored; texts are taken whole.
 """
 
@@ -60,7 +61,7 @@ def fingerprint(df: DataFrame, text: str, hashes: str, places: str) -> DataFrame
     df = df.select(*keep, "_g", "_m1", _joined("_m1", 1, _lesser).alias("_m2"))
     for step in (2, 4, 8):
         df = df.select(*keep, "_g", "_m1", _joined(f"_m{step}", step, _lesser).alias(f"_m{2 * step}"))
-    chosen = F.when(F.size("_m16") > 0, F.array_distinct("_m16")).when(F.size("_m1") > 0, F.array(F.array_min("_m1"))).otherwise(F.array().cast("array<bigint>"))
+    chosen = F.when(F.size("_m16") > 0, F.array_distinct("_m16")).otherwise(F.col("_m1"))
     df = df.select(*keep, "_g", F.transform(chosen, lambda m: (F.lit(_PLACES) - m.bitwiseAND(F.lit(_PLACES))).cast("int")).alias(places))
     return df.select(*keep, F.transform(places, lambda i: F.get("_g", i)).alias(hashes), places)
 

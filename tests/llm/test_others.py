@@ -46,6 +46,14 @@ def test_shared_passages_are_noticed(spark):
     assert set(a["h"]) & set(b["h"])
 
 
+def test_short_texts_keep_all_grams(spark):
+    words = sentence(random.Random(6), 19).split()
+    df = spark.createDataFrame([(i, " ".join(words[:n])) for i, n in enumerate((19, 14, 5, 4, 0))], "i int, text string")
+    rows = winnow.fingerprint(df, "text", "h", "p").orderBy("i").collect()
+    assert [r["p"] for r in rows] == [list(range(15)), list(range(10)), [0], [0], []]
+    assert set(rows[1]["h"]) < set(rows[0]["h"])
+
+
 def test_edited_texts(spark):
     for repeat in (False, True):
         rows = {r["doc_id"]: r for r in winnow.compare_edited(documents(spark, repeat=repeat, null_id=repeat)).collect()}
@@ -77,9 +85,9 @@ def plain_fingerprint(text):
         for h in hashes:
             seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
         grams = [signed(seed)]
-    chosen = []
-    for i in range(max(1, len(grams) - winnow.WINDOW + 1)):
-        window = range(i, min(len(grams), i + winnow.WINDOW))
+    chosen = list(range(len(grams))) if len(grams) < winnow.WINDOW else []
+    for i in range(len(grams) - winnow.WINDOW + 1):
+        window = range(i, i + winnow.WINDOW)
         least = min(grams[k] >> winnow.PLACE_BITS for k in window)
         chosen.append(max(k for k in window if grams[k] >> winnow.PLACE_BITS == least))
     places = sorted(set(chosen))
