@@ -171,7 +171,7 @@ def vector_rows():
     return rows
 
 
-@pytest.mark.parametrize(("cells", "block"), [(64, vafile.BLOCK), (2, 16 * 20), (8, 16 * 50)])
+@pytest.mark.parametrize(("cells", "block"), [(64, vafile.BLOCK), (2, 16 * 90)])
 def test_nearest_equal_brute_force(spark, cells, block):
     rows = vector_rows()
     got = vafile.search(vectors(spark, [(i, x, 1, 2, "e") for i, x in rows]), F.col("vec_id") % 10 == 0, 5, cells=cells, block=block).collect()
