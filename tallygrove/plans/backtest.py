@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions import numeric as nx
 from tallygrove.operators.allocate import GRID, allocate, allocate_by, dollar_share, is_close
+from tallygrove.operators.selection import percentiles
 from tallygrove.plans import models, simulate
 
 LINES = ("model", "fundraising", "oracle", "final_ratings")
@@ -199,8 +200,8 @@ def ablation(matrix: DataFrame, train_cycles: tuple[int, ...], without: int, tes
 
 def deciles(df: DataFrame, score: str) -> list[float]:
     """Nine cuts, each raised by 1e-9 where it equals the one before; ValueError without scores."""
-    cuts = df.agg(F.percentile(score, F.array(*(F.lit(i / 10) for i in range(1, 10))))).first()[0]
-    if cuts is None:
+    cuts = percentiles(df, score, [i / 10 for i in range(1, 10)]).first()[0]
+    if cuts[0] is None:
         raise ValueError("no scores to cut")
     out: list[float] = []
     for c in cuts:

@@ -12,6 +12,7 @@ from tallygrove.operators import allocate as al
 from tallygrove.operators import match as mt
 from tallygrove.operators import money as mo
 from tallygrove.operators import results as rs
+from tallygrove.operators.selection import percentiles
 from tallygrove.plans import features as ft
 from tallygrove.plans import standin as st
 from tallygrove.plans.standin import ctes, read
@@ -237,8 +238,15 @@ def q_agg_chamber_view(spark, d):
 
 @query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.025), 4) AS lo, round(quantile_cont(c_acctbal, 0.5), 4) AS mid, round(quantile_cont(c_acctbal, 0.975), 4) AS hi FROM customer GROUP BY 1")
 def q_agg_percentile_ci(spark, d):
-    p = lambda q: F.round(F.percentile("c_acctbal", q), 4)
-    return read(spark, d, "customer").groupBy("c_mktsegment").agg(p(0.025).alias("lo"), p(0.5).alias("mid"), p(0.975).alias("hi"))
+    out = percentiles(read(spark, d, "customer"), "c_acctbal", [0.025, 0.5, 0.975], ("c_mktsegment",), "_q")
+    return out.select("c_mktsegment", *(F.round(F.get("_q", F.lit(i)), 4).alias(n) for i, n in enumerate(("lo", "mid", "hi"))))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_cont(l_extendedprice, 0.999), 4) AS high FROM lineitem GROUP BY ALL")
+def q_agg_percentile_rounds(spark, d):
+    """Selection in several rounds: a range is only sorted when it has come down to 500 rows."""
+    out = percentiles(read(spark, d, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.999], ("l_returnflag", "l_linestatus"), "_q", few=500)
+    return out.select("l_returnflag", "l_linestatus", *(F.round(F.get("_q", F.lit(i)), 4).alias(n) for i, n in enumerate(("low", "mid", "high"))))
 
 
 @query("SELECT c_nationkey, round(avg(c_acctbal), 4) AS mean, round(stddev_pop(c_acctbal), 4) AS std FROM customer GROUP BY 1")

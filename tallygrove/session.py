@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_saved: dict[str, SparkSession] = {}
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -35,7 +38,37 @@ def scratch(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df``, written below scratch() and read again, for what a plan would otherwise work out several times."""
+    """``df``, written below scratch() and read again, for what a plan would otherwise work out several times.
+
+    The files go at the end of the process, or with dropped() once nothing reads them any more.
+    """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _saved[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what saved() wrote for these."""
+    for path in {t.scratch_path for t in tables} & set(_saved):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _saved.pop(path)
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended before
+        pass
+
+
+def drop_all() -> None:
+    """Deletes every scratch table of this process."""
+    for path in list(_saved):
+        _delete(path)
+
+
+atexit.register(drop_all)
