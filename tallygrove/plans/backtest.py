@@ -118,7 +118,7 @@ def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snaps
     if model == "logistic":
         scored = models.score_logistic(test, *models.fit_logistic(train, feature_set), feature_set)
     else:
-        scored = models.score_quantiles(models.predict_quantiles(test, models.fit_quantiles(train, feature_set).collect(), feature_set))
+        scored = models.score_quantiles(models.predict_quantiles(test, models.fit_quantiles(train, feature_set), feature_set))
     dems = universe(scored, universe_name, feature_set).withColumn("seat", F.concat_ws("-", "state", "district"))
     score = "competitiveness"
     if combine != "competitiveness":
@@ -224,7 +224,7 @@ def bake(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snap
     for snapshot in snapshots:
         at = matrix.where(F.col("snapshot") == snapshot)
         train, test = at.where(F.col("cycle").isin(*train_cycles)), at.where(F.col("cycle") == test_cycle)
-        scored = models.score_quantiles(models.predict_quantiles(test, models.fit_quantiles(train, feature_set).collect(), feature_set)).where(F.col("party_major") == "D")
+        scored = models.score_quantiles(models.predict_quantiles(test, models.fit_quantiles(train, feature_set), feature_set)).where(F.col("party_major") == "D")
         scored = scored.withColumn("predicted_margin_median", F.get("quantiles", F.lit(nx.LEVELS.index(0.5)))).withColumn("seat", F.concat_ws("-", "state", "district"))
         rows = combine_need(combine_stakes(scored.join(simulate.stakes(scored, n_iter, simulate.sigma_for(snapshot), seed, uncontested_d), "seat")), models.fit_floor(train), alpha)
         rows = apply_deciles(rows, "impact", cuts or deciles(rows, "impact"))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallygrove.functions import numeric as nx
+from tallygrove.plans import quantiles
 
 # The feature sets, each with its parent and the columns it adds.
 FEATURE_SETS = {
@@ -54,111 +51,15 @@ def scorable(feature_set: str) -> Column:
     return F.coalesce(dem & F.col("cook_rating").isNotNull() if feature_set == "naive" else dem, F.lit(False))
 
 
-def fit_quantile(x: np.ndarray, y: np.ndarray, q: float, alpha: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept of least mean pinball loss plus ``alpha`` times the weights' absolute sum.
-
-    The linear program min c'z, Az + b = y, z >= 0 over z = (w+, w-, u, v) and the free intercept b, solved by Mehrotra's
-    predictor-corrector method; AA' is diagonal plus low rank, so a step costs n * p**2.
-    """
-    n, p = x.shape
-    shift, scale = float(np.median(y)), float(max(np.abs(y - np.median(y)).max(), 1e-12))
-    y = (y - shift) / scale
-    k = 2 * p
-    low = np.hstack([x, -x])
-    c = np.concatenate([np.full(k, alpha * n), np.full(n, q), np.full(n, 1 - q)])
-
-    def times(z: np.ndarray) -> np.ndarray:
-        return low @ z[:k] + z[k : k + n] - z[k + n :]
-
-    def turned(v: np.ndarray) -> np.ndarray:
-        return np.concatenate([low.T @ v, v, -v])
-
-    def longest(a: np.ndarray, da: np.ndarray) -> float:
-        down = da < 0
-        return min(1.0, float((-a[down] / da[down]).min())) if down.any() else 1.0
-
-    z, b, v = np.concatenate([np.ones(k), np.maximum(y, 0) + 1, np.maximum(-y, 0) + 1]), 0.0, np.zeros(n)
-    s = c + 0.1
-    best = np.inf, z
-    for _ in range(100):
-        primal, dual, free, gap = y - times(z) - b, c - turned(v) - s, -v.sum(), z @ s / len(z)
-        off = max(np.abs(primal).max(), np.abs(dual).max(), abs(free), gap)
-        if off < best[0]:
-            best = off, z.copy()
-        # The systems grow singular near the solution; what is lost there is not won back.
-        if off < 1e-9 or best[0] < 1e-5 and off > 10 * best[0]:
-            break
-        d = z / s
-        diagonal = d[k : k + n] + d[k + n :]
-        scaled = low / diagonal[:, None]
-        inner = np.diag(1 / d[:k]) + low.T @ scaled
-
-        def solve(r: np.ndarray, diagonal=diagonal, scaled=scaled, inner=inner) -> np.ndarray:
-            return r / diagonal - scaled @ np.linalg.solve(inner, scaled.T @ r)
-
-        ones = solve(np.ones(n))
-
-        def step(target: np.ndarray, d=d, primal=primal, dual=dual, free=free, ones=ones, solve=solve, s=s) -> tuple:
-            r = solve(primal + times(d * dual - target / s))
-            db = (r.sum() - free) / ones.sum()
-            dv = r - ones * db
-            ds = dual - turned(dv)
-            return target / s - d * ds, db, dv, ds
-
-        dz, db, dv, ds = step(-z * s)
-        mu = ((z + longest(z, dz) * dz) @ (s + longest(s, ds) * ds) / len(z) / gap) ** 3 * gap
-        dz, db, dv, ds = step(mu - z * s - dz * ds)
-        a, e = 0.99 * longest(z, dz), 0.99 * longest(s, ds)
-        z, b, v, s = z + a * dz, b + a * db, v + e * dv, s + e * ds
-    w = best[1][:p] - best[1][p:k]
-    w[np.abs(w) < 1e-6] = 0
-    return w * scale, float(np.quantile(y - x @ w, q, method="inverted_cdf") * scale + shift)
-
-
-def pinball(x: np.ndarray, y: np.ndarray, q: float, alpha: float, w: np.ndarray, b: float) -> float:
-    r = y - x @ w - b
-    return float(np.maximum(q * r, (q - 1) * r).mean() + alpha * np.abs(w).sum())
-
-
-@dataclass(frozen=True)
-class Scaled:
-    """Population mean and deviation of features; a deviation of 0 counts 1."""
-
-    mean: np.ndarray
-    scale: np.ndarray
-
-    @classmethod
-    def of(cls, x: np.ndarray) -> Scaled:
-        scale = x.std(0)
-        return cls(x.mean(0), np.where(scale == 0, 1.0, scale))
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale
-
-
-def fit_quantiles(train: DataFrame, feature_set: str, target: str = "margin_pct", levels: tuple[float, ...] = nx.LEVELS, alpha: float = 0.1) -> DataFrame:
-    """level, weights (for unscaled features), intercept: one task for each level, over the training rows of D candidates.
-
-    The rows of all cycles' races are a few hundred by the nature of the table (one a district and cycle); ValueError under
-    max(20, 2 * features).
-    """
-    rows = design(train, feature_set).where(scorable(feature_set) & F.col(target).isNotNull()).select("features", F.col(target).cast("double").alias("_y"))
-    n, p = rows.count(), len(feature_columns(feature_set))
-    if n < max(20, 2 * p):
-        raise ValueError(f"{n} rows are too few for {p} features")
-    spread = rows.crossJoin(F.broadcast(train.sparkSession.createDataFrame([(q,) for q in levels], "level double")))  # nine levels
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf["features"].to_numpy()), pdf["_y"].to_numpy()
-        s = Scaled.of(x)
-        w, b = fit_quantile(s(x), y, key[0], alpha)
-        return pd.DataFrame({"level": [key[0]], "weights": [(w / s.scale).tolist()], "intercept": [b - float((w * s.mean / s.scale).sum())]})
-
-    return spread.groupBy("level").applyInPandas(fit, "level double, weights array<double>, intercept double")
+def fit_quantiles(train: DataFrame, feature_set: str, target: str = "margin_pct", levels: tuple[float, ...] = nx.LEVELS, alpha: float = 0.1) -> list[Row]:
+    """level, weights (for unscaled features) and intercept of each level, over the training rows of D candidates; ValueError under max(20, 2 * features) rows."""
+    rows = design(train, feature_set).where(scorable(feature_set) & F.col(target).isNotNull()).select("features", F.col(target).cast("double").alias("y"))
+    p = len(feature_columns(feature_set))
+    return quantiles.fit(rows, p, levels, alpha, max(20, 2 * p))
 
 
 def predict_quantiles(df: DataFrame, coefficients: list, feature_set: str, out: str = "quantiles") -> DataFrame:
-    """coefficients: collected rows of fit_quantiles (nine). Adds the sorted quantiles; null where a row is not scorable."""
+    """coefficients: rows of fit_quantiles, one a level. Adds the sorted quantiles; null where a row is not scorable."""
     fits = sorted(coefficients, key=lambda r: r["level"])
     dots = [F.aggregate(F.zip_with("_x", F.array(*map(F.lit, r["weights"])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + r["intercept"] for r in fits]
     df = design(df, feature_set, "_x").withColumn("raw_" + out, F.when(scorable(feature_set), F.array(*dots)))
@@ -200,18 +101,9 @@ def fit_floor(train: DataFrame, alpha: float = 0.1, q: float = 0.25) -> tuple[li
     """Weights and intercept of the funding floor: the lower quartile of what winning D candidates of races within 10 % raised; ValueError under 30."""
     rows = train.where((F.col("party_major") == "D") & F.col("winner") & (F.abs("margin_pct") <= 0.10)).select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FLOOR_FEATURES), F.coalesce(F.col("total_trans").cast("double"), F.lit(0.0)).alias("_y"))
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if len(pdf) >= 30:
-            x, y = pdf[list(FLOOR_FEATURES)].to_numpy(), pdf["_y"].to_numpy()
-            s = Scaled.of(x)
-            w, b = fit_quantile(s(x), y, q, alpha)
-            yield pd.DataFrame({"weights": [(w / s.scale).tolist()], "intercept": [b - float((w * s.mean / s.scale).sum())]})
-
-    got = rows.repartition(1).mapInPandas(fit, "weights array<double>, intercept double").collect()  # close races won: one row a district at most
-    if not got:
-        raise ValueError("fewer than 30 close races won")
-    return list(got[0]["weights"]), got[0]["intercept"]
+    rows = rows.select(F.array(*FLOOR_FEATURES).alias("features"), F.col("_y").alias("y"))
+    (got,) = quantiles.fit(rows, len(FLOOR_FEATURES), (q,), alpha, 30)
+    return list(got["weights"]), got["intercept"]
 
 
 def floor_of(weights: list[float], intercept: float) -> Column:

@@ -168,7 +168,7 @@ def q_alg_logistic_ro(spark, d):
 @query()
 def q_alg_multiquantile_ro(spark, d):
     rows = _training(spark, d)
-    fits = _fitted(lambda: models.fit_quantiles(rows.where("cycle < 2000"), "naive+pvi").collect())  # nine rows
+    fits = _fitted(lambda: models.fit_quantiles(rows.where("cycle < 2000"), "naive+pvi"))  # nine rows
     unfitted = [{"level": q, "weights": [0.0] * 3, "intercept": 0.0} for q in nx.LEVELS]
     scored = models.score_quantiles(models.predict_quantiles(rows.where("cycle = 2000"), fits or unfitted, "naive+pvi"))
     return scored.where(F.lit(fits is not None)).select("cycle", *DISTRICT, "party_major", "quantiles", "competitiveness")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tallygrove.functions.numeric import LEVELS
 from tallygrove.plans import backtest as bt
-from tallygrove.plans import features, models, queries, simulate
+from tallygrove.plans import features, models, quantiles, queries, simulate
 
 
 @pytest.fixture(scope="module")
@@ -30,11 +30,11 @@ def test_quantile_fits_are_optimal(n, p, alpha):
     x = np.round(rng.normal(size=(n, p)) * 2) / 2
     y = np.clip(x @ rng.normal(size=p) * 0.3 + rng.normal(size=n) * 0.3, -1, 1)
     for q in (0.025, 0.25, 0.5, 0.95):
-        w, b = models.fit_quantile(x, y, q, alpha)
-        own = models.pinball(x, y, q, alpha, w, b)
+        w, b = quantiles.fit_quantile(x, y, q, alpha)
+        own = quantiles.pinball(x, y, q, alpha, w, b)
         for _ in range(500):
             step = 10.0 ** -rng.integers(1, 6)
-            assert own <= models.pinball(x, y, q, alpha, w + rng.normal(size=p) * step, b + rng.normal() * step) + 1e-6
+            assert own <= quantiles.pinball(x, y, q, alpha, w + rng.normal(size=p) * step, b + rng.normal() * step) + 1e-6
 
 
 def test_feature_ladder():
@@ -61,7 +61,7 @@ def test_backtest(spark, matrix, tmp_path):
 
 
 def test_scores_do_not_see_outcomes(matrix):
-    fits = models.fit_quantiles(matrix.where("cycle < 2024"), "naive+pvi").collect()
+    fits = models.fit_quantiles(matrix.where("cycle < 2024"), "naive+pvi")
     test = matrix.where("cycle = 2024")
     a = models.score_quantiles(models.predict_quantiles(test, fits, "naive+pvi"))
     b = models.score_quantiles(models.predict_quantiles(test.withColumns({"margin_pct": F.rand(1), "winner": F.lit(True)}), fits, "naive+pvi"))
@@ -77,7 +77,7 @@ def test_logistic_gradient_vanishes(matrix):
     w, b = models.fit_logistic(train, "naive")
     rows = models.design(train, "naive").where(models.scorable("naive")).select("features", (F.abs("margin_pct") < 0.05).cast("double").alias("y")).collect()
     x, y = np.array([r["features"] for r in rows]), np.array([r["y"] for r in rows])
-    s = models.Scaled.of(x)
+    s = quantiles.Scaled(x.mean(0), x.std(0))
     p = 1 / (1 + np.exp(-(x @ np.array(w) + b)))
     assert np.abs(s(x).T @ (p - y) + np.array(w) * s.scale).max() < 0.05 and abs((p - y).sum()) < 0.05
 
