@@ -2,31 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tallygrove.functions.text import either_contains
-
-CUTOFF = 0.85
-
 
-@F.pandas_udf(T.DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The sequence matcher's ratio of b to a, which differs from edit distance; 0 with a missing name."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if not x or not y or 2 * min(len(x), len(y)) < CUTOFF * (len(x) + len(y)):
-            out.append(0.0)
-        else:
-            m = SequenceMatcher()
-            m.set_seq2(x)
-            m.set_seq1(y)
-            out.append(m.ratio() if m.quick_ratio() >= CUTOFF else 0.0)
-    return pd.Series(out, dtype="float64")
+from tallygrove.operators.similar import CUTOFF, contained, similar
 
 
 def exact(rows: DataFrame, records: DataFrame) -> DataFrame:
@@ -40,17 +19,17 @@ def fuzzy(rows: DataFrame, records: DataFrame, cutoff: float = CUTOFF) -> DataFr
     row_id, cand_id and how for each row that finds a record in its district (of its party where there are any): the likeliest
     name from ``cutoff`` on, else the shortest name that contains or is contained. Equal ones: greater name, smaller cand_id.
     """
-    r = records.select("state", "district", F.col("last_name").alias("_name"), F.col("party_major").alias("_party"), "cand_id")
-    both = rows.join(r, ["state", "district"]).withColumn("_same", (F.col("_party") == F.col("party_major")) & F.col("party_major").isin("D", "R"))
-    both = both.withColumn("_any", F.max(F.coalesce("_same", F.lit(False))).over(Window.partitionBy("row_id"))).where(~F.col("_any") | F.col("_same"))
-    both = both.withColumn("_target", F.upper(F.trim("last_name")))
-    # Names are compared once each pair, and only pairs whose lengths can reach the cutoff.
-    sizes = F.length("_target"), F.length("_name")
-    names = both.where((F.least(*sizes) > 0) & (2 * F.least(*sizes) >= cutoff * (sizes[0] + sizes[1]))).select("_target", "_name").distinct()
-    both = both.join(names.withColumn("_ratio", likeness("_target", "_name")), ["_target", "_name"], "left")
-    both = both.withColumns({"_ratio": F.coalesce("_ratio", F.lit(0.0)), "_held": either_contains(F.col("_target"), F.col("_name"))})
-    hits = both.where((F.col("_ratio") >= cutoff) | F.col("_held"))
-    close = F.col("_ratio") >= cutoff
+    block = ["state", "district"]
+    r = records.select(*block, F.col("last_name").alias("_name"), F.col("party_major").alias("_party"), "cand_id")
+    own = rows.select("row_id", *block, "party_major", F.upper(F.trim("last_name")).alias("_target"))
+    sides = r.where(F.col("_party").isin("D", "R")).select(*block, F.col("_party").alias("party_major"), F.lit(True).alias("_any")).distinct()
+    own = own.join(sides, [*block, "party_major"], "left")
+    named = lambda df, c: df.where(F.char_length(c) > 0).select(*block, F.col(c).alias("name"))
+    left, right = named(own, "_target"), named(r, "_name")
+    pairs = similar(left, right, block, cutoff).unionByName(contained(left, right, block).withColumn("ratio", F.lit(None).cast("double")))
+    pairs = pairs.groupBy(*block, "a", "b").agg(F.max("ratio").alias("_ratio")).withColumnsRenamed({"a": "_target", "b": "_name"})
+    hits = own.join(pairs, [*block, "_target"]).join(r, [*block, "_name"]).where(F.col("_any").isNull() | (F.col("_party") == F.col("party_major")))
+    close = F.coalesce(F.col("_ratio") >= cutoff, F.lit(False))
     order = [F.desc(close), F.desc(F.when(close, F.col("_ratio"))), F.desc(F.when(close, F.col("_name"))), F.length("_name"), "_name", "cand_id"]
     best = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("row_id").orderBy(*order))).where("_rn = 1")
     return best.select("row_id", "cand_id", F.when(close, "ratio").otherwise("contained").alias("how"))
