@@ -33,7 +33,7 @@ def sinks_of_raw(spark: SparkSession, args: argparse.Namespace) -> None:
         "results": lambda: raw.results(spark, args.raw, args.cycle),
         "pvi": lambda: raw.index(spark, args.raw, args.cycle),
         "census": lambda: staged.acs(spark, [f"{args.raw}/{args.cycle}/acs/*.json"], args.cycle, states),
-        "ratings": lambda: raw.ratings(spark, args.raw, args.cycle, snapshots[0]),
+        "ratings": lambda: raw.ratings(spark, args.cycle, snapshots[0], raw.pages(spark, args.raw.rstrip("/"), args.cycle, snapshots[:1], dates.ELECTIONS, {})[snapshots[0]]),
     }
     sinks.write_parquet(made[args.command](), args.out)
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions import text as fx
 
-SEATS, MAJORITY = 435, 218
-
-
 def general(rows: DataFrame, year: int, office: str = "US HOUSE") -> DataFrame:
     """The general election's rows of a year, special elections left out; ValueError if there are none."""
     out = rows.where((F.col("year").try_cast("int") == year) & (F.upper("office") == office) & (F.upper("stage") == "GEN") & (F.upper(F.col("special").cast("string")) != "TRUE"))
@@ -31,6 +28,12 @@ def margins(rows: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
+def top_candidate(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of the candidate with most votes of each key and party, of equal ones the first name: one for each record of that name."""
+    order = [F.desc(F.coalesce("votes", F.lit(0))), F.asc_nulls_last("last_name")]
+    return rows.withColumn("_rn", F.rank().over(Window.partitionBy(*keys, "party_major").orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
 def top_of_party(rows: DataFrame, keys: list[str], by: str = "votes", ties: tuple[str, ...] = ("last_name", "cand_id")) -> DataFrame:
     """The row with most of ``by`` of each key and party, a missing one counted 0; equal ones by ``ties``."""
     order = [F.desc(F.coalesce(by, F.lit(0))), *(F.asc_nulls_last(t) for t in ties if t in rows.columns)]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrove.functions import dates
 from tallygrove.functions import numeric as nx
-from tallygrove.operators.results import contested, top_of_party
+from tallygrove.operators.results import contested, top_candidate, top_of_party
 
 DISTRICT = ("state", "district")
 #: Cycles whose ratings may come from after the election.
@@ -35,27 +36,31 @@ def derive(df: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
-def build(results: DataFrame, ratings: DataFrame, index: DataFrame, demographics: DataFrame, money: DataFrame, spending: DataFrame) -> DataFrame:
+def build(results: DataFrame, ratings: DataFrame, index: DataFrame, demographics: DataFrame, money: DataFrame, spending: DataFrame | None) -> DataFrame:
     """The matrix at the grain (cycle, snapshot, state, district, party).
 
     results: cycle, state, district, cand_id, last_name, party_major, votes, margin, winner. ratings, index: (cycle, snapshot,)
-    district columns; money: (cycle, snapshot, cand_id) totals and cand_ici; spending: (cycle, snapshot, cand_id) totals.
+    district columns; money: (cycle, snapshot, cand_id) totals and cand_ici; spending: (cycle, snapshot, cand_id) totals, None
+    where money holds them.
     Ratings, indexes and demographics are a row for each district, so Spark broadcasts them where it may.
     """
     keys = ["cycle", "snapshot", *DISTRICT]
-    base = top_of_party(results.where(F.col("party_major").isin("D", "R")), ["cycle", *DISTRICT])
+    base = top_candidate(results.where(F.col("party_major").isin("D", "R")), ["cycle", *DISTRICT])
     rows = base.join(ratings, ["cycle", *DISTRICT], "left")
     rows = rows.join(index.withColumnRenamed("cpvi", "_fallback"), ["cycle", *DISTRICT], "left").withColumn("cpvi", F.coalesce("cpvi", "_fallback")).drop("_fallback")
     own = [c for c in DEMOGRAPHICS if c in demographics.columns]
     rows = rows.join(demographics.select(*DISTRICT, *(F.col(c).alias(f"acs_{c}") for c in own)), list(DISTRICT), "left")
-    rows = rows.join(money, ["cycle", "cand_id"], "left").join(spending, ["cycle", "snapshot", "cand_id"], "left")
-    return derive(contested(rows.where("snapshot is not null"), keys), keys)
+    rows = rows.join(money, ["cycle", "cand_id"], "left")
+    rows = rows if spending is None else rows.join(spending, ["cycle", "snapshot", "cand_id"], "left")
+    # Of several records of one name the one with most money, which depends on the snapshot.
+    rows = top_of_party(rows.where("snapshot is not null and cand_id is not null"), keys, "total_trans", ("cand_id",))
+    return derive(contested(rows, keys), keys)
 
 
-def audited(df: DataFrame, source: str, revision: str | None = None, backfilled: tuple[int, ...] = BACKFILLED) -> DataFrame:
-    """Audit columns; a back-filled cycle's wiki ratings are leaky."""
-    leaky = F.col("cycle").isin(*backfilled) & F.lit(source == "wikipedia")
-    return df.withColumns({"ratings_source": F.lit(source), "leaky_ratings": leaky, "ratings_revision_ts": F.lit(revision)})
+def audited(df: DataFrame, revision: str | None = None, backfilled: tuple[int, ...] = BACKFILLED) -> DataFrame:
+    """Audit columns of districts that no page rates: those of the page that was looked at."""
+    leaky = F.col("cycle").isin(*backfilled)
+    return df.withColumns({"ratings_source": F.coalesce("ratings_source", F.lit("wikipedia")), "leaky_ratings": F.coalesce("leaky_ratings", leaky), "ratings_revision_ts": F.coalesce("ratings_revision_ts", F.lit(revision).cast("string"))})
 
 
 def violations(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,7 +71,9 @@ def violations(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaks(df: DataFrame, backfilled: tuple[int, ...] = BACKFILLED, slop: int = SLOP_DAYS) -> DataFrame:
-    """df: cycle, snapshot_date, ratings_source, leaky_ratings, ratings_day. Rows that break their source's rule, and the rule."""
+    """df: cycle, snapshot_date, ratings_source, leaky_ratings, ratings_day or ratings_revision_ts. Rows that break their source's rule, and the rule."""
+    if "ratings_day" not in df.columns:
+        df = df.withColumn("ratings_day", dates.from_stamp(F.col("ratings_revision_ts")))
     wiki_back = (F.col("ratings_source") == "wikipedia") & F.col("cycle").isin(*backfilled)
     archive = F.col("ratings_source") == "wayback_cook"
     rule = (

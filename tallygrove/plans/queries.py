@@ -16,7 +16,6 @@ from tallygrove.operators.selection import percentiles
 from tallygrove.plans import features as ft
 from tallygrove.plans import standin as st
 from tallygrove.plans.standin import ctes, read
-from tallygrove.session import saved
 from tallygrove.sources import delimited, staged
 
 DISTRICT = ["state", "district"]
@@ -115,16 +114,14 @@ MATRIX_SQL = ctes("topped", "ratings", "money") + """, spending AS (
 
 def matrix(spark, d):
     """The feature matrix of all cycles and snapshots; one scan of the contributions serves all sums."""
-    seen, keys = mo.all_snapshots(st.contributions(spark, d), st.cutoffs(spark)), ["cycle", "snapshot"]
+    keys = ["cycle", "snapshot"]
     parts = {"i": F.col("source") == "indiv", "c": F.col("source") == "cmte", "s": F.col("flag") == "R", "o": F.col("flag") == "A"}
-    sums = saved(mo.rolled_up(seen, st.linkage(spark, d), keys, parts))
-    whole = lambda x, n: F.floor(x / 100).alias(n)
-    money = sums.select(*keys, "cand_id", whole(F.col("i") + F.col("c"), "total_trans"), whole(F.col("i"), "trans_by_indiv"), whole(F.col("c"), "trans_by_cmte"))
-    spending = sums.select(*keys, "cand_id", whole(F.col("s"), "ie_for_total"), whole(F.col("o"), "ie_against_total"))
+    sums = mo.as_of_sums(st.contributions(spark, d), st.cutoffs(spark), st.linkage(spark, d), parts)
+    money = mo.in_whole(sums, [*keys, "cand_id"], {"total_trans": F.col("i") + F.col("c"), "trans_by_indiv": F.col("i"), "trans_by_cmte": F.col("c"), "ie_for_total": F.col("s"), "ie_against_total": F.col("o")})
     g = st.ratings(spark, d)
     cycles = spark.createDataFrame([(c,) for c in st.ELECTIONS], "cycle int")
     rated = g.crossJoin(F.broadcast(cycles))  # three cycles
-    return ft.build(st.results(spark, d), rated, rated.select("cycle", *DISTRICT, "cpvi"), g.select(*DISTRICT), money, spending)
+    return ft.build(st.results(spark, d), rated, rated.select("cycle", *DISTRICT, "cpvi"), g.select(*DISTRICT), money, None)
 
 
 @query(MATRIX_SQL + """SELECT cycle, snapshot, state, district, party_major, cand_id, round(margin_pct, 6) AS margin_pct, cook_rating, cpvi, incumbent, total_trans, opp_raised, ie_for_total, ie_against_total,
@@ -165,8 +162,7 @@ def q_join_committee_candidate(spark, d):
 
 @query(ctes("contributions") + "SELECT cmte_id, CAST(coalesce(sum(cents) FILTER (source = 'indiv'), 0) AS BIGINT) AS by_indiv, CAST(coalesce(sum(cents) FILTER (source = 'cmte'), 0) AS BIGINT) AS by_cmte FROM contributions GROUP BY cmte_id")
 def q_join_outer_align(spark, d):
-    rows = st.contributions(spark, d)
-    return mo.aligned(mo.committee_totals(rows.where("source = 'indiv'"), []), mo.committee_totals(rows.where("source = 'cmte'"), []), ["cmte_id"])
+    return mo.aligned(st.contributions(spark, d), [])
 
 
 @query(ctes("candidates", "ratings") + "SELECT cand_id, state, district, coalesce(CASE WHEN cand_id % 4 = 0 THEN CAST(cand_id % 9 AS INT) END, cpvi) AS cpvi FROM candidates LEFT JOIN ratings USING (state, district)")

@@ -103,13 +103,48 @@ def q_alg_floor_saturation(spark, d):
     return rounded(_top(spark, d).agg(al.dollar_share("allocation", F.col("total_trans") < F.col("viable_floor")).alias("under_floor_share")), "under_floor_share")
 
 
-NEED_SQL = MATRIX_SQL + """, dems AS (SELECT state, district, total_trans, margin_pct, CASE WHEN cook_rating IS NULL THEN 0.0 ELSE greatest(4 - abs(cook_rating - 4), 1.0) / 4 END::DOUBLE AS base,
-    greatest(1000.0 + 500 * ln(1 + opp_raised) + 20 * ln(1 + ie_against_total), 1)::DOUBLE AS viable_floor FROM matrix WHERE party_major = 'D' AND cycle = 1998 AND snapshot = 'T-60'
-), needed AS (SELECT *, greatest(viable_floor - total_trans, 0) / viable_floor AS need_raw FROM dems), scored AS (SELECT *, base * (1 + 0.3 * need_raw) AS impact, total_trans < viable_floor AS under_floor FROM needed
-), top AS (SELECT *, CASE WHEN sum(impact) OVER () > 0 THEN impact / sum(impact) OVER () ELSE 1.0 / count(*) OVER () END AS part FROM (SELECT * FROM scored ORDER BY impact DESC, state, district LIMIT 10))
+#: Fixed coefficients of a floor and of nine planes over (rating, incumbent, index), so that SQL can follow what the models give.
+FLOOR = ([12_000.0, 3_000.0, 1.5], -20_000.0)
+PLANES = [{"level": q, "weights": [0.05 + 0.01 * q, 0.02, 0.002 - 0.001 * q], "intercept": -0.25 + 0.3 * (q - 0.5)} for q in nx.LEVELS]
+_RATING = "coalesce(cook_rating, CASE WHEN cpvi >= 10 THEN 7.0 WHEN cpvi >= 3 THEN 6.0 WHEN cpvi > -3 THEN 4.0 WHEN cpvi > -10 THEN 2.0 ELSE 1.0 END)::DOUBLE"
+_XS = "[" + ", ".join(f"({r['weights'][0]!r}::DOUBLE * rating + {r['weights'][1]!r}::DOUBLE * incumbent + {r['weights'][2]!r}::DOUBLE * cpvi + ({r['intercept']!r})::DOUBLE)" for r in PLANES) + "]"
+SCORED_SQL = ctes("races") + f""", planes AS (SELECT *, list_sort({_XS}) AS xs, {LEVEL_SQL} AS ys FROM (SELECT *, {_RATING} AS rating FROM races)
+), scored AS (SELECT *, greatest({_interp_sql("0.05", "0.0", "1.0")} - ({_interp_sql("-0.05", "0.0", "1.0")}), 0) AS competitiveness FROM planes
+), floors AS (SELECT *, greatest({FLOOR[1]}::DOUBLE + {FLOOR[0][0]}::DOUBLE * opp_raised_log + {FLOOR[0][1]}::DOUBLE * ie_against_log + {FLOOR[0][2]}::DOUBLE * acs_median_income, 1) AS viable_floor FROM scored
+), needed AS (SELECT *, least(greatest((viable_floor - total_trans) / viable_floor, 0), 1) AS need_raw FROM floors
+), combined AS (SELECT *, least(greatest(competitiveness * (1 + 0.3::DOUBLE * need_raw), 0), 1) AS impact, total_trans < viable_floor AS under_floor FROM needed)
 """
 
 
+def _scored(spark, d) -> DataFrame:
+    return models.score_quantiles(models.predict_quantiles(st.races(spark, d), PLANES, "naive+pvi"))
+
+
+@query(SCORED_SQL + "SELECT cycle, district, round(xs[1], 6) AS lowest, round(xs[5], 6) AS median, round(xs[9], 6) AS highest, round(competitiveness, 6) AS competitiveness FROM combined")
+def q_alg_quantile_scores(spark, d):
+    """What fixed planes predict, and the chance of a close race that follows."""
+    at = lambda i, n: F.round(F.get("quantiles", F.lit(i)), 6).alias(n)
+    return _scored(spark, d).select("cycle", "district", at(0, "lowest"), at(4, "median"), at(8, "highest"), F.round("competitiveness", 6).alias("competitiveness"))
+
+
+@query(SCORED_SQL + "SELECT cycle, district, round(viable_floor, 4) AS viable_floor, round(need_raw, 6) AS need_raw, round(impact, 6) AS impact, under_floor FROM combined")
+def q_alg_combine_need(spark, d):
+    rows = bt.combine_need(_scored(spark, d), FLOOR, 0.3, base="competitiveness")
+    return rows.select("cycle", "district", F.round("viable_floor", 4).alias("viable_floor"), F.round("need_raw", 6).alias("need_raw"), F.round("impact", 6).alias("impact"), "under_floor")
+
+
+@query(SCORED_SQL + """, dems AS (SELECT state, district, margin_pct, competitiveness AS model, CAST(total_trans AS DOUBLE) AS fundraising, CASE WHEN abs(margin_pct) < 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS oracle,
+  CASE WHEN cook_rating IS NULL THEN 0.0 ELSE greatest(4 - abs(cook_rating - 4), 1.0) END::DOUBLE AS final_ratings FROM combined WHERE cycle = 2000
+), long AS (UNPIVOT dems ON model, fundraising, oracle, final_ratings INTO NAME line VALUE w
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY w DESC, state, district) AS rk FROM long
+), cut AS (SELECT line, n, margin_pct, CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END AS part FROM ranked, (VALUES (1), (3), (5), (10), (20), (50)) g(n) WHERE rk <= n WINDOW p AS (PARTITION BY line, n))
+SELECT line, n, round(coalesce(sum(part) FILTER (abs(margin_pct) < 0.05), 0) / sum(part), 4) AS close_share FROM cut GROUP BY line, n""")
+def q_alg_four_lines(spark, d):
+    """All four lines, the model's among them, at every N."""
+    rows = _scored(spark, d).where("cycle = 2000").withColumn("final_rating", F.col("cook_rating"))
+    return bt.shares_at(bt.with_lines(rows))
+
+
 @query(ctes("contested") + """SELECT state, district, round(margin, 6) AS margin, row_number() OVER (ORDER BY abs(margin), state, district) <= 10 AS pivotal, abs(margin) < 0.05 AS winnable FROM contested WHERE cycle = 1998 AND party_major = 'D' AND margin < 0""")
 def q_alg_counterfactual_pivot(spark, d):
     rows = rs.contested(rs.top_of_party(st.results(spark, d).where((F.col("cycle") == 1998) & F.col("party_major").isin("D", "R")), RACE), RACE)
@@ -144,42 +179,25 @@ def q_pre_splitter(spark, d):
     return out.select(*DISTRICT, "cand_id", "impact_decile", F.round("allocation", 4).alias("allocation"))
 
 
-def _training(spark, d) -> DataFrame:
-    """Races with features; the stand-in has no survey."""
-    return matrix(spark, d).where("snapshot = 'T-60'").withColumns({c: F.lit(0.0) for c in models.feature_columns("naive+pvi+demo") if c.startswith("acs_")})
-
-
-def _fitted(fit):
-    """What ``fit`` gives, or None where there is too little to fit a model on: then a query has no rows."""
-    try:
-        return fit()
-    except ValueError:
-        return None
-
-
 @query()
 def q_alg_logistic_ro(spark, d):
-    rows = _training(spark, d)
-    fit = _fitted(lambda: models.fit_logistic(rows.where("cycle < 2000"), "naive+pvi"))
-    scored = models.score_logistic(rows.where("cycle = 2000"), *(fit or ([0.0] * 3, 0.0)), "naive+pvi")
-    return scored.where(F.lit(fit is not None)).select("cycle", *DISTRICT, "party_major", "competitiveness")
+    rows = st.races(spark, d)
+    scored = models.score_logistic(rows.where("cycle = 2000"), *models.fit_logistic(rows.where("cycle < 2000"), "naive+pvi"), "naive+pvi")
+    return scored.select("cycle", *DISTRICT, "party_major", "competitiveness")
 
 
 @query()
 def q_alg_multiquantile_ro(spark, d):
-    rows = _training(spark, d)
-    fits = _fitted(lambda: models.fit_quantiles(rows.where("cycle < 2000"), "naive+pvi"))  # nine rows
-    unfitted = [{"level": q, "weights": [0.0] * 3, "intercept": 0.0} for q in nx.LEVELS]
-    scored = models.score_quantiles(models.predict_quantiles(rows.where("cycle = 2000"), fits or unfitted, "naive+pvi"))
-    return scored.where(F.lit(fits is not None)).select("cycle", *DISTRICT, "party_major", "quantiles", "competitiveness")
+    rows = st.races(spark, d)
+    fits = models.fit_quantiles(rows.where("cycle < 2000"), "naive+pvi")
+    scored = models.score_quantiles(models.predict_quantiles(rows.where("cycle = 2000"), fits, "naive+pvi"))
+    return scored.select("cycle", *DISTRICT, "party_major", "quantiles", "competitiveness")
 
 
 @query()
 def q_alg_viable_floor_ro(spark, d):
-    """The stand-in's margins, a fifth of their size, so that races are as close as the model's training rows must be."""
-    rows = _training(spark, d).withColumn("margin_pct", F.col("margin_pct") / 5)
-    fit = _fitted(lambda: models.fit_floor(rows.where("cycle < 2000")))
-    out = rows.where("cycle = 2000 and party_major = 'D'").where(F.lit(fit is not None)).withColumn("viable_floor", models.floor_of(*(fit or ([0.0] * 3, 1.0))))
+    rows = st.races(spark, d)
+    out = rows.where("cycle = 2000").withColumn("viable_floor", models.floor_of(*models.fit_floor(rows.where("cycle < 2000"))))
     return out.select(*DISTRICT, "total_trans", "viable_floor", nx.need(F.col("total_trans"), F.col("viable_floor")).alias("need"))
 
 

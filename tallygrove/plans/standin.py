@@ -68,13 +68,31 @@ def money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cycle, snapshot, cand_id, total_trans, trans_by_indiv, trans_by_cmte: one scan, all snapshots."""
     from tallygrove.operators import money as m
 
-    rows = m.all_snapshots(contributions(spark, sf_dir), cutoffs(spark))
-    keys = ["cycle", "snapshot"]
-    sums = rows.groupBy(*keys, "cmte_id").agg(*(F.coalesce(F.sum(F.when(F.col("source") == s, F.col("cents"))), F.lit(0)).alias(f"by_{s}") for s in ("indiv", "cmte")))
-    return m.candidate_totals(sums, linkage(spark, sf_dir), keys)
+    parts = {"i": F.col("source") == "indiv", "c": F.col("source") == "cmte"}
+    sums = m.as_of_sums(contributions(spark, sf_dir), cutoffs(spark), linkage(spark, sf_dir), parts)
+    return m.in_whole(sums, ["cycle", "snapshot", "cand_id"], {"total_trans": F.col("i") + F.col("c"), "trans_by_indiv": F.col("i"), "trans_by_cmte": F.col("c")})
+
+
+def races(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One D row an order, with a rating, an index, incumbency, money and a margin that leans with the rating: what a model is fitted on.
+
+    An order's party would be that of a district; here every order is a district of its own.
+    """
+    k, cents = F.col("o_custkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
+    rating = 1 + ((k * 7) % 13) / 2
+    return read(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 3 == 0, 2000).otherwise(1998).alias("cycle"), (k % 25).cast("int").alias("state"), F.col("o_orderkey").alias("district"), F.lit("D").alias("party_major"), F.lit("N").alias("last_name"),
+        F.when(k % 5 != 0, rating).cast("double").alias("cook_rating"), (k % 21 - 10).cast("int").alias("cpvi"), (F.col("o_orderkey") % 2).cast("int").alias("incumbent"),
+        ((rating - 4) * 0.04 + (cents % 2001 - 1000) / 5000.0).cast("double").alias("margin_pct"), ((rating - 4) * 0.04 + (cents % 2001 - 1000) / 5000.0 > 0).alias("winner"), F.floor(cents / 100).alias("total_trans"),
+        F.log1p((F.col("o_orderkey") * 37 % 100_000).cast("double")).alias("opp_raised_log"), F.log1p((k * 91 % 5000).cast("double")).alias("ie_against_log"), (40_000 + k % 30_000).cast("double").alias("acs_median_income"),
+    )
 
 
 SQL = {
+    "races": """races AS (SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2000 ELSE 1998 END AS INT) AS cycle, CAST(o_custkey % 25 AS INT) AS state, o_orderkey AS district, CASE WHEN o_custkey % 5 <> 0 THEN rating END AS cook_rating,
+  CAST(o_custkey % 21 - 10 AS INT) AS cpvi, CAST(o_orderkey % 2 AS INT) AS incumbent, (rating - 4) * 0.04::DOUBLE + (cents % 2001 - 1000) / 5000.0::DOUBLE AS margin_pct, CAST(cents // 100 AS BIGINT) AS total_trans,
+  ln(1 + CAST(o_orderkey * 37 % 100000 AS DOUBLE)) AS opp_raised_log, ln(1 + CAST(o_custkey * 91 % 5000 AS DOUBLE)) AS ie_against_log, CAST(40000 + o_custkey % 30000 AS DOUBLE) AS acs_median_income
+  FROM (SELECT *, 1 + ((o_custkey * 7) % 13) / 2.0::DOUBLE AS rating, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders))""",
     "cutoffs": """cutoffs AS (SELECT cycle, snapshot, election, CAST(election - days * INTERVAL 1 DAY AS DATE) AS cutoff FROM
   (VALUES (1996, DATE '1996-11-05'), (1998, DATE '1998-11-03'), (2000, DATE '2000-11-07')) e(cycle, election), (VALUES ('T-110', 110), ('T-60', 60), ('T-20', 20)) s(snapshot, days))""",
     "contributions": """contributions AS (SELECT l_orderkey AS cmte_id, l_shipdate AS txn_date, CAST(year(l_shipdate) + year(l_shipdate) % 2 AS INT) AS cycle,

@@ -1,3 +1,5 @@
+import datetime
+import random
 import json
 
 import pytest
@@ -57,6 +59,21 @@ def test_top_of_party_breaks_ties(spark):
         assert [r["cand_id"] for r in results.top_of_party(df, ["state", "district"]).collect()] == [1]
 
 
+def test_running_sums_equal_a_copy_for_each_snapshot(spark):
+    days = spark.createDataFrame([(c, f"S{k}", datetime.date(c, 3 + k, 1)) for c in (2020, 2022) for k in range(6)] + [(2022, "same", datetime.date(2022, 5, 1))], "cycle int, snapshot string, cutoff date")
+    rng = random.Random(1)
+    rows = [(rng.choice([2020, 2022]), rng.choice([None, datetime.date(2022, rng.randint(1, 12), rng.randint(1, 28)), datetime.date(2020, rng.randint(1, 12), 1)]), rng.randint(1, 9), rng.choice(["indiv", "cmte"]), rng.randint(1, 10**9)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "cycle int, txn_date date, cmte_id int, source string, cents bigint")
+    link = spark.createDataFrame([(c, c % 4) for c in range(1, 9)] + [(3, 0), (4, None)], "cmte_id int, cand_id int")
+    parts = {"i": F.col("source") == "indiv", "c": F.col("source") == "cmte"}
+    got = {tuple(r) for r in money.as_of_sums(df, days, link, parts).collect()}
+    copies = money.all_snapshots(df, days).join(link.where("cand_id is not null"), "cmte_id")
+    want = {tuple(r) for r in copies.groupBy("cycle", "snapshot", "cand_id").agg(*(F.coalesce(F.sum(F.when(c, F.col("cents"))), F.lit(0)) for c in parts.values())).collect()}
+    assert got == want and len(got) > 30
+    seen = money.first_seen(df, days)
+    assert seen.count() <= df.where("txn_date is not null").count() and seen.columns == [*df.columns, "_seen"]
+
+
 def test_fuzzy_matches(spark):
     records = spark.createDataFrame([(1, "A", 1, "GLUESENKAMP PEREZ", "D"), (2, "A", 1, "SMYTHE", "R"), (3, "A", 1, "SMYTHES", "D"), (4, "B", 1, "JONES", "R"), (5, "B", 1, "JONES", "R")], "cand_id int, state string, district int, last_name string, party_major string")
     rows = spark.createDataFrame([(10, "A", 1, "PEREZ", "D"), (11, "A", 1, "SMYTHE", "D"), (12, "A", 1, "SMITH", "R"), (13, "B", 1, "JONES", "D"), (14, "C", 1, "JONES", "D")], "row_id int, state string, district int, last_name string, party_major string")

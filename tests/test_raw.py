@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from tallygrove import __main__ as cli
+from tallygrove.functions import dates
 from tallygrove.plans import features, raw
 
 COLUMNS = "CMTE_ID,AMNDT_IND,TRANSACTION_DT,TRANSACTION_AMT"
@@ -46,16 +48,69 @@ def test_matrix_of_files(spark, files):
     assert (c["cand_id"], c["total_trans"]) == ("H3", 40) and (e["cand_id"], e["total_trans"]) == ("H4", 0)  # H3 by likeness
     assert a["margin_pct"] == pytest.approx(0.2) and c["margin_pct"] == pytest.approx(-0.4) and a["winner"] and not c["winner"]
     assert (a["cpvi"], c["cpvi"], a["acs_median_age"], c["acs_median_age"]) == (3, -9, 38.5, 41.0)
-    assert (a["cook_rating"], a["ratings_source"], c["cook_rating"], c["ratings_source"]) == (5.0, "wikipedia", 1.0, "wayback_cook")
-    assert not a["leaky_ratings"] and a["ratings_revision_ts"] == "2024-09-05"
+    assert (a["cook_rating"], a["ratings_source"], c["cook_rating"], c["ratings_source"]) == (5.0, "wikipedia", 5.0, "wikipedia")  # no archive for this cycle
+    assert not a["leaky_ratings"] and a["ratings_revision_ts"] == "2024-09-05" and str(a["snapshot_date"]) == "2024-09-06" and a["candidate_name"] == "SMITH, ANN"
     assert {r["n"] for r in features.violations(out, ["cycle", "snapshot", "state", "district"]).collect()} == {0}
+    assert features.leaks(out).count() == 0
+
+
+def test_of_two_records_of_a_name_the_funded_one_counts(spark, files):
+    fec = files / "2024" / "fec"
+    (fec / "cn.txt").write_text("".join("|".join(p) + "\n" for p in [*PEOPLE, ("H9", "SMITH, ANN", "IND", "H", "oh", "1", "O")]))
+    (fec / "ccl.txt").write_text("C001|H9\nC002|H2\nC003|H3\n")
+    (files / "2024" / "T-110").mkdir()
+    (files / "2024" / "T-110" / "ratings.html").write_text((files / "2024" / "T-60" / "ratings.html").read_text())
+    out = raw.matrix(spark, str(files), 2024, ("T-110", "T-60"), {"39": "OH"}, revisions={s: (7, "2024-07-01") for s in ("T-110", "T-60")}, least_rows=2)
+    got = {r["snapshot"]: (r["cand_id"], r["total_trans"]) for r in out.where("district = 1 and party_major = 'D'").collect()}
+    assert got == {"T-110": ("H9", 100), "T-60": ("H9", 300)}
+
+
+def test_at_large_candidates_without_a_district(spark, files):
+    fec = files / "2024" / "fec"
+    fec.joinpath("cn.txt").write_text(fec.joinpath("cn.txt").read_text().replace("|OH|1|", "|oh||"))
+    assert {(r["cand_id"], r["state"], r["district"]) for r in raw.candidates(spark, str(files), 2024).where("cand_id in ('H1', 'H2')").collect()} == {("H1", "OH", 0), ("H2", "OH", 0)}
 
 
 def test_sources_that_may_be_missing(spark, files):
-    for name in ("schedule_e.csv", "pvi.csv", "acs/39.json", "T-60/archive.html"):
-        (files / "2024" / name).unlink()
+    (files / "2024" / "pvi.csv").unlink()
     out = raw.matrix(spark, str(files), 2024, ("T-60",), least_rows=2).where("district = 1 and party_major = 'D'").first()
-    assert (out["ie_for_total"], out["cpvi"], out["cook_rating"], out["ratings_source"]) == (0, None, 5.0, "wikipedia")
+    assert (out["ie_for_total"], out["cpvi"], out["cook_rating"]) == (10, None, 5.0)
+
+
+def test_sources_that_may_not(spark, files):
+    path = files / "2024" / "schedule_e.csv"
+    path.write_text(path.read_text().replace("EXP_AMO", "AMOUNT"))
+    with pytest.raises(KeyError, match="exp_amo"):
+        raw.matrix(spark, str(files), 2024, ("T-60",), least_rows=2)
+    path.write_text(path.read_text().replace("AMOUNT", "EXP_AMO"))
+    (files / "2024" / "acs" / "39.json").unlink()
+    with pytest.raises(AnalysisException):
+        raw.matrix(spark, str(files), 2024, ("T-60",), least_rows=2).count()
+
+
+def test_pages_by_their_logs(spark, files):
+    """A cycle that was filled back: its first revision, flagged, and the archive's values with the archive's time."""
+    day, later = files / "2024", files / "2016"
+    day.rename(later)
+    text = (files / "results.tab").read_text().replace("2024,", "2016,")
+    (files / "results.tab").write_text(text)
+    for name in ("fec/indiv.txt", "fec/pas.txt"):
+        (later / name).write_text((later / name).read_text().replace("2024", "2016"))
+    (later / "schedule_e.csv").write_text((later / "schedule_e.csv").read_text().replace("-24", "-16"))
+    (later / "pages").mkdir()
+    (later / "T-60" / "ratings.html").rename(later / "pages" / "501.html")
+    (later / "revisions.jsonl").write_text('{"rev": 501, "ts": "2021-03-02T10:00:00Z"}\n{"rev": 502, "ts": "2021-04-01T00:00:00Z"}\n')
+    (later / "archive").mkdir()
+    (later / "T-60" / "archive.html").rename(later / "archive" / "20160903120000.html")
+    (later / "archive.jsonl").write_text('{"ts": "20160801000000"}\n{"ts": "20160903120000"}\n{"ts": "20161001000000"}\n')
+    out = raw.matrix(spark, str(files), 2016, ("T-60",), {"39": "OH"}, least_rows=2)
+    got = {r["district"]: r for r in out.where("party_major = 'D'").collect()}
+    a, c = got[1], got[2]
+    assert (a["cook_rating"], a["ratings_source"], a["ratings_revision_ts"], a["leaky_ratings"]) == (5.0, "wikipedia", "2021-03-02T10:00:00Z", True)
+    assert (c["cook_rating"], c["ratings_source"], c["ratings_revision_ts"], c["leaky_ratings"]) == (1.0, "wayback_cook", "20160903120000", False)
+    assert features.leaks(out).count() == 0
+    assert features.leaks(out.withColumn("leaky_ratings", ~out["leaky_ratings"])).count() == out.count()
+    assert raw.pages(spark, str(files), 2016, ("T-20",), dates.ELECTIONS, {})["T-20"]["archive_ts"] == "20161001000000"
 
 
 def test_commands(spark, files, tmp_path, monkeypatch):
