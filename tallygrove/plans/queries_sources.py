@@ -16,7 +16,7 @@ from tallygrove.plans import standin as st
 from tallygrove.plans.queries import DISTRICT, MATRIX_SQL, RACE, matrix, query
 from tallygrove.plans.standin import ctes, read
 from tallygrove.session import scratch
-from tallygrove.sources import delimited, html, sinks, staged
+from tallygrove.sources import delimited, html, reader, sinks, staged
 
 
 def lines(df: DataFrame, path: str, header: str | None = None) -> str:
@@ -95,6 +95,29 @@ def q_src_survey(spark, d):
     return out.select("NAME", "median_age", "state_abbr", "district", "cycle")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS \"NAME\", CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS median_age, 'S' || c_nationkey AS state_abbr, CAST(c_custkey % 50 AS INT) AS district, CAST(1998 AS INT) AS cycle FROM customer WHERE c_nationkey IN (3, 7, 12)")
+def q_src_survey_reader(spark, d):
+    """The same files through the reader, which opens those of three states only."""
+    path, k = scratch(spark), F.col("c_custkey")
+    value = F.when(k % 5 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    rows = read(spark, d, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("state")).agg(F.collect_list(F.array(value, k.cast("string"), F.col("c_nationkey").cast("string"), (k % 50).cast("string"))).alias("r"))
+    header = F.array(F.array(*map(F.lit, ("B01002_001E", "NAME", "state", "congressional district"))))
+    rows.select("state", F.to_json(F.concat(header, "r")).alias("value")).write.partitionBy("state").text(path)
+    out = reader.survey(spark, path, 1998, {f"{i:02d}": f"S{i}" for i in range(25)}, only=["03", "07", "12"])
+    return out.select("NAME", "median_age", "state_abbr", "district", "cycle")
+
+
+@query("""SELECT page, stamp, html FROM (SELECT strftime(ts, '%Y%m%d') AS page, max(strftime(ts, '%Y%m%d%H%M%S')) AS stamp, count(*) || ' events' AS html FROM events GROUP BY 1) WHERE stamp <= '20240110120000' QUALIFY row_number() OVER (ORDER BY stamp DESC) = 1""")
+def q_src_pages_reader(spark, d):
+    """A page for each day and a log of their times; as of a time, the reader opens the last page only."""
+    path = scratch(spark)
+    days = read(spark, d, "events").groupBy(F.date_format("ts", "yyyyMMdd").alias("page")).agg(F.max(F.date_format("ts", "yyyyMMddHHmmss")).alias("stamp"), F.concat(F.count("*"), F.lit(" events")).alias("value"))
+    days.select(F.to_json(F.struct(F.col("page").alias("rev"), F.col("stamp").alias("ts"))).alias("value")).write.text(f"{path}/log")
+    days.select("page", "value").write.option("lineSep", " ").partitionBy("page").text(f"{path}/pages")
+    out = reader.pages(spark, path, upto="20240110120000", last=True, log="log", pages="pages/page={page}")
+    return out.select("page", "stamp", F.trim("html").alias("html"))
+
+
 @query("""SELECT max(ts) FILTER (substr(ts, 1, 8) BETWEEN '20240102' AND '20240120') AS ts, CAST(min(abs(DATE '2024-01-15' - day)) AS INT) AS days FROM (SELECT strftime(ts, '%Y%m%d%H%M%S') AS ts, CAST(ts AS DATE) AS day FROM events)""")
 def q_src_archive_index(spark, d):
     """The last capture of a range of days, and how near any comes to a given day."""
