@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from statistics import fmean, pstdev
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from tallygrove.functions import numeric as nx
 from tallygrove.operators.allocate import GRID, allocate, allocate_by, dollar_share, is_close
 from tallygrove.operators.selection import percentiles
 from tallygrove.plans import models, simulate
+from tallygrove.session import dropped, saved
 
 LINES = ("model", "fundraising", "oracle", "final_ratings")
 ALPHAS = (0.0, 0.1, 0.3, 0.5, 1.0, 2.0, 5.0)
@@ -93,9 +94,27 @@ def combine_stakes(df: DataFrame, raw: str = "stakes_raw") -> DataFrame:
     return df.withColumns({"base": nx.geometric_mean(F.col("competitiveness"), F.col("stakes_normalized")), "pivotal": F.coalesce(F.abs(raw) > simulate.PIVOTAL, F.lit(False))})
 
 
-def combine_need(df: DataFrame, floor: tuple[list[float], float], alpha: float, base: str = "base") -> DataFrame:
+def with_need(df: DataFrame, floor: tuple[list[float], float]) -> DataFrame:
     df = df.withColumn("viable_floor", models.floor_of(*floor)).withColumn("need_raw", nx.need(F.col("total_trans"), F.col("viable_floor")))
-    return df.withColumns({"impact": nx.need_boost(F.col(base), F.col("need_raw"), alpha), "under_floor": F.coalesce(F.col("total_trans") < F.col("viable_floor"), F.lit(False))})
+    return df.withColumn("under_floor", F.coalesce(F.col("total_trans") < F.col("viable_floor"), F.lit(False)))
+
+
+def combine_need(df: DataFrame, floor: tuple[list[float], float], alpha: float, base: str = "base") -> DataFrame:
+    return with_need(df, floor).withColumn("impact", nx.need_boost(F.col(base), F.col("need_raw"), alpha))
+
+
+def scored(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snapshot: str, feature_set: str = "full", model: str = "multi-quantile", combine: str = "competitiveness", universe_name: str = "all", n_iter: int = 10_000, seed: int = 42, uncontested_d: int = 0) -> DataFrame:
+    """The test cycle's D rows under models of the training cycles: competitiveness; for ``base`` also stakes, for ``impact`` also the floor and the need. No alpha yet."""
+    at = matrix.where(F.col("snapshot") == snapshot)
+    train, test = at.where(F.col("cycle").isin(*train_cycles)), at.where(F.col("cycle") == test_cycle)
+    if model == "logistic":
+        rows = models.score_logistic(test, *models.fit_logistic(train, feature_set), feature_set)
+    else:
+        rows = models.score_quantiles(models.predict_quantiles(test, models.fit_quantiles(train, feature_set), feature_set))
+    dems = universe(rows, universe_name, feature_set).withColumn("seat", F.concat_ws("-", "state", "district"))
+    if combine != "competitiveness":
+        dems = combine_stakes(dems.join(simulate.stakes(dems, n_iter, simulate.sigma_for(snapshot), seed, uncontested_d), "seat"))
+    return with_need(dems, models.fit_floor(train)) if combine == "impact" else dems
 
 
 def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snapshot: str, feature_set: str = "full", model: str = "multi-quantile", combine: str = "competitiveness", universe_name: str = "all", headline_n: int = 10, reps: int = 1000, n_iter: int = 10_000, alpha: float = DEFAULT_ALPHA, seed: int = 42, grid: tuple[int, ...] = GRID, uncontested_d: int = 0, final_ratings: DataFrame | None = None) -> Run:
@@ -113,20 +132,10 @@ def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snaps
     if headline_n not in grid:
         raise ValueError("the headline N is not in the grid")
     models.feature_columns(feature_set)
-    at = matrix.where(F.col("snapshot") == snapshot)
-    train, test = at.where(F.col("cycle").isin(*train_cycles)), at.where(F.col("cycle") == test_cycle)
-    if model == "logistic":
-        scored = models.score_logistic(test, *models.fit_logistic(train, feature_set), feature_set)
-    else:
-        scored = models.score_quantiles(models.predict_quantiles(test, models.fit_quantiles(train, feature_set), feature_set))
-    dems = universe(scored, universe_name, feature_set).withColumn("seat", F.concat_ws("-", "state", "district"))
-    score = "competitiveness"
-    if combine != "competitiveness":
-        dems = combine_stakes(dems.join(simulate.stakes(dems, n_iter, simulate.sigma_for(snapshot), seed, uncontested_d), "seat"))
-        score = "base"
+    dems = scored(matrix, train_cycles, test_cycle, snapshot, feature_set, model, combine, universe_name, n_iter, seed, uncontested_d)
+    score = combine
     if combine == "impact":
-        dems = combine_need(dems, models.fit_floor(train), alpha)
-        score = "impact"
+        dems = dems.withColumn("impact", nx.need_boost(F.col("base"), F.col("need_raw"), alpha))
     if final_ratings is not None or "final_rating" not in dems.columns:
         dems = with_final_ratings(dems, final_ratings)
     dems = flagged(with_lines(dems, score)).cache()  # a row for each district of one cycle
@@ -164,22 +173,41 @@ def close_share(row: Run, line: str = "model", n: int | None = None) -> float |
     return next((m["close_share"] for m in row.metrics if m["line"] == line and m["n"] == (n or row.headline_n)), None)
 
 
-def alpha_grid(matrix: DataFrame, cycles: tuple[int, ...], snapshot: str, alphas: tuple[float, ...] = ALPHAS, **settings) -> list[dict]:
-    """Leave one cycle out for each alpha: means of the close, pivotal and floor shares; folds that fail are passed over and counted."""
+def grid_shares(dems: DataFrame, alphas: tuple[float, ...], n: int, fold: str = "fold") -> DataFrame:
+    """dems: fold, base, need_raw, margin_pct and the flags. fold, alpha and the share of dollars over the top ``n`` for each of HITS: all folds and alphas in one ranking."""
+    values = F.broadcast(dems.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double"))  # a handful
+    rows = flagged(dems).crossJoin(values)
+    rows = rows.withColumn("impact", nx.need_boost(F.col("base"), F.col("need_raw"), F.col("alpha")))
+    parts = allocate_by(rows, [fold, "alpha"], "impact", n, ["state", "district"])
+    return parts.groupBy(fold, "alpha").agg(*(F.round(dollar_share("part", F.col(flag)), 4).alias(name) for name, flag in HITS.items()))
+
+
+def grid_means(shares: DataFrame) -> DataFrame:
+    """alpha and the means over the folds that have a share; the deviation is the population's."""
+    return shares.groupBy("alpha").agg(F.avg("close").alias("mean_close_race"), F.stddev_pop("close").alias("std_close_race"), F.avg("pivotal").alias("mean_pivotal"), F.avg("under_floor").alias("mean_floor_sat"))
+
+
+def alpha_grid(matrix: DataFrame, cycles: tuple[int, ...], snapshot: str, alphas: tuple[float, ...] = ALPHAS, headline_n: int = 10, **settings) -> list[dict]:
+    """Leave one cycle out: means of the close, pivotal and floor shares for each alpha; folds that cannot be fitted are passed over and counted.
+
+    A fold's models, simulation and floor do not depend on alpha: they are made once a fold, and alpha is a column of what follows.
+    """
     if len(set(cycles)) < 2:
         raise ValueError("leaving one cycle out needs two cycles")
-    out = []
-    for a in alphas:
-        got, failed = [], 0
-        for fold in cycles:
-            try:
-                got.append(run(matrix, tuple(c for c in cycles if c != fold), fold, snapshot, combine="impact", alpha=a, **settings))
-            except ValueError:
-                failed += 1
-        close = [x for x in map(close_share, got) if x is not None]
-        mean = lambda name, got=got: fmean(r.shares[name][0] for r in got) if got and all(r.shares for r in got) else None
-        out.append({"alpha": a, "n_folds": len(got), "failed": failed, "mean_close_race": fmean(close) if close else None, "std_close_race": pstdev(close) if close else None, "mean_pivotal": mean("pivotal"), "mean_floor_sat": mean("under_floor")})
-    return out
+    keep = ["state", "district", "margin_pct", "total_trans", "base", "need_raw", "pivotal", "under_floor"]
+    folds: list[DataFrame] = []
+    for fold in cycles:
+        try:
+            dems = scored(matrix, tuple(c for c in cycles if c != fold), fold, snapshot, combine="impact", **settings)
+        except ValueError:
+            continue
+        folds.append(saved(dems.select(F.lit(fold).alias("fold"), *keep)))
+    found = {}
+    if folds:
+        found = {r["alpha"]: r.asDict() for r in grid_means(grid_shares(reduce(DataFrame.unionByName, folds), alphas, headline_n)).collect()}
+        dropped(*folds)
+    none = dict.fromkeys(("mean_close_race", "std_close_race", "mean_pivotal", "mean_floor_sat"))
+    return [{"alpha": a, "n_folds": len(folds), "failed": len(cycles) - len(folds)} | none | found.get(a, {}) for a in alphas]
 
 
 def best_alpha(rows: list[dict], metric: str = "mean_close_race") -> float:

@@ -145,6 +145,18 @@ def q_alg_four_lines(spark, d):
     return bt.shares_at(bt.with_lines(rows))
 
 
+@query(SCORED_SQL + """, grid AS (SELECT cycle AS fold, alpha, state, district, margin_pct, under_floor, abs(competitiveness - 0.2) > 0.05 AS pivotal, least(greatest(competitiveness * (1 + alpha * need_raw), 0), 1) AS w FROM combined, (SELECT unnest([0.0, 0.1, 0.3, 0.5, 1.0, 2.0, 5.0]::DOUBLE[]) AS alpha)
+), top AS (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY fold, alpha ORDER BY w DESC, state, district) <= 10
+), parts AS (SELECT *, CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END AS part FROM top WINDOW p AS (PARTITION BY fold, alpha)
+), shares AS (SELECT fold, alpha, round(coalesce(sum(part) FILTER (abs(margin_pct) < 0.05), 0) / sum(part), 4) AS close, round(coalesce(sum(part) FILTER (pivotal), 0) / sum(part), 4) AS pivotal, round(coalesce(sum(part) FILTER (under_floor), 0) / sum(part), 4) AS under_floor FROM parts GROUP BY ALL)
+SELECT alpha, round(avg(close), 6) AS mean_close_race, round(stddev_pop(close), 6) AS std_close_race, round(avg(pivotal), 6) AS mean_pivotal, round(avg(under_floor), 6) AS mean_floor_sat FROM shares GROUP BY alpha""")
+def q_alg_alpha_grid(spark, d):
+    """Both cycles as folds under fixed coefficients, all alphas in one ranking."""
+    rows = bt.with_need(_scored(spark, d), FLOOR).withColumns({"fold": F.col("cycle"), "base": F.col("competitiveness"), "pivotal": F.abs(F.col("competitiveness") - 0.2) > 0.05})
+    out = bt.grid_means(bt.grid_shares(rows, bt.ALPHAS, 10))
+    return out.select("alpha", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
 @query(ctes("contested") + """SELECT state, district, round(margin, 6) AS margin, row_number() OVER (ORDER BY abs(margin), state, district) <= 10 AS pivotal, abs(margin) < 0.05 AS winnable FROM contested WHERE cycle = 1998 AND party_major = 'D' AND margin < 0""")
 def q_alg_counterfactual_pivot(spark, d):
     rows = rs.contested(rs.top_of_party(st.results(spark, d).where((F.col("cycle") == 1998) & F.col("party_major").isin("D", "R")), RACE), RACE)

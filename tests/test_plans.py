@@ -91,6 +91,21 @@ def test_impact_app_and_splitter(matrix):
     assert bt.splitter_shares(got).columns == ["close_share", "pivotal_share", "under_floor_share"]
 
 
+def test_alpha_grid_equals_a_backtest_for_each_alpha(matrix, monkeypatch):
+    settings = {"feature_set": "naive+pvi", "n_iter": 100}
+    alphas, cycles = (0.0, 0.5, 5.0), (2016, 2022)
+    fits = []
+    monkeypatch.setattr(models, "fit_quantiles", lambda *a, f=models.fit_quantiles, **k: fits.append(1) or f(*a, **k))
+    grid = bt.alpha_grid(matrix, cycles, "T-60", alphas, **settings)
+    assert len(fits) == 2 and [r["alpha"] for r in grid] == list(alphas) and all((r["n_folds"], r["failed"]) == (2, 0) for r in grid)
+    row = grid[1]
+    runs = [bt.run(matrix, tuple(c for c in cycles if c != fold), fold, "T-60", combine="impact", alpha=0.5, reps=2, grid=(10,), **settings) for fold in cycles]
+    assert row["mean_close_race"] == pytest.approx(np.mean([bt.close_share(r) for r in runs])) and row["std_close_race"] == pytest.approx(np.std([bt.close_share(r) for r in runs]))
+    assert row["mean_pivotal"] == pytest.approx(np.mean([r.shares["pivotal"][0] for r in runs])) and row["mean_floor_sat"] == pytest.approx(np.mean([r.shares["under_floor"][0] for r in runs]))
+    few = bt.alpha_grid(matrix.where("cycle <> 2016 or district = 0 and state = 'S01'"), cycles, "T-60", (0.3,), **settings)
+    assert few[0]["n_folds"] + few[0]["failed"] == 2 and few[0]["failed"] == 1
+
+
 def test_best_alpha():
     rows = [{"alpha": 0.1, "mean_close_race": 0.5}, {"alpha": 0.0, "mean_close_race": 0.5}, {"alpha": 1.0, "mean_close_race": None}]
     assert bt.best_alpha(rows) == 0.0 and bt.best_alpha([{"alpha": 1.0, "mean_close_race": float("nan")}]) == bt.DEFAULT_ALPHA
