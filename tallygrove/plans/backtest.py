@@ -210,6 +210,16 @@ def alpha_grid(matrix: DataFrame, cycles: tuple[int, ...], snapshot: str, alphas
     return [{"alpha": a, "n_folds": len(folds), "failed": len(cycles) - len(folds)} | none | found.get(a, {}) for a in alphas]
 
 
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """Cycles or snapshots under each other; a column that one of them lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def best_row(rows: DataFrame, metric: str) -> DataFrame:
+    """The row of the greatest metric, of equal ones the smallest alpha; none where no row has one."""
+    return rows.dropna(subset=[metric]).orderBy(F.desc(metric), "alpha").limit(1)
+
+
 def best_alpha(rows: list[dict], metric: str = "mean_close_race") -> float:
     """Greatest metric, of equal ones the smallest alpha; the default where none has one."""
     known = [r for r in rows if r.get(metric) is not None and r[metric] == r[metric]]

@@ -89,13 +89,25 @@ def q_flt_universe(spark, d):
     return a.join(universe(rows, "wikipedia", "full").groupBy("cycle").agg(F.count("*").alias("n_rated")), "cycle")
 
 
-@query("SELECT * FROM (VALUES ('naive', 1, 2), ('naive+pvi', 2, 3), ('naive+pvi+demo', 3, 11), ('naive+pvi+demo+fund', 4, 13), ('naive+pvi+demo+fund+opp', 5, 14), ('full', 6, 16)) t(feature_set, step, n_columns)")
+_FILLED = "coalesce(cook_rating, CASE WHEN cpvi >= 10 THEN 7.0 WHEN cpvi >= 3 THEN 6.0 WHEN cpvi > -3 THEN 4.0 WHEN cpvi > -10 THEN 2.0 ELSE 1.0 END)::DOUBLE"
+
+
+@query(ctes("races") + f""", ladder AS (SELECT * FROM (VALUES ('naive', 1, 2), ('naive+pvi', 2, 3), ('naive+pvi+demo', 3, 11), ('naive+pvi+demo+fund', 4, 13), ('naive+pvi+demo+fund+opp', 5, 14), ('full', 6, 16)) t(feature_set, step, n_columns))
+SELECT feature_set, CAST(step AS INT) AS step, CAST(n_columns AS INT) AS n_columns, count(*) FILTER (step > 1 OR cook_rating IS NOT NULL) AS n_scorable,
+  round(sum(CASE WHEN step = 1 THEN coalesce(-abs(cook_rating - 4), 0) ELSE {_FILLED} END) + sum(incumbent) + sum(CASE WHEN step > 1 THEN cpvi ELSE 0 END) + sum(CASE WHEN step > 2 THEN acs_median_income ELSE 0 END) + sum(CASE WHEN step > 4 THEN opp_raised_log ELSE 0 END) + sum(CASE WHEN step > 5 THEN ie_against_log ELSE 0 END), 2) AS total
+FROM races, ladder GROUP BY ALL""")
 def q_prj_feature_ladder(spark, d):
-    from tallygrove.plans.models import FEATURE_SETS, feature_columns
+    """Each feature set's columns over all races: how many rows it can score, and the sum of its features."""
+    from tallygrove.plans.models import design, feature_columns, scorable
 
-    names = ["naive", "naive+pvi", "naive+pvi+demo", "naive+pvi+demo+fund", "naive+pvi+demo+fund+opp", "full"]
-    assert set(names) <= set(FEATURE_SETS)
-    return spark.createDataFrame([(n, i + 1, len(feature_columns(n))) for i, n in enumerate(names)], "feature_set string, step int, n_columns int")
+    names, out = ["naive", "naive+pvi", "naive+pvi+demo", "naive+pvi+demo+fund", "naive+pvi+demo+fund+opp", "full"], None
+    races = st.races(spark, d)
+    races = races.withColumns({c: F.lit(0.0) for c in feature_columns("full") if c not in races.columns})
+    for i, n in enumerate(names):
+        total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+        own = design(races, n).agg(F.lit(n).alias("feature_set"), F.lit(i + 1).alias("step"), F.first(F.size("features")).alias("n_columns"), F.count_if(scorable(n)).alias("n_scorable"), F.round(F.sum(total), 2).alias("total"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 MATRIX_SQL = ctes("topped", "ratings", "money") + """, spending AS (
@@ -308,14 +320,17 @@ def q_top_n_grid(spark, d):
 
 @query("SELECT c_nationkey AS alpha, round(avg(c_acctbal), 4) AS metric FROM customer GROUP BY 1 ORDER BY metric DESC, alpha LIMIT 1")
 def q_top_best_alpha(spark, d):
-    rows = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("alpha")).agg(F.round(F.avg("c_acctbal"), 4).alias("metric"))
-    return rows.dropna(subset=["metric"]).orderBy(F.desc("metric"), "alpha").limit(1)
+    from tallygrove.plans.backtest import best_row
+
+    return best_row(read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("alpha")).agg(F.round(F.avg("c_acctbal"), 4).alias("metric")), "metric")
 
 
 @query(ctes("results") + "SELECT cycle, count(*) AS n, CAST(sum(votes) AS BIGINT) AS votes FROM results WHERE cycle IN (1996, 2000) GROUP BY cycle")
 def q_set_union_cycles(spark, d):
+    from tallygrove.plans.backtest import stacked
+
     r = st.results(spark, d)
-    return r.where("cycle = 1996").unionByName(r.where("cycle = 2000").drop("cand_ici"), allowMissingColumns=True).groupBy("cycle").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
+    return stacked([r.where("cycle = 1996"), r.where("cycle = 2000").drop("cand_ici")]).groupBy("cycle").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
 
 
 @query("""SELECT c_custkey, 'CUSTOMER' || CASE WHEN c_custkey % 3 = 0 THEN ' O''NEIL' ELSE '' END AS a, CASE WHEN c_custkey % 2 = 0 THEN 'CUSTOMER' || CASE WHEN c_custkey % 3 = 0 THEN ' O''NEIL' ELSE '' END ELSE 'SMITH-LEE' END AS b FROM customer""")
@@ -324,11 +339,17 @@ def q_str_surname(spark, d):
     return rows.select("c_custkey", fx.surname(F.col("n")).alias("a"), fx.surname_any(F.when(F.col("c_custkey") % 2 == 0, F.col("n")).otherwise("Ann B. Smith-Lee.")).alias("b"))
 
 
-@query("""SELECT n, state, district FROM (VALUES ('Pennsylvania 8', 'PA', 8), ('California 45', 'CA', 45), ('Alaska at-large', 'AK', 0), ('Puerto Rico 1', NULL, NULL), ('', NULL, NULL), ('Total', NULL, NULL), ('AL-01', 'AL', 1), ('CA-45', 'CA', 45), ('PA-8', 'PA', 8), ('AK-AL', 'AK', 0), ('MT-AT-LARGE', 'MT', 0), ('ALABAMA-1', 'AL', 1), ('Alaska At-Large', 'AK', 0), ('Mars 1', NULL, NULL)) t(n, state, district)""")
+PLACES = ("Pennsylvania {}", "CA-{}", "Alaska at-large", "Puerto Rico {}", "AL-0{}", "ALABAMA-{}", "AK-AL", "MT-AT-LARGE", "Alaska  At-Large", "Mars {}", "", "Total")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN 'PA' WHEN 1 THEN 'CA' WHEN 2 THEN 'AK' WHEN 4 THEN 'AL' WHEN 5 THEN 'AL' WHEN 6 THEN 'AK' WHEN 7 THEN 'MT' WHEN 8 THEN 'AK' END AS state,
+  CAST(CASE WHEN c_custkey % 12 IN (0, 1, 4, 5) THEN c_nationkey WHEN c_custkey % 12 IN (2, 6, 7, 8) THEN 0 END AS INT) AS district FROM customer""")
 def q_str_district_parse(spark, d):
-    names = ["Pennsylvania 8", "California 45", "Alaska at-large", "Puerto Rico 1", "", "Total", "AL-01", "CA-45", "PA-8", "AK-AL", "MT-AT-LARGE", "ALABAMA-1", "Alaska At-Large", "Mars 1"]
-    rows = spark.createDataFrame([(n,) for n in names], "n string").withColumn("p", F.coalesce(fx.district_label(F.col("n")), fx.district_code(F.col("n"))))
-    return rows.select("n", F.col("p.state").alias("state"), F.col("p.district").alias("district"))
+    """Places in twelve spellings; those of no state are null."""
+    spelled = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("c_custkey") % len(PLACES) + 1).cast("int"))
+    rows = read(spark, d, "customer").withColumn("n", F.replace(spelled, F.lit("{}"), F.col("c_nationkey").cast("string")))
+    rows = rows.withColumn("p", F.coalesce(fx.district_label(F.col("n")), fx.district_code(F.col("n"))))
+    return rows.select("c_custkey", F.col("p.state").alias("state"), F.col("p.district").alias("district"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN -p_size WHEN 1 THEN p_size ELSE 0 END AS cpvi FROM part""")
@@ -350,9 +371,12 @@ def q_str_containment(spark, d):
     return rows.where(fx.either_contains(F.col("n"), F.col("w"))).groupBy("p_partkey").agg(F.min_by("w", F.struct(F.length("w"), "w")).alias("hit"))
 
 
-@query(ctes("cutoffs") + "SELECT cycle, snapshot, strftime(cutoff, '%Y-%m-%d') AS cutoff, isodow(election) = 2 AS tuesday FROM cutoffs")
+@query(ctes("cutoffs") + """SELECT cycle, snapshot, strftime(cutoff, '%Y-%m-%d') AS cutoff, isodow(election) = 2 AS tuesday, count(*) FILTER (o_orderdate <= cutoff) AS n_before, count(*) FILTER (o_orderdate > cutoff) AS n_after FROM cutoffs JOIN orders ON year(o_orderdate) = cycle GROUP BY ALL""")
 def q_dat_cutoffs(spark, d):
-    return st.cutoffs(spark).select("cycle", "snapshot", F.col("cutoff").cast("string").alias("cutoff"), (F.weekday("election") == 1).alias("tuesday"))
+    """Each snapshot's cutoff, and how many of its year's orders lie on either side."""
+    rows = read(spark, d, "orders").join(F.broadcast(st.cutoffs(spark)), F.year("o_orderdate") == F.col("cycle"))  # nine cutoffs
+    sides = [F.count_if(F.col("o_orderdate") <= F.col("cutoff")).alias("n_before"), F.count_if(F.col("o_orderdate") > F.col("cutoff")).alias("n_after")]
+    return rows.groupBy("cycle", "snapshot", F.col("cutoff").cast("string").alias("cutoff"), (F.weekday("election") == 1).alias("tuesday")).agg(*sides)
 
 
 @query("SELECT c_custkey, round(ln(1 + greatest(c_acctbal, 0)), 6) AS logged, least(greatest(c_acctbal, 0.0), 5000.0) AS clipped FROM customer")

@@ -184,14 +184,14 @@ def q_str_candidate_label(spark, d):
     return read(spark, d, "customer").select(k.alias("id"), fx.candidate_label(F.col("c_nationkey").cast("string"), k % 40, F.col("c_name"), 1 + k % 10).alias("label"))
 
 
-HEADERS = (("Ratings", "Cook[12] (Sep 6)"), ("District", " "), ("", "2024 Cook PVI[a]"), ("IE: Oct. 1, 2024",), ("538",), ("Race to the WH",), ("Incumbent",), ("Decision Desk HQ",))
-
-
-@query("SELECT * FROM (VALUES (0, 'cook_sep_6', 'cook'), (1, 'district', 'district'), (2, '2024_cook_pvi', '2024_cook_pvi'), (3, 'ie_oct_1_2024', 'inside'), (4, '538', 'five38'), (5, 'race_to_the_wh', 'rcp'), (6, 'incumbent', 'incumbent_raw'), (7, 'decision_desk_hq', 'ddhq')) t(id, name, forecaster)")
+@query("""SELECT name, forecaster, count(*) AS n FROM (SELECT lower(replace(event_type, ' ', '_')) || '_' || day AS name, CASE k WHEN 0 THEN 'cook' WHEN 1 THEN 'inside' WHEN 2 THEN 'five38' ELSE 'rcp' END AS forecaster FROM (
+  SELECT CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'Cook' WHEN 1 THEN 'IE' WHEN 2 THEN '538' ELSE 'Race to the WH' END AS event_type, CAST(event_id % 4 AS INT) AS k, day(ts) AS day FROM events)) GROUP BY ALL""")
 def q_str_header_names(spark, d):
-    """Header cells of one or two levels as column names, and the forecasters that those name."""
-    rows = [(i, fx.header_name(*h), fx.forecaster_name(fx.header_name(*h))) for i, h in enumerate(HEADERS)]
-    return spark.createDataFrame(rows, "id int, name string, forecaster string")
+    """Headers of two levels, with days and footnotes, as column names, and the forecasters that those name: the different ones are few."""
+    who = F.element_at(F.array(*map(F.lit, ("Cook", "IE", "538", "Race to the WH"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = read(spark, d, "events").groupBy(F.concat(who, F.lit("[3]: "), F.dayofmonth("ts").cast("string"), F.lit(".")).alias("header")).agg(F.count("*").alias("n"))
+    named = [(h, fx.header_name("Ratings", h), fx.forecaster_name(fx.header_name("Ratings", h))) for (h,) in rows.select("header").collect()]  # 4 names on 31 days at most
+    return rows.join(spark.createDataFrame(named, "header string, name string, forecaster string"), "header").groupBy("name", "forecaster").agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT c_custkey AS id, coalesce(rating, CASE WHEN inc = 1 AND party = 'D' THEN 7 WHEN inc = 1 AND party = 'R' THEN 1 WHEN inc = 0 AND margin > 0.1 THEN 7 WHEN inc = 0 AND margin > 0 THEN 6 WHEN inc = 0 AND margin < -0.1 THEN 1 WHEN inc = 0 AND margin < 0 THEN 2 END, 4)::DOUBLE AS rating FROM (

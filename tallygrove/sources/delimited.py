@@ -47,8 +47,13 @@ def csv_renamed(spark: SparkSession, path: str, renames: dict[str, str], require
 
 
 def find_column(names: list[str], keywords: list[str]) -> str | None:
-    """The first name that holds one of the keywords, in any case."""
-    return next((n for n in names if any(k in n.lower() for k in keywords)), None)
+    """Of the names that hold a keyword, in any case, the one that comes first."""
+    for name in names:
+        folded = name.casefold()
+        for word in keywords:
+            if folded.find(word) >= 0:
+                return name
+    return None
 
 
 def csv_located(spark: SparkSession, path: str, wanted: dict[str, list[str]]) -> DataFrame:

@@ -89,41 +89,54 @@ def register(spark: SparkSession) -> None:
 def tables(pages: DataFrame, html: str = "html") -> DataFrame:
     """The columns of ``pages`` but the page itself, with table_no, row_no, header and cells."""
     register(pages.sparkSession)
-    pages.createOrReplaceTempView("_html_pages")
     keep = [f"p.`{c}`" for c in pages.columns if c != html]
-    return pages.sparkSession.sql(f"SELECT {', '.join([*keep, 't.*'])} FROM _html_pages p, LATERAL html_tables(p.`{html}`) t")
+    return pages.sparkSession.sql(f"SELECT {', '.join([*keep, 't.*'])} FROM {{pages}} p, LATERAL html_tables(p.`{html}`) t", pages=pages)
 
 
-def pick_ratings_table(found: list[tuple[list[str], list[list[str]]]], least_rows: int = LEAST_ROWS) -> tuple[list[str], list[list[str]]] | None:
-    """The first table with enough rows, a partisan index, a forecaster and a district column; its header normalised."""
+def role_of(column: str) -> str | None:
+    """What a normalised column tells: the place, the index, or a forecaster's rating."""
+    words = set(column.split("_"))
+    if words & {"cpvi", "pvi"}:
+        return "index"
+    if words & {"district", "districts"} or column == "race":
+        return "place"
+    return "forecaster" if fx.forecaster_name(column) in MODELLED else None
+
+
+#: Roles that a ratings table has a column for.
+REQUIRED = {"place", "index", "forecaster"}
+# The forecasters that a table must have one of, whose texts may also announce a change of party.
+MODELLED = ("cook", "inside", "sabato")
+#: Columns that are read besides the place: the output's name and how the text is read.
+READ = {"cpvi": ("cpvi_signed", fx.signed_index), "incumbent_raw": ("incumbent_raw", F.trim)} | {n: (f"{n}_ordinal", fx.rating_ordinal) for n in fx.FORECASTERS.values() if n != "cnalysis"}
+
+
+def pick_ratings_table(found: list[tuple[list[str], list[list[str]]]], least_rows: int = LEAST_ROWS) -> tuple[dict[str, int], dict[str, int], list[list[str]]] | None:
+    """The first table of enough rows in which every role of REQUIRED is played: columns by role and by name (the first of each), and the rows."""
     for header, rows in found:
         names = [fx.header_name(h) for h in header]
-        joined = " ".join(names)
-        if len(rows) >= least_rows and ("cpvi" in joined or "cook_pvi" in joined) and any(f in joined for f in ("cook", "sabato", "inside")) and any("district" in n or n == "race" for n in names):
-            return [fx.forecaster_name(n) for n in names], rows
+        by_role, by_name = {}, {}
+        for i in reversed(range(len(names))):
+            by_role[role_of(names[i])] = i
+            by_name["cpvi" if role_of(names[i]) == "index" else fx.forecaster_name(names[i])] = i
+        if len(rows) >= least_rows and REQUIRED <= set(by_role):
+            return by_role, by_name, rows
     return None
 
 
-#: What a ratings page gives, by the name of its column: the output's name and how the text is read.
-READ = {"cpvi": ("cpvi_signed", fx.signed_index)} | {n: (f"{n}_ordinal", fx.rating_ordinal) for n in ("cook", "sabato", "inside", "rcp", "politico", "fox", "ddhq", "five38", "economist")} | {"incumbent_raw": ("incumbent_raw", F.trim)}
-#: Forecasters whose text may announce a change of party.
-FLIPPERS = ("cook", "sabato", "inside")
-
-
 def ratings(spark: SparkSession, html: str, cycle: int, snapshot: str, revision_id: int, least_rows: int = LEAST_ROWS) -> DataFrame:
     """One page's ratings: state, district, index, ordinals, incumbent and flip; ValueError if the page has no such table."""
     picked = pick_ratings_table(parse_tables(html), least_rows)
     if picked is None:
         raise ValueError(f"no ratings table for {cycle} {snapshot}, revision {revision_id}")
-    header, body = picked
-    first = {name: header.index(name) for name in header}
-    places = [n for n in first if n == "race" or "district" in n]
+    by_role, by_name, body = picked
     page = spark.createDataFrame([(row,) for row in body], "cells array<string>")
-    cell = {name: F.get("cells", F.lit(i)) for name, i in first.items()}
+    cell = {name: F.get("cells", F.lit(i)) for name, i in by_name.items()}
     told = {out: read(cell[name]) for name, (out, read) in READ.items() if name in cell}
-    if said := [cell[n] for n in FLIPPERS if n in cell]:
+    if said := [cell[n] for n in MODELLED if n in cell]:
         told["flip_predicted"] = fx.any_contains(said, "flip")
-    rows = page.select(fx.district_label(cell[places[0] if places else header[0]]).alias("_place"), *(c.alias(n) for n, c in told.items())).where("_place is not null")
+    place = fx.district_label(F.get("cells", F.lit(by_role["place"])))
+    rows = page.select(place.alias("_place"), *(c.alias(n) for n, c in told.items())).where("_place is not null")
     return rows.select(F.col("_place.state").alias("state_abbr"), F.col("_place.district").alias("district"), *told, F.lit(cycle).alias("cycle"), F.lit(snapshot).alias("snapshot_date"), F.lit(revision_id).alias("revision_id"))
 
 
