@@ -25,7 +25,7 @@ def sinks_of_raw(spark: SparkSession, args: argparse.Namespace) -> None:
     snapshots = tuple(args.snapshots.split(","))
     days = dates.cutoffs(spark, {args.cycle: dates.ELECTIONS[args.cycle]}).where(F.col("snapshot").isin(*snapshots))
     if args.command == "features":
-        sinks.write_matrix(raw.matrix(spark, args.raw, args.cycle, snapshots, states), args.out)
+        sinks.write_checked(raw.matrix(spark, args.raw, args.cycle, snapshots, states), args.out)
         return
     made = {
         "fec": lambda: raw.totals(raw.contributions(spark, args.raw, args.cycle), raw.linkage(spark, args.raw, args.cycle), days),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions import dates
@@ -70,16 +70,34 @@ def violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return margin.unionByName(pairs)
 
 
-def leaks(df: DataFrame, backfilled: tuple[int, ...] = BACKFILLED, slop: int = SLOP_DAYS) -> DataFrame:
-    """df: cycle, snapshot_date, ratings_source, leaky_ratings, ratings_day or ratings_revision_ts. Rows that break their source's rule, and the rule."""
-    if "ratings_day" not in df.columns:
-        df = df.withColumn("ratings_day", dates.from_stamp(F.col("ratings_revision_ts")))
+def broken_rule(columns: list[str], backfilled: tuple[int, ...] = BACKFILLED, slop: int = SLOP_DAYS) -> Column:
+    """The rule of its ratings' source that a row breaks, or null, from cycle, snapshot_date, ratings_source, leaky_ratings and ratings_day or ratings_revision_ts."""
+    day = F.col("ratings_day") if "ratings_day" in columns else dates.from_stamp(F.col("ratings_revision_ts"))
     wiki_back = (F.col("ratings_source") == "wikipedia") & F.col("cycle").isin(*backfilled)
     archive = F.col("ratings_source") == "wayback_cook"
-    rule = (
+    return (
         F.when(wiki_back, F.when(~F.col("leaky_ratings"), "backfilled_not_flagged"))
-        .when(archive, F.when(F.col("leaky_ratings"), "archive_flagged").when(F.col("ratings_day").isNull(), "no_day").when(F.col("ratings_day") > F.date_add("snapshot_date", slop), "archive_too_late"))
+        .when(archive, F.when(F.col("leaky_ratings"), "archive_flagged").when(day.isNull(), "no_day").when(day > F.date_add("snapshot_date", slop), "archive_too_late"))
         .when(F.col("leaky_ratings"), "clean_flagged")
-        .when(F.col("ratings_day").isNull() | (F.col("ratings_day") > F.col("snapshot_date")), "after_snapshot")
+        .when(day.isNull() | (day > F.col("snapshot_date")), "after_snapshot")
     )
-    return df.withColumn("rule", rule).where("rule is not null")
+
+
+def leaks(df: DataFrame, backfilled: tuple[int, ...] = BACKFILLED, slop: int = SLOP_DAYS) -> DataFrame:
+    """Rows that break their source's rule, and the rule."""
+    return df.withColumn("rule", broken_rule(df.columns, backfilled, slop)).where("rule is not null")
+
+
+def observed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Observation]:
+    """``df`` and the counts of violations and, where there are audit columns, of leaks, taken by the pass that writes it.
+
+    A task that runs twice may count a row twice, so a count is good for being 0 or not.
+    """
+    side = Window.partitionBy(*keys)
+    pair = (F.count("*").over(side) == 2) & (F.size(F.collect_set("party_major").over(side)) == 2)
+    rows = df.withColumn("_pair", pair)
+    counts = {"rows": F.count("*"), "margin_range": F.count_if(~F.coalesce(F.col("margin_pct").between(-0.999999, 0.999999), F.lit(False))), "district_pairs": F.count_if(~F.col("_pair"))}
+    if {"ratings_source", "leaky_ratings", "snapshot_date"} <= set(df.columns):
+        counts["leaks"] = F.count_if(broken_rule(df.columns).isNotNull())
+    seen = Observation()
+    return rows.observe(seen, *(c.alias(n) for n, c in counts.items())).drop("_pair"), seen

@@ -136,16 +136,16 @@ def q_src_archive_tables(spark, d):
     return rows.select("id", "state_abbr", "district", "cook_ordinal", "incumbent_raw")
 
 
-@query(MATRIX_SQL + "SELECT cycle, snapshot, party_major, count(*) AS n, CAST(sum(total_trans) AS BIGINT) AS total FROM matrix WHERE cycle = 1998 AND snapshot <> 'T-110' GROUP BY ALL UNION ALL SELECT cycle, snapshot, party_major, count(*), CAST(sum(total_trans) AS BIGINT) FROM matrix WHERE cycle = 1996 AND snapshot = 'T-20' GROUP BY ALL")
+@query(MATRIX_SQL + """SELECT cycle, snapshot, state, district, party_major, cand_id, last_name, votes, round(margin_pct, 6) AS margin_pct, cook_rating, cpvi, incumbent, total_trans, opp_raised, ie_for_total, ie_against_total,
+  round(ln(1 + total_trans), 6) AS self_raised_log, winner, CASE WHEN cycle = 1996 AND snapshot <> 'T-20' THEN -1 ELSE 1 END AS round FROM matrix""")
 def q_snk_matrix(spark, d):
-    """The matrix written by cycle and snapshot; a second write replaces only what it brings; read back by folder."""
-    path = scratch(spark)
-    rows = matrix(spark, d)
-    sinks.write_matrix(rows.withColumn("total_trans", F.when(F.col("cycle") == 1996, -1).otherwise(F.col("total_trans"))), path)
-    sinks.write_matrix(rows.where("cycle = 1996 and snapshot = 'T-20'"), path)
-    parts = [staged.processed(spark, path, 1998, "T-60"), staged.processed(spark, path, 1998, "T-20"), staged.processed(spark, path, 1996, "T-20")]
-    got = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return got.groupBy("cycle", "snapshot", "party_major").agg(F.count("*").alias("n"), F.sum("total_trans").alias("total"))
+    """The matrix written by cycle and snapshot, checked on the way; a second write replaces only the folders that it brings."""
+    path, rows = scratch(spark), matrix(spark, d)
+    sinks.write_checked(rows.withColumn("round", F.when(F.col("cycle") == 1996, -1).otherwise(1)), path)
+    sinks.write_checked(rows.where("cycle = 1996 and snapshot = 'T-20'").withColumn("round", F.lit(1)), path)
+    out = staged.processed(spark, path)
+    keep = ("cycle", "snapshot", *DISTRICT, "party_major", "cand_id", "last_name", "votes", "margin_pct", "cook_rating", "cpvi", "incumbent", "total_trans", "opp_raised", "ie_for_total", "ie_against_total", "self_raised_log", "winner", "round")
+    return out.withColumns({c: F.round(c, 6) for c in ("margin_pct", "self_raised_log")}).select(*keep)
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, 4 * CAST(sum(c_custkey) AS BIGINT) AS total FROM customer GROUP BY 1")

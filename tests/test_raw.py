@@ -1,13 +1,17 @@
 """Raw files on disk become the matrix."""
 
+import datetime
 import json
+import os
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tallygrove import __main__ as cli
 from tallygrove.functions import dates
 from tallygrove.plans import features, raw
+from tallygrove.sources import sinks
 
 COLUMNS = "CMTE_ID,AMNDT_IND,TRANSACTION_DT,TRANSACTION_AMT"
 MONEY = [("C001", "07012024", 100), ("C001", "08152024", 200), ("C002", "09052024", 50), ("C002", "09062024", 25), ("C001", "09102024", 999), ("C003", "10012024", 500), ("C002", "11012024", 777), ("C003", "BADDATE9", 10)]
@@ -113,6 +117,20 @@ def test_pages_by_their_logs(spark, files):
     assert raw.pages(spark, str(files), 2016, ("T-20",), dates.ELECTIONS, {})["T-20"]["archive_ts"] == "20161001000000"
 
 
+def test_a_bad_matrix_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "matrix")
+    good = spark.createDataFrame([(c, s, "OH", 1, p, 0.1, datetime.date(2024, 9, 6), "wikipedia", False, "2024-09-01", c) for c in (2022, 2024) for s in ("T-60", "T-20") for p in "DR"], "cycle int, snapshot string, state string, district int, party_major string, margin_pct double, snapshot_date date, ratings_source string, leaky_ratings boolean, ratings_revision_ts string, v int")
+    assert sinks.write_checked(good, path) == {"rows": 8, "margin_range": 0, "district_pairs": 0, "leaks": 0}
+    later = good.where("cycle = 2024 and snapshot = 'T-20'").withColumn("v", F.lit(7))
+    for bad, rule in ((later.withColumn("margin_pct", F.lit(1.0)), "margin_range"), (later.where("party_major = 'D'"), "district_pairs"), (later.withColumn("ratings_revision_ts", F.lit("2024-10-01")), "leaks")):
+        with pytest.raises(ValueError, match=rule):
+            sinks.write_checked(bad, path)
+        assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2022] * 4 + [2024] * 4
+    sinks.write_checked(later, path)
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [7, 7] + [2022] * 4 + [2024] * 2
+    assert not [f for f in os.listdir(path) if f.startswith("_staging")]
+
+
 def test_commands(spark, files, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     for command, n in (("fec", 3), ("fec_ie", 2), ("results", 6), ("pvi", 2), ("census", 2)):
