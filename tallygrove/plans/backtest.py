@@ -142,14 +142,13 @@ def run(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snaps
     try:
         counts = dems.agg(F.count("*"), F.count_if(is_close("margin_pct"))).first()
         metrics = [r.asDict() for r in shares_at(dems, grid).orderBy("line", "n").collect()]
-        drawn = simulate.resampled(dems, reps, seed, ["state", "district"])
-        ci = {line: [round(x, 4) for x in simulate.interval(simulate.bootstrap_shares(drawn, line, headline_n, is_close("margin_pct"))).first()[:3]] for line in LINES} if counts[0] else {}
-        shares = {}
+        ci, shares = {}, {}
         if counts[0]:
+            drawn = simulate.resampled_shares(dems, LINES, headline_n, {name: F.col(flag) for name, flag in HITS.items()}, reps, seed, ["state", "district"])
+            found = {(r["line"], r["name"]): r for r in simulate.intervals(drawn, list(HITS)).collect()}  # a row a line and share
+            ci = {line: [round(found[line, "close"][x], 4) for x in ("ci_low", "mean", "ci_high")] for line in LINES}
             point = hit_shares(dems, headline_n).first()
-            for name, flag in HITS.items():
-                low, _, high = simulate.interval(simulate.bootstrap_shares(drawn, "model", headline_n, F.col(flag))).first()[:3]
-                shares[name] = [point[name], round(low, 4), round(high, 4)]
+            shares = {name: [point[name], round(found["model", name]["ci_low"], 4), round(found["model", name]["ci_high"], 4)] for name in HITS}
         return Run(feature_set, model, combine, universe_name, snapshot, tuple(train_cycles), test_cycle, headline_n, counts[0], counts[1], metrics, ci, shares)
     finally:
         dems.unpersist()

@@ -51,6 +51,14 @@ def q_alg_seat_histogram(spark, d):
     return simulate.seat_histogram(simulate.outcomes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
 
 
+@query(OUTCOME_SQL + """, hist AS (SELECT CAST(total AS BIGINT) AS total, count(*) AS n FROM totals GROUP BY 1)
+SELECT total, n, round(sum(n) OVER (ORDER BY total DESC) / CAST(sum(n) OVER () AS DOUBLE), 6) AS at_least FROM hist""")
+def q_alg_seat_tail(spark, d):
+    """The chance of every number of seats or more."""
+    won = simulate.outcomes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED)
+    return simulate.tail_chances(simulate.seat_histogram(won, 3)).withColumn("at_least", F.round("at_least", 6))
+
+
 BOOT_SQL = MATRIX_SQL + LINES_SQL + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY state, district) - 1 AS i, count(*) OVER () AS n FROM dems
 ), size AS (SELECT max(n) AS n FROM numbered), slots AS (SELECT CAST(r.range AS INT) AS rep, CAST(s.range AS INT) AS slot FROM range({REPS}) r, range(100000) s, size WHERE s.range < n
 ), drawn AS (SELECT rep, slot, d.* FROM slots, size, numbered d WHERE d.i = CAST(floor({u_sql("boot", "rep", "slot")} * size.n) AS INT))
@@ -83,6 +91,39 @@ def q_alg_paired_bootstrap(spark, d):
     return rounded(out, "ci_low", "mean", "ci_high", "p_positive")
 
 
+COPIES_SQL = MATRIX_SQL + LINES_SQL + f""", two AS (SELECT * FROM ranked WHERE line <> 'oracle'
+), places AS (SELECT state, district, row_number() OVER (ORDER BY min(rk), state, district) - 1 AS place, count(*) OVER () AS n FROM two GROUP BY state, district
+), uni AS (SELECT CAST(range AS INT) AS rep, place, n, {u_sql("copies", "range", "place")} AS u FROM range({REPS}), places
+), drawn(rep, place, copies, remaining) AS (
+  SELECT CAST(range AS INT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), (SELECT max(n) FROM places) FROM range({REPS})
+  UNION ALL SELECT rep, place, copies, remaining - copies FROM (
+    SELECT d.rep, u.place, d.remaining, CASE WHEN u.place = u.n - 1 THEN d.remaining ELSE CAST(len(list_filter(range(0, least(d.remaining, 60)), lambda k: list_sum(list_transform(range(0, k + 1),
+      lambda i: exp(lgamma(d.remaining + 1) - lgamma(i + 1) - lgamma(d.remaining - i + 1) + i * ln(1.0::DOUBLE / (u.n - u.place)) + (d.remaining - i) * ln(1 - 1.0::DOUBLE / (u.n - u.place))))) < u.u)) AS BIGINT) END AS copies
+    FROM drawn d JOIN uni u ON u.rep = d.rep AND u.place = d.place + 1)
+), runs AS (SELECT line, rep, w, margin_pct, copies, coalesce(sum(copies) OVER (PARTITION BY line, rep ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM two JOIN places USING (state, district) JOIN drawn USING (place)
+), taken AS (SELECT *, least(copies, 10 - before) AS k FROM runs WHERE before < 10 AND copies > 0
+), shares AS (SELECT line, rep, CASE WHEN sum(k * w) > 0 THEN coalesce(sum(k * w) FILTER (abs(margin_pct) < 0.05), 0) / sum(k * w) ELSE coalesce(sum(k) FILTER (abs(margin_pct) < 0.05), 0) / CAST(sum(k) AS DOUBLE) END AS share FROM taken GROUP BY line, rep)
+"""
+COPIES_SQL = COPIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def copies(spark, d) -> DataFrame:
+    return simulate.resampled_shares(saved(dems_1998(spark, d)), ("fundraising", "final_ratings"), 10, {"close": al.is_close("margin_pct")}, REPS, SEED, DISTRICT)
+
+
+@query(COPIES_SQL + "SELECT line, round(quantile_cont(share, 0.025), 4) AS ci_low, round(avg(share), 4) AS mean, round(quantile_cont(share, 0.975), 4) AS ci_high, count(*) AS reps FROM shares GROUP BY line")
+def q_alg_copies_ci(spark, d):
+    """Intervals of both lines from copies a race: no resample is laid out."""
+    return rounded(simulate.intervals(copies(spark, d), ["close"]).drop("name"), "ci_low", "mean", "ci_high")
+
+
+@query(COPIES_SQL + """SELECT round(quantile_cont(x, 0.025), 4) AS ci_low, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.975), 4) AS ci_high, count(*) AS reps, round(avg(CAST(x > 0 AS INT)), 4) AS p_positive
+FROM (SELECT a.share - b.share AS x FROM shares a JOIN shares b USING (rep) WHERE a.line = 'fundraising' AND b.line = 'final_ratings')""")
+def q_alg_copies_paired(spark, d):
+    return rounded(simulate.difference(copies(spark, d), "fundraising", "final_ratings", "close"), "ci_low", "mean", "ci_high", "p_positive")
+
+
 TOP_SQL = MATRIX_SQL + """, dems AS (SELECT *, (state + district) % 4 = 0 AS pivotal, CAST(20000 + 1000 * district AS DOUBLE) AS viable_floor FROM matrix WHERE party_major = 'D' AND cycle = 1998 AND snapshot = 'T-60'
 ), top AS (SELECT *, CASE WHEN sum(total_trans) OVER () > 0 THEN total_trans / CAST(sum(total_trans) OVER () AS DOUBLE) ELSE 1.0 / count(*) OVER () END AS part FROM (SELECT * FROM dems ORDER BY total_trans DESC, state, district LIMIT 10))
 """

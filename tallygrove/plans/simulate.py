@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions import numeric as nx
 from tallygrove.functions import rng
-from tallygrove.operators.allocate import allocate_by, dollar_share
-from tallygrove.session import saved
+from tallygrove.operators.allocate import allocate_by, dollar_share, weights
+from tallygrove.session import dropped, saved
 
 # The shared shock's deviation by snapshot.
 SIGMA = {"T-110": 0.04, "T-60": 0.03, "T-20": 0.02}
@@ -58,6 +63,12 @@ def seat_histogram(won: DataFrame, uncontested_d: int = 0) -> DataFrame:
     return won.groupBy("iter").agg((F.count_if("d_won") + uncontested_d).alias("total")).groupBy("total").agg(F.count("*").alias("n"))
 
 
+def tail_chances(histogram: DataFrame) -> DataFrame:
+    """total, n and at_least: the chance of that many seats or more."""
+    from_top = Window.orderBy(F.desc("total"))  # a row a number of seats
+    return histogram.select("total", "n", (F.sum("n").over(from_top) / F.sum("n").over(Window.partitionBy())).alias("at_least"))
+
+
 def resampled(rows: DataFrame, reps: int, seed: int, order: list[str]) -> DataFrame:
     """rows (one race each, a chamber at most) drawn with replacement: rep, slot and the row's columns."""
     numbered = saved(rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1))
@@ -84,3 +95,103 @@ def paired(drawn: DataFrame, model: str, benchmark: str, n: int, hit: Column) ->
     a, b = bootstrap_shares(drawn, model, n, hit, "_a"), bootstrap_shares(drawn, benchmark, n, hit, "_b")
     d = a.join(b, "rep").select((F.col("_a") - F.col("_b")).alias("delta"))
     return interval(d, "delta").crossJoin(d.agg(F.avg((F.col("delta") > 0).cast("double")).alias("p_positive")))
+
+
+def binomial(u: np.ndarray, m: np.ndarray, p: float) -> np.ndarray:
+    """The number of hits in ``m`` trials of chance ``p`` whose distribution function first reaches ``u``, element by element."""
+    if p >= 1:
+        return m.copy()
+    k = np.zeros(len(m), np.int64)
+    mass = (1 - p) ** m
+    reached = mass.copy()
+    short = (reached < u) & (k < m)
+    while short.any():
+        mass = np.where(short, mass * ((m - k) / (k + 1) * (p / (1 - p))), mass)
+        k += short
+        reached = np.where(short, reached + mass, reached)
+        short &= (reached < u) & (k < m)
+    return k
+
+
+def multiplicities(spark: SparkSession, reps: int, size: int, first: int, seed: int) -> DataFrame:
+    """rep, place, copies (above 0): how often each of the first ``first`` of ``size`` rows is in a resample of ``size`` rows.
+
+    The counts are multinomial, drawn one place after another, each binomial given those before. A place's count does not depend
+    on ``first``, so a longer head goes on where a shorter one ended.
+    """
+    first = min(first, size)
+    draws = spark.range(reps).select(F.col("id").cast("int").alias("rep"))
+    draws = draws.withColumn("u", F.transform(F.sequence(F.lit(0), F.lit(first - 1)), lambda place: rng.uniform(seed, "copies", F.col("rep"), place)))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            u, left = np.vstack(batch["u"].to_numpy()), np.full(len(batch), size, np.int64)
+            copies = np.empty(u.shape, np.int64)
+            for place in range(first):
+                copies[:, place] = binomial(u[:, place], left, 1 / (size - place))
+                left = left - copies[:, place]
+            at, place = np.nonzero(copies)
+            yield pd.DataFrame({"rep": batch["rep"].to_numpy()[at], "place": place, "copies": copies[at, place]})
+
+    return draws.mapInPandas(drawn, "rep int, place int, copies int")
+
+
+def _heads(rows: DataFrame, lines: tuple[str, ...], hits: dict[str, Column], key: list[str], longest: int) -> DataFrame:
+    """line, rank, weight, the hits and the key of each line's first rows: ``longest`` a line at most."""
+    flags = [F.coalesce(hit, F.lit(False)).alias(f"_{name}") for name, hit in hits.items()]
+    parts = []
+    for line in lines:
+        top = rows.select(*key, weights(line).alias("_w"), *flags).orderBy(F.desc("_w"), *key).limit(longest)
+        parts.append(top.select(F.lit(line).alias("line"), F.row_number().over(Window.orderBy(F.desc("_w"), *key)).alias("_rank"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def resampled_shares(rows: DataFrame, lines: tuple[str, ...], n: int, hits: dict[str, Column], reps: int, seed: int, key: list[str], head: int | None = None) -> DataFrame:
+    """rep, line and, for each of ``hits``, its share of the dollars when the line is allocated over the top ``n`` of a resample.
+
+    rows: one race each, told apart by ``key``. A resample is never laid out: it is a number of copies a race, and the first
+    ``n`` in a line's order are copies of the races at its head. Only heads are drawn, for all lines together, so that lines are
+    compared on the same resamples. Races are numbered by their best rank in any line, so a head that is too short for some
+    resample is made twice as long without changing a draw; what ``head`` starts with never changes a result. Tied races come by
+    key, a race's copies one after another; all weights 0 give equal parts. No row for an empty table.
+    """
+    if n <= 0:
+        raise ValueError("n must be positive")
+    size, spark = rows.count(), rows.sparkSession
+    longest = head or int(n + 6 * n**0.5 + 20)
+    while True:
+        heads = saved(_heads(rows, lines, hits, key, longest))
+        order = Window.orderBy("_best", *key)  # a head a line
+        places = heads.groupBy(*key).agg(F.min("_rank").alias("_best")).withColumn("place", F.row_number().over(order) - 1)
+        ranked = saved(heads.join(places, key).drop("_best", *key))
+        first = ranked.select("place").distinct().count()
+        dropped(heads)
+        drawn = multiplicities(spark, reps if size else 0, size, max(first, 1), seed)
+        chosen = drawn.join(F.broadcast(ranked), "place")  # lines x longest rows
+        before = Window.partitionBy("rep", "line").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+        taken = F.least(F.col("copies"), n - F.coalesce(F.sum("copies").over(before), F.lit(0)))
+        chosen = chosen.withColumn("_taken", taken).where("_taken > 0")
+        total = F.sum(F.col("_taken") * F.col("_w"))
+        share = lambda name: F.when(total > 0, F.sum(F.when(F.col(f"_{name}"), F.col("_taken") * F.col("_w")).otherwise(0.0)) / total).otherwise(F.sum(F.when(F.col(f"_{name}"), F.col("_taken")).otherwise(0)) / F.sum("_taken"))
+        out = saved(chosen.groupBy("rep", "line").agg(*(share(name).alias(name) for name in hits), F.sum("_taken").alias("_n")))
+        dropped(ranked)
+        # A head without any copy has no row; with fewer copies than wanted it is too short.
+        if longest >= size or out.where(F.col("_n") >= n).count() == reps * len(lines):
+            return out.drop("_n")
+        dropped(out)
+        longest *= 2
+
+
+def intervals(shares: DataFrame, names: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """line, name, ci_low, mean, ci_high, reps of every share of resampled_shares() at once."""
+    long = shares.select("line", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("name", "_x"))
+    return long.groupBy("line", "name").agg(F.percentile("_x", low).alias("ci_low"), F.avg("_x").alias("mean"), F.percentile("_x", high).alias("ci_high"), F.count("*").alias("reps"))  # ``reps`` values a group
+
+
+def difference(shares: DataFrame, model: str, benchmark: str, name: str) -> DataFrame:
+    """One row: interval of the model's share less the benchmark's on the same resamples, and its chance of being positive."""
+    side = lambda line: F.max(F.when(F.col("line") == line, F.col(name)))
+    d = shares.groupBy("rep").agg((side(model) - side(benchmark)).alias("delta"))
+    return interval(d, "delta").crossJoin(d.agg(F.avg((F.col("delta") > 0).cast("double")).alias("p_positive")))
