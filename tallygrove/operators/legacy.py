@@ -43,7 +43,7 @@ def model_rows(df: DataFrame, columns: list[str], filled: list[str]) -> DataFram
 
 
 def grid_search(df: DataFrame, features: list[str], label: str, kind: str = "forest", depths: tuple[int, ...] = (3, 5), sizes: tuple[int, ...] = (10, 20), folds: int = 3, seed: int = 1, parallelism: int = 4) -> tuple[CrossValidatorModel, float]:
-    """The best of a grid of forests or boosted trees by cross-validated R2. Boosting knows squared and absolute loss, not Huber's."""
+    """The best of a grid of forests or boosted trees by cross-validated R2. Boosting knows squared and absolute loss; plans.boosting has Huber's."""
     rows = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
     if kind == "forest":
         model = RandomForestRegressor(featuresCol="_features", labelCol=label, seed=seed)

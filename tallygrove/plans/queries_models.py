@@ -9,7 +9,7 @@ from tallygrove.functions import numeric as nx
 from tallygrove.operators import allocate as al
 from tallygrove.operators import results as rs
 from tallygrove.plans import backtest as bt
-from tallygrove.plans import models, simulate
+from tallygrove.plans import boosting, models, simulate
 from tallygrove.plans import standin as st
 from tallygrove.plans.queries import DISTRICT, KNOTS_SQL, LEVEL_SQL, LINES_SQL, MATRIX_SQL, RACE, _interp_sql, dems_1998, knots, matrix, query
 from tallygrove.plans.standin import ctes, read
@@ -254,6 +254,19 @@ def q_alg_viable_floor_ro(spark, d):
     return out.select(*DISTRICT, "total_trans", "viable_floor", nx.need(F.col("total_trans"), F.col("viable_floor")).alias("need"))
 
 
+#: The older pipeline's boosting, with fewer trees.
+BOOSTED = boosting.Settings(trees=3, depth=3, rate=0.3, min_leaf=10, min_split=20)
+BOOSTED_FEATURES = ["cpvi", "incumbent", "opp_raised_log", "ie_against_log", "acs_median_income"]
+
+
+@query()
+def q_leg_huber_ro(spark, d):
+    """Margins by boosting under Huber's loss, fitted on the earlier cycle."""
+    rows = st.races(spark, d)
+    model = boosting.fit(rows.where("cycle < 2000"), BOOSTED_FEATURES, "margin_pct", BOOSTED)
+    return boosting.predict(rows, model).select("cycle", *DISTRICT, "margin_pct", "prediction")
+
+
 @query("SELECT window_start, event_type, n, total FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL)")
 def q_stm_daily_totals(spark, d):
     """Extension: the streaming plan's aggregation, over the same rows as a batch."""

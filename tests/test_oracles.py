@@ -9,6 +9,7 @@ import pytest
 
 from tallygrove.plans import models, quantiles, queries, queries_legacy, queries_models, queries_sources, standin  # noqa: F401
 
+from .test_boosting import plain as plain_boosting
 from .test_similar import plain_fuzzy
 
 
@@ -86,6 +87,21 @@ def test_floors(spark, sf_dir):
         assert got[r["district"]]["viable_floor"] == pytest.approx(floor) and got[r["district"]]["need"] == pytest.approx(min(max((floor - r["total_trans"]) / floor, 0), 1), abs=1e-9)
 
 
+def test_boosted_margins(spark, sf_dir):
+    """Trees over the query's own edges, which lie among the fitted rows' values."""
+    rows = {r["district"]: r for r in standin.races(spark, sf_dir).collect()}
+    q = queries_models
+    edges = q.boosting.fit(standin.races(spark, sf_dir).where("cycle < 2000"), q.BOOSTED_FEATURES, "margin_pct", q.boosting.Settings(trees=0)).edges
+    train = [r for r in rows.values() if r["cycle"] < 2000]
+    x, y = np.array([[float(r[c]) for c in q.BOOSTED_FEATURES] for r in train]), np.array([r["margin_pct"] for r in train])
+    assert all(set(e) <= set(x[:, j]) for j, e in enumerate(edges))
+    want = dict(zip((r["district"] for r in train), plain_boosting(x, y, edges, q.BOOSTED)[-1], strict=True))
+    got = {r["district"]: r["prediction"] for r in queries.QUERIES["q_leg_huber_ro"](spark, sf_dir).collect()}
+    assert set(got) == set(rows) and {k: got[k] for k in want} == pytest.approx(want, abs=1e-9)
+    held = [k for k in rows if k not in want]
+    assert len(held) > 300 and all(math.isfinite(got[k]) for k in held)
+
+
 def test_fuzzy_names(spark, sf_dir):
     parts = [tuple(r) for r in standin.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").collect()]
     side = lambda k: "D" if k % 2 == 0 else "R"
@@ -102,4 +118,4 @@ def test_html_tables(spark, sf_dir):
 
 
 def test_no_query_is_left_out():
-    assert set(queries.QUERIES) - set(queries.ORACLES) == {"q_alg_logistic_ro", "q_alg_multiquantile_ro", "q_alg_viable_floor_ro", "q_join_fuzzy_ro", "q_src_html_table_ro"}
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"q_alg_logistic_ro", "q_alg_multiquantile_ro", "q_alg_viable_floor_ro", "q_join_fuzzy_ro", "q_leg_huber_ro", "q_src_html_table_ro"}
