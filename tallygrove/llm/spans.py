@@ -16,7 +16,7 @@ edges that repeat matter, so the graph is built from those alone:
   at its own place have that digest.
 
 Each task sends a minimizer, a run or a window once however often it has it, so one passage that a third of all documents share
-is an entry for each task. Hashes (128 bits for runs, 96 for windows, over 64-bit word hashes) only propose; BLAKE2 digests of
+is an entry for each task. Hashes (128 bits for runs, 96 for windows, 64 for nodes, over 64-bit word hashes) only propose; BLAKE2 digests of
 128 bits over the words themselves decide.
 
 Defined cases: a null text has no words; texts of fewer words than a window keep all; rows with a null doc_id are left out;
@@ -49,11 +49,11 @@ _PLACES = vec.U64((1 << 26) - 1)
 RUN, CHECK, AGAIN, PIECE, OPENED = 0, 1, 2, 3, 4
 #: Bits of ``flags``: the task has more of the same; the task has others of the same minimizer.
 MANY, BRANCHES = 1, 2
-_RUN = np.dtype([("key", "u8"), ("unit", "u8"), ("doc", "i8"), ("start", "i4"), ("n", "u1"), ("flags", "u1"), ("head", "u4"), ("tail", "u4")])
+_RUN = np.dtype([("key", "u8"), ("unit", "u8"), ("doc", "i8"), ("start", "i4"), ("n", "u1"), ("flags", "u1"), ("head", "u8"), ("tail", "u8")])
 _SPAN = np.dtype([("doc", "i8"), ("start", "i4"), ("n", "i4")])
 _AGAIN = np.dtype([("piece", "i8"), ("doc", "i8"), ("start", "i4"), ("n", "u1")])
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_OUT = "kind int, piece bigint, doc_id bigint, start int, n int, head int, tail int"
+_OUT = "kind int, piece bigint, doc_id bigint, start int, n int, head bigint, tail bigint"
 
 
 def _first(rows: np.ndarray, *fields: str) -> np.ndarray:
@@ -74,8 +74,8 @@ def _as(rows: np.ndarray, dtype: np.dtype) -> np.ndarray:
 def _nodes(rows: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> None:
     """Fills in the nodes at which the windows from each place begin and end; places are those of the hashed words."""
     stop = at + rows["n"]
-    rows["head"] = vec.spans(prefix, at, at + WINDOW - 1) >> vec.U64(32)
-    rows["tail"] = vec.spans(prefix, stop, stop + WINDOW - 1) >> vec.U64(32)
+    rows["head"] = vec.spans(prefix, at, at + WINDOW - 1)
+    rows["tail"] = vec.spans(prefix, stop, stop + WINDOW - 1)
 
 
 def runs(texts: list[bytes], segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +150,12 @@ def _rows(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
     out = []
     for kind, x in parts:
         column = lambda f, t, x=x: pa.array(x[f].astype(t)) if f in x.dtype.names else pa.nulls(len(x), pa.from_numpy_dtype(t))
-        node = lambda f, x=x: pa.array(x[f].view(np.int32) if x[f].flags.c_contiguous else x[f].copy().view(np.int32)) if f in x.dtype.names else pa.nulls(len(x), pa.int32())
+        node = lambda f, x=x: pa.array(x[f].copy().view(np.int64)) if f in x.dtype.names else pa.nulls(len(x), pa.int64())
         out.append(pa.table({"kind": np.full(len(x), kind, np.int32), "piece": column("piece", np.int64), "doc_id": column("doc", np.int64), "start": column("start", np.int32), "n": column("n", np.int32), "head": node("head"), "tail": node("tail")}))
     return pa.concat_tables(out)
 
 
-_PIECE = np.dtype([("piece", "i8"), ("doc", "i8"), ("start", "i4"), ("n", "i4"), ("head", "u4"), ("tail", "u4")])
+_PIECE = np.dtype([("piece", "i8"), ("doc", "i8"), ("start", "i4"), ("n", "i4"), ("head", "u8"), ("tail", "u8")])
 
 
 def _join_runs(table: pa.Table) -> pa.Table:

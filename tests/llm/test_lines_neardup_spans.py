@@ -147,13 +147,26 @@ def test_runs_hold_each_window_once():
 def test_paths_end_where_a_node_branches(spark):
     # In document 1 three pieces follow each other; one more piece leaves the node (8) between the second and the third.
     rows = [(10, 1, 0, 5, 1, 7), (11, 1, 5, 2, 7, 8), (12, 1, 7, 4, 8, 9), (13, 2, 0, 1, 8, 5), (14, 1, 30, 3, 9, 4)]
-    pathed = spans.paths(spark.createDataFrame(rows, "piece bigint, doc_id bigint, start int, n int, head int, tail int"))
+    pathed = spans.paths(spark.createDataFrame(rows, "piece bigint, doc_id bigint, start int, n int, head bigint, tail bigint"))
     assert {r["piece"]: (r["source"], r["path"]) for r in pathed.collect()} == {10: (1, 0), 11: (1, 0), 12: (1, 7), 13: (2, 0), 14: (1, 30)}
     again = spark.createDataFrame([(10, 5, 100, 5), (11, 5, 105, 2), (12, 5, 107, 4), (11, 6, 0, 2)], "piece bigint, doc_id bigint, start int, n int")
     got = sorted(tuple(r) for r in spans.spans_of(again, pathed).collect())
     assert got == [(5, 100, 7, 1, 0), (5, 107, 4, 1, 7), (6, 0, 2, 1, 5)]
 
 
+def test_nodes_of_one_half_in_common_stay_apart(spark):
+    """Piece 2 follows piece 1; pieces 3 and 4 end and begin at nodes that differ from theirs in one half only."""
+    node = (5 << 32) + 9
+    rows = [(1, 1, 0, 4, 1, node), (2, 1, 4, 4, node, 2), (3, 2, 0, 4, 3, node + 1), (4, 3, 0, 4, node + (1 << 32), 4)]
+    pathed = spans.paths(spark.createDataFrame(rows, "piece bigint, doc_id bigint, start int, n int, head bigint, tail bigint"))
+    assert {r["piece"]: r["path"] for r in pathed.collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    found, _ = spans.runs([b" ".join(b"w%d" % i for i in range(4000))])
+    assert len(found) > 100 and len(set(found["head"].tolist())) == len(found) and (found["head"] >> np.uint64(32)).any() and (found["head"] & np.uint64(0xFFFFFFFF)).any()
+    assert found["tail"][:-1].tolist() == found["head"][1:].tolist()
+    kept = spans._rows([(spans.PIECE, spans._as(found, spans._PIECE))])
+    assert (kept["head"].to_numpy().view(np.uint64) == found["head"]).all() and (kept["tail"].to_numpy().view(np.uint64) == found["tail"]).all()
+
+
 def test_a_span_goes_only_if_its_words_are_those_of_its_source():
     words = [b"w%d" % i for i in range(30)]
     right = spans.word_digest(words, 2, 1)
