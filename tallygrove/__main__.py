@@ -56,6 +56,9 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--log", help="JSON lines file to append to")
     c = commands.add_parser("calibrate", parents=[common])
     c.add_argument("--thresholds", help="JSON file for the decile cuts")
+    c.add_argument("--out", help="folder for the three tables and the summary")
+    c.add_argument("--without", type=int, help="training cycle left out in the ablation (the first)")
+    c.add_argument("--reps", type=int, default=100)
     a = commands.add_parser("bake", parents=[common])
     a.add_argument("--out", required=True)
     a.add_argument("--thresholds")
@@ -84,11 +87,12 @@ def main(argv: list[str] | None = None) -> None:
         if args.log:
             bt.append_json(row, args.log)
     elif args.command == "calibrate":
-        rows = bt.alpha_grid(matrix, args.train, args.snapshot, feature_set=args.features)
-        for r in rows:
-            print(r)
-        alpha = bt.best_alpha(rows)
-        print(f"best alpha {alpha}")
+        tables = bt.calibrate(matrix, args.train, args.test, args.snapshot, args.without, feature_set=args.features, reps=args.reps)
+        for name, df in tables.items():
+            print(name, *(r.asDict() for r in df.collect()), sep="\n  ")  # a few rows each
+        if args.out:
+            sinks.write_calibration(tables, args.out)
+        alpha = tables["summary"].first()["best_alpha"]
         if args.thresholds:
             baked = bt.bake(matrix, args.train, args.test, (args.snapshot,), feature_set=args.features, alpha=alpha)
             sinks.write_thresholds(args.thresholds, bt.deciles(baked, "impact"), alpha=alpha, cycles=list(args.train))

@@ -229,10 +229,37 @@ def n_sensitivity(row: Run) -> list[dict]:
     return [{"n": n} | {m["line"]: m["close_share"] for m in row.metrics if m["n"] == n} for n in sorted({m["n"] for m in row.metrics})]
 
 
-def ablation(matrix: DataFrame, train_cycles: tuple[int, ...], without: int, test_cycle: int, snapshot: str, **settings) -> dict[str, float | None]:
-    """The headline share with and without one training cycle."""
-    kept = tuple(c for c in train_cycles if c != without)
-    return {"with": close_share(run(matrix, train_cycles, test_cycle, snapshot, **settings)), "without": close_share(run(matrix, kept, test_cycle, snapshot, **settings))}
+def ablation(runs: dict[str, Run]) -> list[dict]:
+    """label of a choice of training cycles: its run. The headline shares of each."""
+    at = lambda r, name: r.shares[name][0] if r.shares else None
+    return [{"label": label, "train_cycles": ",".join(map(str, r.train_cycles)), "close_race": close_share(r), "final_ratings": close_share(r, "final_ratings"), "pivotal": at(r, "pivotal"), "under_floor": at(r, "under_floor")} for label, r in runs.items()]
+
+
+#: Columns of the calibration's tables, so that a table without any value has its types.
+ALPHA_GRID = "alpha double, n_folds int, failed int, mean_close_race double, std_close_race double, mean_pivotal double, mean_floor_sat double"
+N_SENSITIVITY = "n int, " + ", ".join(f"{line} double" for line in LINES)
+ABLATION = "label string, train_cycles string, close_race double, final_ratings double, pivotal double, under_floor double"
+SUMMARY = "best_alpha double, alphas array<double>, snapshot string, feature_set string, train_cycles array<int>, test_cycle int"
+
+
+def calibrate(matrix: DataFrame, train_cycles: tuple[int, ...], test_cycle: int, snapshot: str, without: int | None = None, alphas: tuple[float, ...] = ALPHAS, feature_set: str = "full", headline_n: int = 10, reps: int = 100, grid: tuple[int, ...] = GRID, **settings) -> dict[str, DataFrame]:
+    """alpha_grid, n_sensitivity, cycle_ablation and summary, a small table each.
+
+    alpha is the best of the grid over the training cycles; the test cycle is then run with all of them, which gives the table
+    by N, and without one (the first if none is named), which gives the ablation with the run before.
+    """
+    left_out = min(train_cycles) if without is None else without
+    kept = tuple(c for c in train_cycles if c != left_out)
+    if not kept or len(kept) == len(train_cycles):
+        raise ValueError(f"cycle {left_out} cannot be left out of {train_cycles}")
+    rows = alpha_grid(matrix, train_cycles, snapshot, alphas, headline_n, feature_set=feature_set, **settings)
+    alpha = best_alpha(rows)
+    at = {"feature_set": feature_set, "combine": "impact", "alpha": alpha, "headline_n": headline_n, "reps": reps, "grid": grid} | settings
+    whole = run(matrix, train_cycles, test_cycle, snapshot, **at)
+    runs = {f"with_{left_out}": whole, f"without_{left_out}": run(matrix, kept, test_cycle, snapshot, **at)}
+    summary = {"best_alpha": alpha, "alphas": list(alphas), "snapshot": snapshot, "feature_set": feature_set, "train_cycles": list(train_cycles), "test_cycle": test_cycle}
+    tables = {"alpha_grid": (rows, ALPHA_GRID), "n_sensitivity": (n_sensitivity(whole), N_SENSITIVITY), "cycle_ablation": (ablation(runs), ABLATION), "summary": ([summary], SUMMARY)}
+    return {name: matrix.sparkSession.createDataFrame(values, schema) for name, (values, schema) in tables.items()}
 
 
 def deciles(df: DataFrame, score: str) -> list[float]:

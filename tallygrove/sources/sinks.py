@@ -53,6 +53,16 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_calibration(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of backtest.calibrate() below ``path``, replacing older ones: CSV, the summary JSON."""
+    for name, df in tables.items():
+        one = df.coalesce(1)  # a few rows
+        if name == "summary":
+            one.write.mode("overwrite").json(f"{path}/{name}")
+        else:
+            write_csv(one, f"{path}/{name}")
+
+
 def write_thresholds(path: str, cuts: list[float], **about: object) -> None:
     if len(cuts) != 9 or sorted(cuts) != list(cuts):
         raise ValueError("nine ascending cuts are needed")

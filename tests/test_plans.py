@@ -6,6 +6,7 @@ import __spark_entry__
 from tallygrove.functions.numeric import LEVELS
 from tallygrove.plans import backtest as bt
 from tallygrove.plans import features, models, quantiles, queries, simulate
+from tallygrove.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -106,6 +107,22 @@ def test_alpha_grid_equals_a_backtest_for_each_alpha(matrix, monkeypatch):
     assert few[0]["n_folds"] + few[0]["failed"] == 2 and few[0]["failed"] == 1
 
 
+def test_calibration_tables(spark, matrix, tmp_path):
+    settings = {"feature_set": "naive+pvi", "n_iter": 50}
+    tables = bt.calibrate(matrix, (2016, 2022), 2024, "T-60", alphas=(0.0, 1.0), reps=5, grid=(1, 10), **settings)
+    sinks.write_calibration(tables, str(tmp_path / "out"))
+    read = lambda name: [r.asDict() for r in spark.read.csv(str(tmp_path / "out" / name), header=True, inferSchema=True).collect()]
+    summary = spark.read.json(str(tmp_path / "out" / "summary")).first()
+    grid, by_n, cut = read("alpha_grid"), read("n_sensitivity"), read("cycle_ablation")
+    assert [r["alpha"] for r in grid] == [0.0, 1.0] and summary["best_alpha"] == bt.best_alpha(grid) and summary["train_cycles"] == [2016, 2022]
+    assert [r["n"] for r in by_n] == [1, 10] and by_n[1]["oracle"] == 1
+    assert [(r["label"], str(r["train_cycles"])) for r in cut] == [("with_2016", "2016,2022"), ("without_2016", "2022")]
+    alone = bt.run(matrix, (2022,), 2024, "T-60", combine="impact", alpha=summary["best_alpha"], reps=2, grid=(10,), **settings)
+    assert cut[0]["close_race"] == by_n[1]["model"] and cut[1]["close_race"] == bt.close_share(alone) and cut[1]["pivotal"] == alone.shares["pivotal"][0]
+    with pytest.raises(ValueError):
+        bt.calibrate(matrix, (2016,), 2024, "T-60")
+
+
 def test_best_alpha():
     rows = [{"alpha": 0.1, "mean_close_race": 0.5}, {"alpha": 0.0, "mean_close_race": 0.5}, {"alpha": 1.0, "mean_close_race": None}]
     assert bt.best_alpha(rows) == 0.0 and bt.best_alpha([{"alpha": 1.0, "mean_close_race": float("nan")}]) == bt.DEFAULT_ALPHA
