@@ -91,13 +91,14 @@ def q_alg_paired_bootstrap(spark, d):
     return rounded(out, "ci_low", "mean", "ci_high", "p_positive")
 
 
+# A race has at most 25 copies here: more have a chance below 1e-20, and the uniform ends 1e-10 before 1.
 COPIES_SQL = MATRIX_SQL + LINES_SQL + f""", two AS (SELECT * FROM ranked WHERE line <> 'oracle'
 ), places AS (SELECT state, district, row_number() OVER (ORDER BY min(rk), state, district) - 1 AS place, count(*) OVER () AS n FROM two GROUP BY state, district
 ), uni AS (SELECT CAST(range AS INT) AS rep, place, n, {u_sql("copies", "range", "place")} AS u FROM range({REPS}), places
 ), drawn(rep, place, copies, remaining) AS (
   SELECT CAST(range AS INT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), (SELECT max(n) FROM places) FROM range({REPS})
   UNION ALL SELECT rep, place, copies, remaining - copies FROM (
-    SELECT d.rep, u.place, d.remaining, CASE WHEN u.place = u.n - 1 THEN d.remaining ELSE CAST(len(list_filter(range(0, least(d.remaining, 60)), lambda k: list_sum(list_transform(range(0, k + 1),
+    SELECT d.rep, u.place, d.remaining, CASE WHEN u.place = u.n - 1 THEN d.remaining ELSE CAST(len(list_filter(range(0, least(d.remaining, 25)), lambda k: list_sum(list_transform(range(0, k + 1),
       lambda i: exp(lgamma(d.remaining + 1) - lgamma(i + 1) - lgamma(d.remaining - i + 1) + i * ln(1.0::DOUBLE / (u.n - u.place)) + (d.remaining - i) * ln(1 - 1.0::DOUBLE / (u.n - u.place))))) < u.u)) AS BIGINT) END AS copies
     FROM drawn d JOIN uni u ON u.rep = d.rep AND u.place = d.place + 1)
 ), runs AS (SELECT line, rep, w, margin_pct, copies, coalesce(sum(copies) OVER (PARTITION BY line, rep ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
