@@ -48,7 +48,8 @@ def q_alg_stakes_mc(spark, d):
 
 @query(OUTCOME_SQL + "SELECT CAST(total AS BIGINT) AS total, count(*) AS n FROM totals GROUP BY 1")
 def q_alg_seat_histogram(spark, d):
-    return simulate.seat_histogram(simulate.outcomes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED), 3)
+    won = simulate.outcomes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED)
+    return simulate.seat_histogram(simulate.totals(won, ITERATIONS, 3))
 
 
 @query(OUTCOME_SQL + """, hist AS (SELECT CAST(total AS BIGINT) AS total, count(*) AS n FROM totals GROUP BY 1)
@@ -56,7 +57,7 @@ SELECT total, n, round(sum(n) OVER (ORDER BY total DESC) / CAST(sum(n) OVER () A
 def q_alg_seat_tail(spark, d):
     """The chance of every number of seats or more."""
     won = simulate.outcomes(chamber(spark, d), ITERATIONS, simulate.sigma_for("T-60"), SEED)
-    return simulate.tail_chances(simulate.seat_histogram(won, 3)).withColumn("at_least", F.round("at_least", 6))
+    return simulate.tail_chances(simulate.seat_histogram(simulate.totals(won, ITERATIONS, 3))).withColumn("at_least", F.round("at_least", 6))
 
 
 BOOT_SQL = MATRIX_SQL + LINES_SQL + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY state, district) - 1 AS i, count(*) OVER () AS n FROM dems

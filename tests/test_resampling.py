@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrove.functions import numeric as nx
+from tallygrove.functions import rng
 from tallygrove.operators.allocate import is_close
 from tallygrove.plans import simulate
 
@@ -82,3 +84,53 @@ def test_intervals_agree_with_drawn_rows(spark):
 def test_no_rows(spark):
     df, _ = table(spark, 3)
     assert simulate.resampled_shares(df.limit(0), LINES, 5, {"close": is_close("margin_pct")}, 10, 1, ["state", "district"]).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "stream", "n", "last"), [(42, "seat", 10_000, "123456"), (1, "s" * 37, 1200, "é-1"), (1, "s" * 50, 120, "z" * 60), (1, "q", 1, "x"), (7, "shock/a", 20_011, None)])
+def test_uniforms_equal_the_expression(spark, seed, stream, n, last):
+    numbers = [F.col("id"), *([] if last is None else [F.lit(last)])]
+    want = [r["u"] for r in spark.range(n).select("id", rng.uniform(seed, stream, *numbers).alias("u")).orderBy("id").collect()]
+    draws = rng.Uniforms(seed, stream, n)
+    draws.of("another")
+    assert draws.of(last).tolist() == want and len(want) == n
+
+
+def plain_outcomes(rows, n_iter, sigma, seed):
+    """iter, seat: won, lost (False) or unknown (None); a draw at a time."""
+    from hashlib import md5
+    from math import cos, log, pi, sqrt
+
+    u = lambda *key: (int(md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    out = {}
+    for i in range(n_iter):
+        shock = sigma * sqrt(-2 * log(u(f"{seed}:shock/a", i))) * cos(2 * pi * u(f"{seed}:shock/b", i))
+        for seat, q in rows:
+            at, q = u(f"{seed}:seat", i, seat), [*(q or []), *[None] * 9][:9]
+            k = sum(x <= at for x in nx.LEVELS)
+            low, high = q[max(k - 1, 0)], q[min(k, 8)]
+            own = None if low is None or high is None else low if k in (0, 9) else low + (at - nx.LEVELS[k - 1]) / (nx.LEVELS[k] - nx.LEVELS[k - 1]) * (high - low)
+            out[i, seat] = None if own is None else own + shock > 0
+    return out
+
+
+def odd_seats():
+    draw = np.random.default_rng(3)
+    rows = [(i, sorted(draw.normal(0, 0.1, 9).tolist())) for i in range(20)]
+    return [*rows, (100, None), (101, [-0.1] * 5 + [0.1, 0.2, None, None]), (102, [-0.1, 0.0, 0.1]), (12345678901, [0.0] * 9)]
+
+
+@pytest.mark.parametrize("n_iter", [1, 300])
+def test_seats_won_equal_single_draws(spark, n_iter):
+    rows = odd_seats()
+    want = plain_outcomes(rows, n_iter, 0.03, 5)
+    won = simulate.outcomes(spark.createDataFrame(rows, "seat bigint, quantiles array<double>"), n_iter, 0.03, 5)
+    total = {r["iter"]: r["total"] for r in simulate.totals(won, n_iter, 3).collect()}
+    assert total == {i: 3 + sum(want[i, s] is True for s, _ in rows) for i in range(n_iter)}
+    histogram = {r["total"]: r["n"] for r in simulate.seat_histogram(simulate.totals(won, n_iter, 3)).collect()}
+    assert histogram == {t: list(total.values()).count(t) for t in total.values()}
+    assert won.count() == len(rows) and won.where("unknown is not null").count() == 3
+
+
+def test_no_seats(spark):
+    none = spark.createDataFrame([], "seat bigint, quantiles array<double>")
+    assert simulate.totals(simulate.outcomes(none, 10, 0.03, 5), 10).count() == 0 and simulate.stakes(none, 10, 0.03, 5).count() == 0
