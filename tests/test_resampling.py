@@ -141,3 +141,25 @@ def test_tasks_grow_with_the_draws(spark, monkeypatch):
     seats = spark.range(300).select(F.col("id").alias("seat"), F.array(*map(F.lit, sorted(nx.LEVELS))).alias("quantiles"))
     by_task = simulate.outcomes(seats, 100, 0.03, 5).groupBy(F.spark_partition_id()).count().collect()
     assert len(by_task) > 20 and max(r["count"] for r in by_task) < 40  # 10 a task on average
+
+
+@pytest.mark.parametrize("threshold", [None, 12])
+def test_stakes_equal_single_draws(spark, threshold):
+    rows, n_iter = odd_seats(), 300
+    want = plain_outcomes(rows, n_iter, 0.03, 5)
+    total = [3 + sum(want[i, s] is True for s, _ in rows) for i in range(n_iter)]
+    bar = np.median(total) if threshold is None else threshold
+    out = {}
+    for s, _ in rows:
+        won, lost = ([float(total[i] >= bar) for i in range(n_iter) if want[i, s] is flag] for flag in (True, False))
+        out[s] = sum(won) / len(won) - sum(lost) / len(lost) if won and lost else 0.0
+    df = spark.createDataFrame(rows, "seat bigint, quantiles array<double>")
+    got = {r["seat"]: r for r in simulate.stakes(df, n_iter, 0.03, 5, 3, threshold).collect()}
+    assert {s: r["stakes_raw"] for s, r in got.items()} == out and any(out.values())
+    low, high = min(out.values()), max(out.values())
+    assert {s: r["stakes_normalized"] for s, r in got.items()} == {s: (x - low) / (high - low) for s, x in out.items()}
+
+
+def test_a_seat_is_one_row_of_bits(spark):
+    won = simulate.outcomes(spark.createDataFrame(odd_seats(), "seat bigint, quantiles array<double>"), 300, 0.03, 5)
+    assert won.count() == len(odd_seats()) and {r["n"] for r in won.select(F.size("won").alias("n")).collect()} == {5}
