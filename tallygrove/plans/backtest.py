@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions import numeric as nx
@@ -83,11 +83,16 @@ def hit_shares(df: DataFrame, n: int, line: str = "model") -> DataFrame:
 
 
 def shares_at(df: DataFrame, grid: tuple[int, ...] = GRID, lines: tuple[str, ...] = LINES) -> DataFrame:
-    """line, n, close_share: one ranking for each line, cut at each N of the grid."""
-    long = df.select("state", "district", "margin_pct", F.explode(F.map_from_arrays(F.array(*map(F.lit, lines)), F.array(*(F.col(x).cast("double") for x in lines)))).alias("line", "_s"))
-    long = long.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(n,) for n in grid], "n int")))  # a handful of N
-    parts = allocate_by(long, ["line", "n"], "_s", F.col("n"), ["state", "district"])
-    return parts.groupBy("line", "n").agg(F.round(dollar_share("part", is_close("margin_pct")), 4).alias("close_share"))
+    """line, n, close_share: each line's first rows, as many as the greatest N, cut at each N of the grid. No line is ranked whole."""
+    key = ["state", "district"]
+    rows = saved(df.select(*key, "margin_pct", *(F.col(x).cast("double").alias(x) for x in lines)))  # read once a line
+    top = saved(simulate.heads(rows, lines, {"close": is_close("margin_pct")}, key, max(grid)))
+    dropped(rows)
+    cut = top.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(n,) for n in grid], "n int"))).where(F.col("_rank") <= F.col("n"))  # a handful of N
+    whole = Window.partitionBy("line", "n")  # at most n rows
+    total = F.sum("_w").over(whole)
+    parts = cut.withColumn("part", F.when(total > 0, F.col("_w") / total).otherwise(1 / F.count("*").over(whole)))
+    return parts.groupBy("line", "n").agg(F.round(dollar_share("part", F.col("_close")), 4).alias("close_share"))
 
 
 def combine_stakes(df: DataFrame, raw: str = "stakes_raw") -> DataFrame:
